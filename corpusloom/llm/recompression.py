@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import repeated_windows
+from .repeats import identified, repeated_windows, word_classes
 from .words import Prefix, U, Words, cut, mix, slices
 
 #: Rounds of renaming; after two a symbol depends on about eight words.
@@ -132,7 +132,7 @@ def _clean(size: int, with_text: bool):
                 at = words.offsets[owner] + first
                 np.add.at(change, at, 1)
                 np.add.at(change, at + size, -1)
-                removed = np.cumsum(change[:-1]) > 0
+                removed = (np.cumsum(change[:-1]) > 0) | part.column("is_copy").to_numpy(zero_copy_only=False)[words.doc]
                 data, bounds = kept_words(words, removed)
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -156,9 +156,13 @@ def substring_dedup(documents: DataFrame, size: int = 13, with_text: bool = True
     since no order holds for it. Rows with one doc_id count as one document, so a repeated row doesn't remove
     itself. A text with fewer words than a window is returned whole, and an empty table gives an empty result.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition("doc_id")
-    found = repeated_windows(docs, size, symbol_anchors, smaller=True)
+    docs = identified(documents).repartition("doc_id")
+    classes = word_classes(documents)
+    found = repeated_windows(docs, classes, size, symbol_anchors, smaller=True)
     starts = found.groupBy("doc_id").agg(F.collect_list("first").alias("starts"))
-    joined = docs.join(starts, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    copies = classes.where((F.col("doc_id") > F.col("least_id")) & (F.col("n_words") >= size)).select("doc_id", F.lit(True).alias("is_copy")).dropDuplicates(["doc_id"])
+    none = F.array().cast("array<int>")
+    joined = docs.join(starts, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
+    nameless = documents.where(F.col("doc_id").cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), none.alias("starts"), F.lit(False).alias("is_copy"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(_clean(size, with_text), schema)
+    return joined.mapInArrow(_clean(size, with_text), schema).union(nameless.mapInArrow(_clean(size, with_text), schema))

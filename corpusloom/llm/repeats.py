@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Prefix, U, Words, cut, lists, mix, signed, slices, unsigned
+from .shared import cut_lineage
+from .words import Prefix, U, Words, cut, mix, signed, slices, unsigned
 
 #: Gets words and a window length; returns the first word and the anchor of every window.
 Chooser = Callable[[Words, int], tuple[np.ndarray, np.ndarray]]
@@ -143,18 +144,46 @@ def _repeated(smaller: bool) -> Callable:
     return run
 
 
-def repeated_windows(docs: DataFrame, size: int, choose: Chooser, smaller: bool, lower: bool = False) -> DataFrame:
+def _sequences(lower: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = cut(part.column("text"), lower, signs=False)
+                begin, end = words.offsets[:-1], words.offsets[1:]
+                prints = [Prefix(words.hash).of(begin, end), Prefix(mix(words.hash), 0xD1342543DE82EF95).of(begin, end)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.lengths()), *(pa.array(signed(x)) for x in prints)], ["doc_id", "n_words", "one", "two"])
+
+    return run
+
+
+def identified(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) of rows with an id, null texts as empty. The form is always the same, so that one shuffle of it serves all that follows."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+
+
+def word_classes(documents: DataFrame, lower: bool = False) -> DataFrame:
+    """(doc_id, n_words, least_id, last_id): documents with the same words, by their smallest and largest id.
+
+    Copies need no search: they repeat the first one whole. This keeps even a huge group of them out of the shuffles below.
+    """
+    rows = cut_lineage(identified(documents).mapInArrow(_sequences(lower), "doc_id long, n_words long, one long, two long"))
+    classes = rows.groupBy("n_words", "one", "two").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("last_id"))
+    return cut_lineage(rows.join(classes, ["n_words", "one", "two"]).select("doc_id", "n_words", "least_id", "last_id"))
+
+
+def repeated_windows(docs: DataFrame, classes: DataFrame, size: int, choose: Chooser, smaller: bool, lower: bool = False) -> DataFrame:
     """(doc_id, first, other_id): windows of `size` words that start at word `first` and also stand in document other_id.
 
-    docs: (doc_id long, text string), dealt out by doc_id. smaller: only windows that a document with a smaller
-    id has, which is then the smallest such; else all that any other document has. Null ids and texts have no
-    windows; rows with one doc_id count as one document.
+    docs: identified(), dealt out by doc_id. classes: their word_classes(); only the first of each class is searched.
+    smaller: only windows that a document with a smaller id has, which is then the smallest such; else all that
+    any other searched document has. Rows with one doc_id count as one document.
     """
-    named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    anchors = named.mapInArrow(_anchors(choose, size, lower), "key long, doc_id long")
+    firsts = classes.where(F.col("doc_id") == F.col("least_id")).where(F.col("n_words") >= size).select("doc_id")
+    searched = docs.join(firsts, "doc_id", "left_semi")
+    anchors = searched.mapInArrow(_anchors(choose, size, lower), "key long, doc_id long")
     shared = anchors.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long")
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    windows = named.join(by_doc, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windows(choose, size, lower), "print long, check int, doc_id long, first int")
+    windows = docs.join(by_doc, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windows(choose, size, lower), "print long, check int, doc_id long, first int")
     ordered = windows.repartition("print").sortWithinPartitions("print", "check", "doc_id")
     return ordered.mapInArrow(_repeated(smaller), "doc_id long, first int, other_id long")
 
@@ -166,6 +195,3 @@ def merge_spans(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         return first, first
     apart = np.flatnonzero(first[1:] > first[:-1] + size)
     return first[np.append(0, apart + 1)], first[np.append(apart, len(first) - 1)] + size
-
-
-__all__ = ["Chooser", "lists", "merge_spans", "repeated_windows"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import merge_spans, repeated_windows
+from .repeats import identified, merge_spans, repeated_windows, word_classes
 from .words import Prefix, U, Words
 
 #: Words at a suffix's start by which minimisers are chosen and suffixes first compared.
@@ -59,11 +59,16 @@ def repeated_spans(documents: DataFrame, size: int = 50) -> DataFrame:
     """Maximal spans made of windows of `size` words that another document has too.
 
     Takes (doc_id, text), ignores other columns. Words are all but ASCII white space, unchanged. Returns one row
-    a span: doc_id, first_word and end_word (from 0, end not included), n_words, other_id (the smallest id seen
-    for one of its windows). Repeats inside one document only are not reported, so a repeated row with the same
+    a span: doc_id, first_word and end_word (from 0, end not included), n_words, other_id (a document
+    that has one of its windows). Repeats inside one document only are not reported, so a repeated row with the same
     doc_id is none. Null ids, null, empty and shorter texts give no rows; an empty table gives an empty result.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartition("doc_id")
-    found = repeated_windows(docs, size, minimiser_suffixes, smaller=False)
+    docs = identified(documents).repartition("doc_id")
+    classes = word_classes(documents)
+    found = repeated_windows(docs, classes, size, minimiser_suffixes, smaller=False)
     by_doc = found.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("other_id").alias("others"))
-    return by_doc.mapInArrow(_spans(size), "doc_id long, first_word long, end_word long, n_words long, other_id long")
+    copied = F.col("least_id") < F.col("last_id")
+    whole = classes.where(copied & (F.col("n_words") >= size)).dropDuplicates(["doc_id"])
+    whole = whole.select("doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), "n_words", F.when(F.col("doc_id") > F.col("least_id"), F.col("least_id")).otherwise(F.col("last_id")).alias("other_id"))
+    parts = by_doc.join(whole.select("doc_id"), "doc_id", "left_anti").mapInArrow(_spans(size), "doc_id long, first_word long, end_word long, n_words long, other_id long")
+    return parts.union(whole)

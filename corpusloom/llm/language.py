@@ -159,12 +159,12 @@ def fit(documents: DataFrame, train: Column, sample: int = SAMPLE) -> LanguageMo
         data.append((at.astype(np.int64), weigh(at, counts, idf), classes.index(r.lang)))
     keep_back = [x for i, x in enumerate(data) if i % 5 == 4] if len(data) >= 50 else []
     main = [x for i, x in enumerate(data) if i % 5 != 4] if keep_back else data
-    weights, bias = ftrl(main, len(classes))
+    weights, bias = ftrl(main, len(classes), epochs=max(3, 3000 // max(1, len(main))))
     temperature = 1.0
     if keep_back:
         logits = np.array([x @ weights[at] + bias for at, x, _ in keep_back])
         label = np.array([c for _, _, c in keep_back])
-        loss = {t: -np.log(softmax(logits / t)[np.arange(len(label)), label] + 1e-12).mean() for t in np.geomspace(0.05, 5, 60)}
+        loss = {t: -np.log(softmax(logits / t)[np.arange(len(label)), label] + 1e-12).mean() for t in np.geomspace(0.2, 5, 60)}
         temperature = float(min(loss, key=loss.__getitem__))
     return LanguageModel(classes, weights, bias, idf, temperature)
 

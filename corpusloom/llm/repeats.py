@@ -178,8 +178,8 @@ def repeated_windows(docs: DataFrame, classes: DataFrame, size: int, choose: Cho
     smaller: only windows that a document with a smaller id has, which is then the smallest such; else all that
     any other searched document has. Rows with one doc_id count as one document.
     """
-    firsts = classes.where(F.col("doc_id") == F.col("least_id")).where(F.col("n_words") >= size).select("doc_id")
-    searched = docs.join(firsts, "doc_id", "left_semi")
+    firsts = classes.where(F.col("doc_id") == F.col("least_id")).where(F.col("n_words") >= size).select("doc_id").distinct()
+    searched = docs.join(firsts, "doc_id")  # a semi-join would be moved below the shuffle of docs, which then serves it alone
     anchors = searched.mapInArrow(_anchors(choose, size, lower), "key long, doc_id long")
     shared = anchors.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long")
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))

@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from .words import slices
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes a table to the cluster's checkpoint folder, so that a lost executor doesn't mean its whole history again."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, a local one, for local mode."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return str(context.getCheckpointDir())
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder, so that a lost executor doesn't mean its whole history again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -28,6 +28,8 @@ NAMED = rf"(?i:{KEY_WORDS})\W{{0,2}}[=:]"
 MAYBE = rf"{PREFIX}|{MIXED}|(?i:{KEY_WORDS})\s{{0,4}}[=:\"']"
 CANDIDATE = rf"^[\"'(\[<]*(?:{PREFIX}|{MIXED})|{NAMED}\S{{6}}"
 
+#: Share of trees that must vote for a secret.
+LEAST = 0.5
 FEATURES = ("length", "transitions", "case_changes", "digit_share", "upper_share", "lower_share", "distinct_share", "hex_only", "covered", "vowel_share", "path_signs", "signs", "prefixed", "named", "key_before", "assigned", "excused", "excused_after")
 
 
@@ -64,7 +66,8 @@ def _features(value: Column, own: Column, before: Column, after: Column) -> list
 def _value(own: Column) -> Column:
     """The candidate itself: without the name it is assigned to, quotes and closing signs."""
     bare = F.regexp_replace(own, rf"^.*?{NAMED}+", "")
-    return F.regexp_replace(bare, r"^[\"'(\[<]+|[\"')\]>,;.!?]+$", "")
+    bare = F.regexp_replace(bare, r"^[\"'(\[<]+", "")
+    return F.regexp_replace(bare, r"[\"'].*$|[^A-Za-z0-9+/=_-]+$", "")
 
 
 def labelled_findings(spark: SparkSession, each: int = 60) -> DataFrame:
@@ -97,9 +100,9 @@ def labelled_findings(spark: SparkSession, each: int = 60) -> DataFrame:
     ]
     out = None
     for label, before, own, after in kinds:
-        part = spark.range(each).select(F.col("id").alias("k")).select(before.alias("before"), own.alias("own"), after.alias("after"), F.lit(float(label)).alias("label"))
+        part = spark.range(0, each, 1, 1).select(F.col("id").alias("k")).select(before.alias("before"), own.alias("own"), after.alias("after"), F.lit(float(label)).alias("label"))
         out = part if out is None else out.union(part)
-    return out  # type: ignore[return-value]
+    return out.coalesce(1)  # type: ignore[union-attr]  # a thousand rows
 
 
 def train(findings: DataFrame, trees: int = 15, depth: int = 5) -> RandomForestClassificationModel:
@@ -110,10 +113,13 @@ def train(findings: DataFrame, trees: int = 15, depth: int = 5) -> RandomForestC
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featureSubsetStrategy="onethird").fit(ready)
 
 
-def compile_forest(model: RandomForestClassificationModel) -> Callable[[Column], Column]:
-    """The share of trees that vote for a secret, as a function of a column with the array of FEATURES."""
+Forest = Callable[[Callable[[int], Column]], Column]
 
-    def tree(lines: list[tuple[int, str]], at: int) -> tuple[Callable[[Column], Column], int]:
+
+def compile_forest(model: RandomForestClassificationModel) -> Forest:
+    """The share of trees that vote for a secret, as a function of what gives the column of a feature by its number."""
+
+    def tree(lines: list[tuple[int, str]], at: int) -> tuple[Forest, int]:
         depth, text = lines[at]
         if text.startswith("Predict"):
             vote = float(text.split(":")[1])
@@ -121,7 +127,7 @@ def compile_forest(model: RandomForestClassificationModel) -> Callable[[Column],
         number, threshold = re.match(r"If \(feature (\d+) <= (.+)\)", text).groups()  # type: ignore[union-attr]
         left, at = tree(lines, at + 1)
         right, at = tree(lines, at)
-        return (lambda f: F.when(F.get(f, F.lit(int(number))) <= float(threshold), left(f)).otherwise(right(f))), at
+        return (lambda f: F.when(f(int(number)) <= float(threshold), left(f)).otherwise(right(f))), at
 
     votes = []
     for t in model.trees:
@@ -129,7 +135,7 @@ def compile_forest(model: RandomForestClassificationModel) -> Callable[[Column],
         lines = [x for x in lines if not x[1].startswith("Else")]
         votes.append(tree(lines, 0)[0])
 
-    def share(f: Column) -> Column:
+    def share(f: Callable[[int], Column]) -> Column:
         total = F.lit(0.0)
         for v in votes:
             total = total + v(f)
@@ -138,31 +144,21 @@ def compile_forest(model: RandomForestClassificationModel) -> Callable[[Column],
     return share
 
 
-def with_findings(documents: DataFrame, score: Callable[[Column], Column], least: float = 0.5) -> DataFrame:
-    """documents with findings: array of (word, kind, value, score) for the candidates the forest keeps."""
-    text = F.col("text").cast("string")
-    words = F.split(text, r"[\s]+")
+def _candidates(words: Column) -> Column:
+    """Candidates among a text's words: array of (word, own, before, after)."""
 
     def candidate(own: Column, i: Column) -> Column:
-        all_words = F.col("__words")
-        near = lambda k: F.coalesce(F.get(all_words, i + k), F.lit(""))
+        near = lambda k: F.coalesce(F.get(words, i + k), F.lit(""))
         found = F.struct(i.alias("word"), own.alias("own"), F.concat_ws(" ", near(-3), near(-2), near(-1)).alias("before"), near(1).alias("after"))
-        return F.when(own.rlike(CANDIDATE) | (own.rlike(r"^[\"']?\S{6,}[\"']?$") & F.concat_ws(" ", near(-2), near(-1)).rlike(rf"(?i)(?:{KEY_WORDS})\W*[=:]$")), found)
+        assigned = own.rlike(r"^[\"']?\S{6,}[\"']?$") & F.concat_ws(" ", near(-2), near(-1)).rlike(rf"(?i)(?:{KEY_WORDS})\W*[=:]$")
+        return F.when(own.rlike(CANDIDATE) | assigned, found)
 
-    def measured(c: Column) -> Column:
-        value = _value(c["own"])
-        kind = F.when(value.rlike(f"^{PREFIX}$"), "access_key").when(c["own"].rlike(NAMED) | c["before"].rlike(rf"(?i)(?:{KEY_WORDS})\W*$"), "assignment").otherwise("token")
-        return F.struct(c["word"].alias("word"), kind.alias("kind"), value.alias("value"), F.array(*_features(value, c["own"], c["before"], c["after"])).alias("features"))
+    return F.filter(F.transform(words, candidate), lambda c: c.isNotNull())
 
-    def scored(c: Column) -> Column:
-        return F.struct(c["word"].alias("word"), c["kind"].alias("kind"), c["value"].alias("value"), score(c["features"]).alias("score"))
 
-    kept = [c for c in documents.columns if c not in ("findings", "__words")]
-    suspect = documents.select(*[F.col(f"`{c}`") for c in kept], F.when(text.rlike(MAYBE), words).alias("__words"))
-    found = F.filter(F.transform("__words", candidate), lambda c: c.isNotNull())
-    found = F.filter(F.transform(found, measured), lambda c: F.length(c["value"]) >= 6)
-    found = F.filter(F.transform(found, scored), lambda c: c["score"] >= least)
-    return suspect.withColumn("findings", F.coalesce(found, F.array().cast("array<struct<word:int,kind:string,value:string,score:double>>"))).drop("__words")
+def _kind(value: Column, own: Column, before: Column) -> Column:
+    named = own.rlike(NAMED) | before.rlike(rf"(?i)(?:{KEY_WORDS})\W*$")
+    return F.when(value.rlike(f"^{PREFIX}$"), "access_key").when(named, "assignment").otherwise("token")
 
 
 def scan_secrets(documents: DataFrame, findings: DataFrame | None = None) -> DataFrame:
@@ -172,17 +168,27 @@ def scan_secrets(documents: DataFrame, findings: DataFrame | None = None) -> Dat
     null or empty text has no secrets, a null doc_id stays null, repeated rows are reported each, ties of the
     votes count as secrets, and an empty table gives an empty result.
     """
-    model = train(labelled_findings(documents.sparkSession) if findings is None else findings)
-    found = with_findings(documents.select("doc_id", "text"), compile_forest(model)).where(F.size("findings") > 0)
-    rows = found.select("doc_id", F.explode("findings").alias("f"))
-    return rows.select("doc_id", "f.word", "f.kind", "f.value", F.sha2(F.col("f.value").cast("binary"), 256).alias("value_sha256"), F.length("f.value").alias("n_chars"), F.col("f.score").alias("score"))
+    forest = compile_forest(train(labelled_findings(documents.sparkSession) if findings is None else findings))
+    suspect = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike(MAYBE))
+    rows = suspect.select("doc_id", F.split("text", r"\s+").alias("words")).select("doc_id", F.explode(_candidates(F.col("words"))).alias("c"))
+    rows = rows.select("doc_id", "c.*", _value(F.col("c.own")).alias("value")).where(F.length("value") >= 6)
+    columns = _features(*(F.col(c) for c in ("value", "own", "before", "after")))
+    rows = rows.select("doc_id", "word", _kind(*(F.col(c) for c in ("value", "own", "before"))).alias("kind"), "value", *[f.alias(n) for f, n in zip(columns, FEATURES, strict=True)])
+    # as an array function, since the trees are too long a code for one compiled method
+    votes = F.get(F.transform(F.array(F.array(*[F.col(f) for f in FEATURES])), lambda f: forest(lambda i: F.get(f, F.lit(i)))), F.lit(0))
+    scored = rows.select("doc_id", "word", "kind", "value", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("n_chars"), votes.alias("score"))
+    return scored.where(F.col("score") >= LEAST)
 
 
 def redact_secrets(documents: DataFrame, mark: str = "[SECRET]", findings: DataFrame | None = None) -> DataFrame:
     """documents, with each found secret's value replaced in text. All rows stay; texts without secrets stay as they are."""
-    names = documents.columns
-    model = train(labelled_findings(documents.sparkSession) if findings is None else findings)
-    found = with_findings(documents, compile_forest(model))
-    values = F.transform("findings", lambda f: f["value"])
-    text = F.when(F.size("findings") > 0, F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*[F.col(f"`{c}`") for c in names if c != "findings"])
+    forest = compile_forest(train(labelled_findings(documents.sparkSession) if findings is None else findings))
+
+    def measured(c: Column) -> Column:
+        value = _value(c["own"])
+        return F.struct(value.alias("value"), F.array(*_features(value, c["own"], c["before"], c["after"])).alias("f"))
+
+    found = F.transform(_candidates(F.split("text", r"\s+")), measured)
+    kept = F.filter(found, lambda c: (F.length(c["value"]) >= 6) & (forest(lambda i: F.get(c["f"], F.lit(i))) >= LEAST))
+    redacted = F.aggregate(F.transform(kept, lambda c: c["value"]), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    return documents.withColumn("text", F.when(F.col("text").rlike(MAYBE), redacted).otherwise(F.col("text")))

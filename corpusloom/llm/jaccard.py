@@ -15,9 +15,10 @@ cut in regions, twice, and searched region by region, exactly:
 
 Cells with the same members collapse into one. Then, in rounds, each cell takes a pivot, the member that shares most
 of its parts, and all members' exact distances to it are found. Those within r join the pivot's component: its
-Voronoi region. Members of different components remain; the cell without its pivot is searched again, with the
-triangle inequality as window: two members can link only if their distances to the last pivot differ by r at most.
-A cell is done when its members are of one component. So a group of g copies takes about g comparisons, not g**2.
+Voronoi region. If members of different components remain, the cell without its pivot is searched again, with more
+pivots and with the triangle inequality as window: two members can link only if their distances to the cell's first
+pivot differ by r at most. A cell is done when its members are of one component. So a group of g copies takes
+about g comparisons, not g**2.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def _distances(size: int) -> Callable:
 
 
 def _candidates(docs: DataFrame, sets: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(cell, doc_id, n, rank): cells of two class representatives or more. rank: by it, pivots are chosen."""
+    """(cell, doc_id, n, rank, component, distance, place): cells of two class representatives or more, in order of their rank as pivots."""
     weak = [r[0] for r in sets.where("weak").select(F.floor(F.log2(F.col("n") / SHORT)).alias("band")).distinct().collect()]  # a few bands at most
     ranges = [(1, SHORT / threshold), *((SHORT * 2**b * threshold, SHORT * 2 ** (b + 1) / threshold) for b in weak)]
     same = F.col("rep") == F.col("doc_id")
@@ -179,9 +180,10 @@ def _candidates(docs: DataFrame, sets: DataFrame, size: int, threshold: float) -
 
 
 def _contested(cells: DataFrame) -> DataFrame:
-    """Cells with members of two components."""
+    """Cells with members of two components, and their members' places as pivots."""
+    order = Window.partitionBy("cell").orderBy("rank", "doc_id")
     open_cells = cells.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("cell")
-    return cells.join(open_cells, "cell", "left_semi")
+    return cells.join(open_cells, "cell", "left_semi").withColumn("place", F.row_number().over(order))
 
 
 def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -204,27 +206,30 @@ def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0
     cells = _candidates(docs, sets, size, threshold)
 
     texts = cut_lineage(docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = None
+    links, groups, taken = None, None, 1
     while not cells.isEmpty():
-        pivots = cells.groupBy("cell").agg(F.min(F.struct("rank", "doc_id", "n", "component", "distance")).alias("p")).select("cell", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("doc_id", "n", "component", "distance")))
-        placed = cells.join(pivots, "cell").where("doc_id <> p_doc_id")
+        pivots = cells.where(F.col("place") <= taken).select("cell", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "n", "component", "distance", "place")))
         near = F.coalesce(F.abs(F.col("distance") - F.col("p_distance")) <= 1 - threshold + 1e-9, F.lit(True))
         alike = F.least("n", "p_n") >= F.greatest("n", "p_n") * threshold - 1e-9
-        pairs = placed.where(near & alike & (F.col("component") != F.col("p_component"))).select("doc_id", F.col("p_doc_id").alias("pivot")).distinct()
-        pairs = cut_lineage(pairs)
+        placed = cells.join(pivots, "cell").where((F.col("place") > F.col("p_place")) & near & alike & (F.col("component") != F.col("p_component")))
+        pairs = cut_lineage(placed.select("doc_id", F.col("p_doc_id").alias("pivot")).distinct())
         heads = pairs.select(F.col("pivot").alias("doc_id")).distinct().join(texts, "doc_id").select(F.col("doc_id").alias("pivot"), F.lit(0).alias("own"), "doc_id", "text")
         rest = pairs.join(texts, "doc_id").select("pivot", F.lit(1).alias("own"), "doc_id", "text")
         found = cut_lineage(heads.union(rest).repartition("pivot").sortWithinPartitions("pivot", "own").mapInArrow(_distances(size), "doc_id long, pivot long, common long, either long"))
         new = found.where(F.col("common") >= F.col("either") * threshold - 1e-9).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-        links = new if links is None else links.union(new)
-        groups = components(links).withColumnRenamed("component", "grouped")
-        measured = found.select("doc_id", F.col("pivot").alias("p_doc_id"), (1 - F.col("common") / F.col("either")).alias("d"))
-        left = placed.drop("distance", "component").join(measured, ["doc_id", "p_doc_id"], "left").join(groups, F.col("doc_id") == F.col("node"), "left")
-        left = left.select("cell", "doc_id", "n", "rank", F.coalesce("grouped", "doc_id").alias("component"), F.col("d").alias("distance"))
-        cells = cut_lineage(_contested(left))
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            groups = components(links).withColumnRenamed("component", "grouped")
+        first = cells.where("place = 1").select("cell", F.col("doc_id").alias("pivot"))
+        measured = found.select("doc_id", "pivot", (1 - F.col("common") / F.col("either")).alias("distance"))
+        left = cells.where(F.col("place") > taken).drop("distance", "place").join(first, "cell").join(measured, ["doc_id", "pivot"], "left").drop("pivot")
+        if groups is not None:
+            left = left.drop("component").join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("grouped", "doc_id"))
+        cells = cut_lineage(_contested(left.select("cell", "doc_id", "n", "rank", "component", "distance")))
+        taken *= 4  # cells that are left have members that don't link, which all need comparing
 
     class_of = sets.select("doc_id", "rep").dropDuplicates(["doc_id"])
-    if links is not None:
+    if groups is not None:
         class_of = class_of.join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("grouped", "rep").alias("rep"))
     out = summary.join(class_of, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))

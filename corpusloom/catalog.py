@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import queries as themes
+from .registry import ORACLES, QUERIES, Query
+
+for _module in pkgutil.iter_modules(themes.__path__):
+    importlib.import_module(f"{themes.__name__}.{_module.name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return QUERIES["rag_pipeline"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

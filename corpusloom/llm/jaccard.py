@@ -73,6 +73,14 @@ def _parts(value: np.ndarray, doc: np.ndarray, band: np.ndarray) -> tuple[np.nda
     return mix(total[full] + (full - bounds[owner]).astype(U) * U(0x2545F4914F6CDD1D) + salt[owner]), owner
 
 
+#: The last bits of a cell's key tell its layer: the band, or all ones for shingles of the short.
+LAYER = 31
+
+
+def _tag(key: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return (key & ~U(LAYER)) | np.minimum(band, LAYER - 1).astype(U)
+
+
 def _select(value: np.ndarray, doc: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sets of some texts only, renumbered; also the texts' numbers before."""
     number = np.cumsum(wanted) - 1
@@ -80,7 +88,12 @@ def _select(value: np.ndarray, doc: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return value[on], number[doc[on]], np.flatnonzero(wanted)
 
 
-def _summary(size: int, differ: float) -> Callable:
+def _layers(n: np.ndarray, band: np.ndarray, threshold: float) -> tuple[tuple[np.ndarray, int], tuple[np.ndarray, int]]:
+    """Which sets are dealt into parts by their own band, and which by the one below too."""
+    return (n >= SHORT, 0), ((band > 0) & (n * threshold <= SHORT * np.exp2(band)), 1)
+
+
+def _summary(size: int, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -88,12 +101,17 @@ def _summary(size: int, differ: float) -> Callable:
                 one, two = np.zeros(len(n), U), np.zeros(len(n), U)
                 np.add.at(one, doc, mix(value))
                 np.add.at(two, doc, mix(value ^ U(0xD6E8FEB86659FD93)))
-                weak = np.zeros(len(n), bool)
-                v, d, which = _select(value, doc, n >= SHORT)
-                if len(which):
-                    _, owner = _parts(v, d, _band(n[which]))
-                    weak[which] = np.bincount(owner, minlength=len(which)) <= np.floor(n[which] * differ + 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(signed(one)), pa.array(signed(two)), pa.array(weak)], ["doc_id", "n", "one", "two", "weak"])
+                band = _band(n)
+                parts = []
+                for wanted, shift in _layers(n, band, threshold):
+                    count = np.zeros(len(n), np.int64)
+                    v, d, which = _select(value, doc, wanted)
+                    if len(which):
+                        count[which] = np.bincount(_parts(v, d, band[which] - shift)[1], minlength=len(which))
+                    parts.append(count)
+                weak = (n >= SHORT) & (parts[0] <= np.floor(n * (1 - threshold) / threshold + 1e-9))
+                columns = [part.column("doc_id"), pa.array(n), pa.array(signed(one)), pa.array(signed(two)), pa.array(weak), *map(pa.array, parts)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "one", "two", "weak", "parts", "parts_below"])
 
     return run
 
@@ -105,12 +123,11 @@ def _cells(size: int, threshold: float) -> Callable:
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 value, doc, n = shingle_sets(cut(part.column("text"), True, False), size)
                 band = _band(n)
-                low = SHORT * np.exp2(band)
-                for wanted, shift in ((n >= SHORT, 0), ((band > 0) & (n * threshold <= low), 1)):  # own band, and the one below
+                for wanted, shift in _layers(n, band, threshold):
                     v, d, which = _select(value, doc, wanted)
                     if len(which):
                         key, owner = _parts(v, d, band[which] - shift)
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids[which[owner]])], ["key", "doc_id"])
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(_tag(key, (band[which] - shift)[owner]))), pa.array(ids[which[owner]])], ["key", "doc_id"])
 
     return run
 
@@ -154,11 +171,11 @@ def _distances(size: int) -> Callable:
 
 
 def _candidates(docs: DataFrame, sets: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(cell, doc_id, n, rank, component, distance, place): cells of two class representatives or more, in order of their rank as pivots."""
+    """(cell, layer, doc_id, weight, n, parts): class representatives in cells, cells with the same members as one; weight says how many."""
     weak = [r[0] for r in sets.where("weak").select(F.floor(F.log2(F.col("n") / SHORT)).alias("band")).distinct().collect()]  # a few bands at most
     ranges = [(1, SHORT / threshold), *((SHORT * 2**b * threshold, SHORT * 2 ** (b + 1) / threshold) for b in weak)]
     same = F.col("rep") == F.col("doc_id")
-    reps = sets.where(same).select("doc_id", "n")
+    reps = sets.where(same).select("doc_id", "n", "parts", "parts_below").dropDuplicates(["doc_id"])
 
     parts = docs.mapInArrow(_cells(size, threshold), "key long, doc_id long").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long")
     shingles = docs.mapInArrow(_shingles(size, ranges), "key long, doc_id long, n long").join(reps.select("doc_id"), "doc_id", "left_semi")
@@ -167,18 +184,38 @@ def _candidates(docs: DataFrame, sets: DataFrame, size: int, threshold: float) -
     # the rarest n - ceil(t n) + 1 are those with at least ceil(t n) - 1 behind them
     behind = F.row_number().over(order) - 1
     rare = shingles.join(often, "key").withColumn("behind", behind).where(F.col("behind") >= F.ceil(F.col("n") * F.lit(threshold) - 1e-9) - 1)
-    members = parts.union(rare.select(F.xxhash64("key", F.lit("short")).alias("key"), "doc_id"))
+    members = parts.union(rare.select(F.xxhash64("key", F.lit("short")).bitwiseOR(F.lit(LAYER)).alias("key"), "doc_id"))
 
     one = Window.partitionBy("key")
     signs = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).over(one) for k in (1, 2)]
-    counted = members.repartition("key").select("doc_id", F.count("*").over(one).alias("members"), signs[0].alias("s1"), signs[1].alias("s2")).where("members > 1")
-    cells = counted.groupBy(F.xxhash64("s1", "s2", "members").alias("cell"), "doc_id").agg(F.count("*").alias("weight"))
-    cells = cut_lineage(cells.join(reps, "doc_id"))
+    layer = F.col("key").bitwiseAND(F.lit(LAYER)).alias("layer")
+    counted = members.repartition("key").select("doc_id", layer, F.count("*").over(one).alias("members"), signs[0].alias("s1"), signs[1].alias("s2")).where("members > 1")
+    cells = counted.groupBy(F.xxhash64("s1", "s2", "members", "layer").alias("cell"), "layer", "doc_id").agg(F.count("*").alias("weight"))
+    cells = cells.join(reps, "doc_id").withColumn("parts", F.when(F.col("layer") == F.least(F.floor(F.log2(F.col("n") / SHORT)), F.lit(LAYER - 1)), F.col("parts")).otherwise(F.col("parts_below")))
+    return cut_lineage(cells.drop("parts_below"))
+
+
+def _ranked(cells: DataFrame) -> DataFrame:
+    """Cells of two members or more, in order of their rank as pivots: (cell, doc_id, n, rank, component, distance, place)."""
     rank = cells.groupBy("doc_id").agg(F.sum("weight").alias("shared"))
     ranked = cells.join(rank, "doc_id").withColumn("rank", -F.col("shared") / F.col("n"))
     return cut_lineage(_contested(ranked.select("cell", "doc_id", "n", "rank", F.col("doc_id").alias("component"), F.lit(None).cast("double").alias("distance"))))
 
 
+def _possible(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that may link, by the parts they agree on.
+
+    All parts that two sets share are among their common cells, so the others of the fuller set differ, each by a
+    shingle at least; linked sets differ in (1 - t) / (1 + t) of both sizes at most. Short sets' cells tell no such bound.
+    """
+    mine = cells.select("doc_id", "cell", "layer", "weight", "n", "parts")
+    theirs = cells.select(F.col("doc_id").alias("pivot"), "cell", F.col("n").alias("p_n"), F.col("parts").alias("p_parts"))
+    met = pairs.join(mine, "doc_id").join(theirs, ["pivot", "cell"])
+    agreed = met.groupBy("doc_id", "pivot", "layer").agg(F.sum("weight").alias("agreed"), *[F.first(c).alias(c) for c in ("n", "p_n", "parts", "p_parts")])
+    differ = F.greatest("parts", "p_parts") - F.col("agreed")
+    return agreed.where((F.col("layer") == LAYER) | (differ <= (F.col("n") + F.col("p_n")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)).select("doc_id", "pivot").distinct()
+
+
 def _contested(cells: DataFrame) -> DataFrame:
     """Cells with members of two components, and their members' places as pivots."""
     order = Window.partitionBy("cell").orderBy("rank", "doc_id")
@@ -197,13 +234,14 @@ def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0
     rows come back as often as they stand there. An empty table gives an empty result.
     """
     all_docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summary = all_docs.mapInArrow(_summary(size, (1 - threshold) / threshold), "doc_id long, n long, one long, two long, weak boolean")
+    summary = all_docs.mapInArrow(_summary(size, threshold), "doc_id long, n long, one long, two long, weak boolean, parts long, parts_below long")
     summary = cut_lineage(summary)
     known = summary.where("doc_id is not null and n > 0")
     classes = known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
-    sets = cut_lineage(known.join(classes, ["n", "one", "two"]).select("doc_id", "n", "rep", "weak"))
+    sets = cut_lineage(known.join(classes, ["n", "one", "two"]).select("doc_id", "n", "rep", "weak", "parts", "parts_below"))
     docs = all_docs.where("doc_id is not null and text is not null")
-    cells = _candidates(docs, sets, size, threshold)
+    met = _candidates(docs, sets, size, threshold)
+    cells = _ranked(met)
 
     texts = cut_lineage(docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     links, groups, taken = None, None, 1
@@ -212,7 +250,7 @@ def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0
         near = F.coalesce(F.abs(F.col("distance") - F.col("p_distance")) <= 1 - threshold + 1e-9, F.lit(True))
         alike = F.least("n", "p_n") >= F.greatest("n", "p_n") * threshold - 1e-9
         placed = cells.join(pivots, "cell").where((F.col("place") > F.col("p_place")) & near & alike & (F.col("component") != F.col("p_component")))
-        pairs = cut_lineage(placed.select("doc_id", F.col("p_doc_id").alias("pivot")).distinct())
+        pairs = cut_lineage(_possible(placed.select("doc_id", F.col("p_doc_id").alias("pivot")).distinct(), met, threshold))
         heads = pairs.select(F.col("pivot").alias("doc_id")).distinct().join(texts, "doc_id").select(F.col("doc_id").alias("pivot"), F.lit(0).alias("own"), "doc_id", "text")
         rest = pairs.join(texts, "doc_id").select("pivot", F.lit(1).alias("own"), "doc_id", "text")
         found = cut_lineage(heads.union(rest).repartition("pivot").sortWithinPartitions("pivot", "own").mapInArrow(_distances(size), "doc_id long, pivot long, common long, either long"))

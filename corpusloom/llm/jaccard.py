@@ -251,6 +251,10 @@ def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0
         alike = F.least("n", "p_n") >= F.greatest("n", "p_n") * threshold - 1e-9
         placed = cells.join(pivots, "cell").where((F.col("place") > F.col("p_place")) & near & alike & (F.col("component") != F.col("p_component")))
         pairs = cut_lineage(_possible(placed.select("doc_id", F.col("p_doc_id").alias("pivot")).distinct(), met, threshold))
+        if pairs.isEmpty():
+            cells = cut_lineage(_contested(cells.where(F.col("place") > taken).drop("place")))
+            taken *= 4
+            continue
         heads = pairs.select(F.col("pivot").alias("doc_id")).distinct().join(texts, "doc_id").select(F.col("doc_id").alias("pivot"), F.lit(0).alias("own"), "doc_id", "text")
         rest = pairs.join(texts, "doc_id").select("pivot", F.lit(1).alias("own"), "doc_id", "text")
         found = cut_lineage(heads.union(rest).repartition("pivot").sortWithinPartitions("pivot", "own").mapInArrow(_distances(size), "doc_id long, pivot long, common long, either long"))

@@ -124,7 +124,7 @@ def exact_or_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = S.overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
     same = (F.col("a_start") == F.col("b_start")) & (F.col("a_end") == F.col("b_end"))
     found = S.best_match(_ent(spark, sf_dir).select(*S.KEY, "start", "end"), _arg(spark, sf_dir), F.when(same, 1e9).otherwise(shared), ["b_start"])
-    how = F.when(F.col("w") >= 1e9, "exact").when(F.col("w") > 0, "overlap").otherwise("none")
+    how = F.when(F.col("b_start").isNull(), "none").when(F.col("w") >= 1e9, "exact").otherwise("overlap")
     return found.select(*S.KEY, F.col("a_start").alias("start"), F.col("a_end").alias("end"), how.alias("how"))
 
 

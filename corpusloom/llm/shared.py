@@ -20,10 +20,23 @@ def shared_folder(spark: SparkSession) -> str:
     return str(context.getCheckpointDir())
 
 
+#: Whether a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder, so that a lost executor doesn't mean its whole history again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Writes a table to the shared folder, so that a lost executor doesn't mean its whole history again.
+
+    What was shuffled to make it isn't read again and leaves the executors' disks.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
 def held_out(doc_id: Column) -> Column:

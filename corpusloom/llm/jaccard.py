@@ -10,6 +10,7 @@ cut in regions, twice, and searched region by region, exactly:
   parts than that agrees with each neighbour on one of them entirely. Documents with the same part share a cell.
   m grows with the band, so a part holds a few shingles: a passage that many documents have doesn't bring them
   together, near copies do. The rare set with too few parts sends its whole size range through the path of the short.
+  Of a set's parts only the rarest count, one more than linked sets differ in: linked sets have one of these in common.
 * *Short documents* (few shingles make parts too small) meet in cells of single shingles, those among the
   n - ceil(threshold * n) + 1 rarest of a set; linked sets share one of these.
 
@@ -170,50 +171,63 @@ def _distances(size: int) -> Callable:
     return run
 
 
-def _candidates(docs: DataFrame, sets: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(cell, layer, doc_id, weight, n, parts): class representatives in cells, cells with the same members as one; weight says how many."""
+def _candidates(docs: DataFrame, sets: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What class representatives share, and the cells they meet in.
+
+    First (doc_id, layer, n, parts, keys, may): a set's parts that another text has too, rarest first, and how many of
+    them it has to meet others in. Then (cell, layer, doc_id, weight, n): cells with the same members count as one; weight says how many.
+    """
     weak = [r[0] for r in sets.where("weak").select(F.floor(F.log2(F.col("n") / SHORT)).alias("band")).distinct().collect()]  # a few bands at most
     ranges = [(1, SHORT / threshold), *((SHORT * 2**b * threshold, SHORT * 2 ** (b + 1) / threshold) for b in weak)]
     same = F.col("rep") == F.col("doc_id")
     reps = sets.where(same).select("doc_id", "n", "parts", "parts_below").dropDuplicates(["doc_id"])
+    one = Window.partitionBy("key")
 
     parts = docs.mapInArrow(_cells(size, threshold), "key long, doc_id long").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long")
+    counted = parts.repartition("key").select("key", "doc_id", F.col("key").bitwiseAND(F.lit(LAYER)).alias("layer"), F.count("*").over(one).alias("often"))
+    own_band = F.col("layer") == F.least(F.floor(F.log2(F.col("n") / SHORT)), F.lit(LAYER - 1))
+    shared = counted.join(reps, "doc_id").withColumn("parts", F.when(own_band, F.col("parts")).otherwise(F.col("parts_below")))
+    by_doc = shared.groupBy("doc_id", "layer").agg(F.first("n").alias("n"), F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("k"))
+    # linked sets differ in so many parts at most; of one more part, the rarest, they have one in common
+    differ = F.floor(F.col("n") * F.lit((1 - threshold) / threshold) + 1e-9)
+    may = F.greatest(differ + 1 - (F.col("parts") - F.size("k")), F.lit(0)).cast("int")
+    met = cut_lineage(by_doc.select("doc_id", "layer", "n", "parts", F.col("k.key").alias("keys"), may.alias("may")))
+    chosen = met.where("may > 0").select(F.explode(F.slice("keys", F.lit(1), F.col("may"))).alias("key"), "doc_id")
+
     shingles = docs.mapInArrow(_shingles(size, ranges), "key long, doc_id long, n long").join(reps.select("doc_id"), "doc_id", "left_semi")
     often = shingles.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     order = Window.partitionBy("doc_id").orderBy(F.desc("often"), F.desc("key"))
     # the rarest n - ceil(t n) + 1 are those with at least ceil(t n) - 1 behind them
     behind = F.row_number().over(order) - 1
     rare = shingles.join(often, "key").withColumn("behind", behind).where(F.col("behind") >= F.ceil(F.col("n") * F.lit(threshold) - 1e-9) - 1)
-    members = parts.union(rare.select(F.xxhash64("key", F.lit("short")).bitwiseOR(F.lit(LAYER)).alias("key"), "doc_id"))
+    members = chosen.union(rare.select(F.xxhash64("key", F.lit("short")).bitwiseOR(F.lit(LAYER)).alias("key"), "doc_id"))
 
-    one = Window.partitionBy("key")
     signs = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).over(one) for k in (1, 2)]
     layer = F.col("key").bitwiseAND(F.lit(LAYER)).alias("layer")
-    counted = members.repartition("key").select("doc_id", layer, F.count("*").over(one).alias("members"), signs[0].alias("s1"), signs[1].alias("s2")).where("members > 1")
-    cells = counted.groupBy(F.xxhash64("s1", "s2", "members", "layer").alias("cell"), "layer", "doc_id").agg(F.count("*").alias("weight"))
-    cells = cells.join(reps, "doc_id").withColumn("parts", F.when(F.col("layer") == F.least(F.floor(F.log2(F.col("n") / SHORT)), F.lit(LAYER - 1)), F.col("parts")).otherwise(F.col("parts_below")))
-    return cut_lineage(cells.drop("parts_below"))
+    held = members.repartition("key").select("doc_id", layer, F.count("*").over(one).alias("members"), signs[0].alias("s1"), signs[1].alias("s2")).where("members > 1")
+    cells = held.groupBy(F.xxhash64("s1", "s2", "members", "layer").alias("cell"), "layer", "doc_id").agg(F.count("*").alias("weight"))
+    return met, cut_lineage(cells.join(reps.select("doc_id", "n"), "doc_id"))
 
 
 def _ranked(cells: DataFrame) -> DataFrame:
-    """Cells of two members or more, in order of their rank as pivots: (cell, doc_id, n, rank, component, distance, place)."""
+    """Cells of two members or more, in order of their rank as pivots: (cell, layer, doc_id, n, rank, component, distance, place)."""
     rank = cells.groupBy("doc_id").agg(F.sum("weight").alias("shared"))
     ranked = cells.join(rank, "doc_id").withColumn("rank", -F.col("shared") / F.col("n"))
-    return cut_lineage(_contested(ranked.select("cell", "doc_id", "n", "rank", F.col("doc_id").alias("component"), F.lit(None).cast("double").alias("distance"))))
+    return cut_lineage(_contested(ranked.select("cell", "layer", "doc_id", "n", "rank", F.col("doc_id").alias("component"), F.lit(None).cast("double").alias("distance"))))
 
 
-def _possible(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that may link, by the parts they agree on.
+def _possible(pairs: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (doc_id, pivot, layer) that may link, by the parts they agree on.
 
-    All parts that two sets share are among their common cells, so the others of the fuller set differ, each by a
-    shingle at least; linked sets differ in (1 - t) / (1 + t) of both sizes at most. Short sets' cells tell no such bound.
+    Of the fuller set's parts, those they don't agree on differ, each by a shingle at least; linked sets differ in
+    (1 - t) / (1 + t) of both sizes at most. Short sets' cells tell no such bound.
     """
-    mine = cells.select("doc_id", "cell", "layer", "weight", "n", "parts")
-    theirs = cells.select(F.col("doc_id").alias("pivot"), "cell", F.col("n").alias("p_n"), F.col("parts").alias("p_parts"))
-    met = pairs.join(mine, "doc_id").join(theirs, ["pivot", "cell"])
-    agreed = met.groupBy("doc_id", "pivot", "layer").agg(F.sum("weight").alias("agreed"), *[F.first(c).alias(c) for c in ("n", "p_n", "parts", "p_parts")])
-    differ = F.greatest("parts", "p_parts") - F.col("agreed")
-    return agreed.where((F.col("layer") == LAYER) | (differ <= (F.col("n") + F.col("p_n")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)).select("doc_id", "pivot").distinct()
+    mine = met.select("doc_id", "layer", "n", "parts", "keys")
+    theirs = met.select(F.col("doc_id").alias("pivot"), "layer", F.col("n").alias("p_n"), F.col("parts").alias("p_parts"), F.col("keys").alias("p_keys"))
+    both = pairs.where(F.col("layer") != LAYER).join(mine, ["doc_id", "layer"]).join(theirs, ["pivot", "layer"])
+    differ = F.greatest("parts", "p_parts") - F.size(F.array_intersect("keys", "p_keys"))
+    alike = both.where(differ <= (F.col("n") + F.col("p_n")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
+    return alike.select("doc_id", "pivot").union(pairs.where(F.col("layer") == LAYER).select("doc_id", "pivot")).distinct()
 
 
 def _contested(cells: DataFrame) -> DataFrame:
@@ -240,8 +254,8 @@ def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0
     classes = known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
     sets = cut_lineage(known.join(classes, ["n", "one", "two"]).select("doc_id", "n", "rep", "weak", "parts", "parts_below"))
     docs = all_docs.where("doc_id is not null and text is not null")
-    met = _candidates(docs, sets, size, threshold)
-    cells = _ranked(met)
+    met, cells = _candidates(docs, sets, size, threshold)
+    cells = _ranked(cells)
 
     texts = cut_lineage(docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     links, groups, taken = None, None, 1
@@ -250,7 +264,7 @@ def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0
         near = F.coalesce(F.abs(F.col("distance") - F.col("p_distance")) <= 1 - threshold + 1e-9, F.lit(True))
         alike = F.least("n", "p_n") >= F.greatest("n", "p_n") * threshold - 1e-9
         placed = cells.join(pivots, "cell").where((F.col("place") > F.col("p_place")) & near & alike & (F.col("component") != F.col("p_component")))
-        pairs = cut_lineage(_possible(placed.select("doc_id", F.col("p_doc_id").alias("pivot")).distinct(), met, threshold))
+        pairs = cut_lineage(_possible(placed.select("doc_id", F.col("p_doc_id").alias("pivot"), "layer").distinct(), met, threshold))
         if pairs.isEmpty():
             cells = cut_lineage(_contested(cells.where(F.col("place") > taken).drop("place")))
             taken *= 4
@@ -267,7 +281,7 @@ def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0
         left = cells.where(F.col("place") > taken).drop("distance", "place").join(first, "cell").join(measured, ["doc_id", "pivot"], "left").drop("pivot")
         if groups is not None:
             left = left.drop("component").join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("grouped", "doc_id"))
-        cells = cut_lineage(_contested(left.select("cell", "doc_id", "n", "rank", "component", "distance")))
+        cells = cut_lineage(_contested(left.select("cell", "layer", "doc_id", "n", "rank", "component", "distance")))
         taken *= 4  # cells that are left have members that don't link, which all need comparing
 
     class_of = sets.select("doc_id", "rep").dropDuplicates(["doc_id"])

@@ -194,7 +194,7 @@ def _candidates(docs: DataFrame, sets: DataFrame, size: int, threshold: float) -
     met = cut_lineage(by_doc.select("doc_id", "layer", "n", "parts", F.col("k.key").alias("keys"), may.alias("may")))
     chosen = met.where("may > 0").select(F.explode(F.slice("keys", F.lit(1), F.col("may"))).alias("key"), "doc_id")
 
-    shingles = docs.mapInArrow(_shingles(size, ranges), "key long, doc_id long, n long").join(reps.select("doc_id"), "doc_id", "left_semi")
+    shingles = cut_lineage(docs.mapInArrow(_shingles(size, ranges), "key long, doc_id long, n long").join(reps.select("doc_id"), "doc_id", "left_semi"))
     often = shingles.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     order = Window.partitionBy("doc_id").orderBy(F.desc("often"), F.desc("key"))
     # the rarest n - ceil(t n) + 1 are those with at least ceil(t n) - 1 behind them
@@ -231,10 +231,12 @@ def _possible(pairs: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
 
 
 def _contested(cells: DataFrame) -> DataFrame:
-    """Cells with members of two components, and their members' places as pivots."""
+    """Cells with members of two components, one of each that now have the same members, and their members' places as pivots."""
     order = Window.partitionBy("cell").orderBy("rank", "doc_id")
-    open_cells = cells.groupBy("cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("cell")
-    return cells.join(open_cells, "cell", "left_semi").withColumn("place", F.row_number().over(order))
+    signs = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+    open_cells = cells.groupBy("cell", "layer").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members"), *signs).where("a < b")
+    lead = open_cells.groupBy("layer", "members", "s1", "s2").agg(F.min("cell").alias("cell"))
+    return cells.join(lead.select("cell"), "cell", "left_semi").withColumn("place", F.row_number().over(order))
 
 
 def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:

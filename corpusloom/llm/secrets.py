@@ -25,7 +25,8 @@ COMMON = "example|password|secret|sample|dummy|test|user|name|change|your|here|t
 PREFIX = r"(?:AKIA|ASIA)[A-Z0-9]{16}"
 MIXED = r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]{11,}"
 NAMED = rf"(?i:{KEY_WORDS})\W{{0,2}}[=:]"
-MAYBE = rf"{PREFIX}|{MIXED}|(?i:{KEY_WORDS})\s{{0,4}}[=:\"']"
+#: Only looked for at a run's first sign, so that a very long run is read once.
+MAYBE = rf"{PREFIX}|(?<![A-Za-z0-9+/_=-]){MIXED}|(?i:{KEY_WORDS})\s{{0,4}}[=:\"']"
 CANDIDATE = rf"^[\"'(\[<]*(?:{PREFIX}|{MIXED})|{NAMED}\S{{6}}"
 
 #: Share of trees that must vote for a secret.
@@ -67,7 +68,7 @@ def _value(own: Column) -> Column:
     """The candidate itself: without the name it is assigned to, quotes and closing signs."""
     bare = F.regexp_replace(own, rf"^.*?{NAMED}+", "")
     bare = F.regexp_replace(bare, r"^[\"'(\[<]+", "")
-    return F.regexp_replace(bare, r"[\"'].*$|[^A-Za-z0-9+/=_-]+$", "")
+    return F.regexp_replace(bare, r"[\"'].*$|(?<![^A-Za-z0-9+/=_-])[^A-Za-z0-9+/=_-]+$", "")
 
 
 def labelled_findings(spark: SparkSession, each: int = 60) -> DataFrame:

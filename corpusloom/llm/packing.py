@@ -10,6 +10,7 @@ emptied and their pieces packed in the same way once more.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -27,8 +28,11 @@ from .words import slices
 BLOCK, ISLANDS, POPULATION, GENERATIONS = 4096, 2, 4, 6
 #: Words a worker's cache holds; it starts anew beyond that.
 CACHE = 500_000
-#: Signs that the tokenizer parts from letters before them.
-SIGNS = b".,;:!?*#%&$|"
+#: Signs that the tokenizer parts from letters and numbers beside them, and letters and digits of one byte.
+SIGNS = string.punctuation.encode()
+PLAIN = frozenset((string.ascii_letters + string.digits).encode())
+#: Marks that join some small letters, but not the capitals, to one character: such texts are not lower-cased beforehand.
+JOINING = "\u0308\u030a\u030c\u0331\u0344"
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -39,31 +43,63 @@ def _tokenizer(path: str) -> tuple:
 
         found = Tokenizer.from_file(path)
         found.encode_special_tokens = True  # their strings in a text are ordinary text
-        _TOKENIZERS[path] = (found, {})
+        _TOKENIZERS[path] = (found, {}, {})
     return _TOKENIZERS[path]
 
 
+def _parted(tokenizer, letter: str, known: dict[str, bool]) -> bool:
+    """Whether the tokenizer, by its own rules, parts a character from signs on both sides."""
+    if letter not in known:
+        pieces = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(f".{letter}."))
+        known[letter] = len(pieces) > 2 and pieces[0][0] == pieces[-1][0] == "."
+    return known[letter]
+
+
+def _cut(tokenizer, word: bytes, known: dict[str, bool]) -> tuple[bytes, ...]:
+    """The word's opening signs, body and closing signs, as far as the tokenizer parts them; the word whole otherwise.
+
+    A run of signs is one piece for the tokenizer, and marks and emoji are signs to it. So only what stands beside a
+    letter or number is cut off, and not an opening apostrophe, which may be part of a contraction.
+    """
+    body = word.strip(SIGNS)
+    if not body or len(body) == len(word):
+        return (word,)
+    start = word.index(body)
+    end = start + len(body)
+    first, last = body[0] in PLAIN, body[-1] in PLAIN
+    if not (first and last):
+        text = body.decode()
+        first, last = first or _parted(tokenizer, text[0], known), last or _parted(tokenizer, text[-1], known)
+    if not first or word[:start] == b"'":
+        start = 0
+    if not last:
+        end = len(word)
+    return tuple(x for x in (word[:start], word[start:end], word[end:]) if x)
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of whole texts as little-endian 32-bit numbers.
 
-    The tokenizer lower-cases, drops white space, never joins what that separates, and parts letters from signs. So a
-    text's ids are its lower-cased words' ids in order, and a word's those of its body and of the signs at its end;
-    these are encoded once and then looked up.
+    The tokenizer lower-cases, drops white space, never joins what that separates, and parts letters and numbers from
+    signs. So a text's ids are its lower-cased words' ids in order, and a word's those of its body and of the signs
+    before and after it; these are encoded once and then looked up.
     """
-    tokenizer, cache = _tokenizer(path)
+    tokenizer, cache, known = _tokenizer(path)
     if len(cache) > CACHE:
         cache.clear()
-    split = [(text or "").encode().lower().split() for text in texts]
+    split = []
+    for text in texts:
+        raw = (text or "").encode()
+        split.append((raw if text and not text.isascii() and any(m in text for m in JOINING) else raw.lower()).split())
     new = set().union(*split).difference(cache)
     if new:
-        bodies = {w: w.rstrip(SIGNS) for w in new}
-        parts = set(bodies.values()).union(w[len(b) :] for w, b in bodies.items()).difference(cache, (b"",))
-        ordered = list(parts)
+        cuts = {w: _cut(tokenizer, w, known) for w in new}
+        ordered = list(set().union(*cuts.values()).difference(cache))
         for part, found in zip(ordered, tokenizer.encode_batch_fast([w.decode() for w in ordered], add_special_tokens=False), strict=True):
             cache[part] = np.array(found.ids, "<u4").tobytes()
-        for w, b in bodies.items():
-            if len(b) < len(w):
-                cache[w] = cache.get(b, b"") + cache[w[len(b) :]]
+        for w, parts in cuts.items():
+            if len(parts) > 1:
+                cache[w] = b"".join(map(cache.__getitem__, parts))
     out = [b"".join(map(cache.__getitem__, words)) for words in split]
     for word in new:
         if len(word) > 100:

@@ -175,6 +175,23 @@ def test_packing(spark):
     assert len(bins) <= -(-sum(x[1] for x in wanted.values()) // 4096) + 1
 
 
+def test_ids_of_words_with_signs():
+    """Words that begin or end in signs, marks and emoji, alone and in every order of two, against the tokenizer on whole texts."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm.packing import encode
+
+    place = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(place)
+    tokenizer.encode_special_tokens = True
+    signs = ["(above).", '"quoted",', 'end"!!', 'end..."###', "😀!", "❤️.", "\u0939\u093f\u0928\u094d\u0926\u0940.", "e\u0301!", "\u0958.", "\u0130.", "'s", "'s.", "(\'s", "'tis,", "don't.", "½.", "(x)", "H\u0331a", "T\u0344.", "日本。", "...", "="]
+    texts = signs + [a + b for a in signs for b in signs] + [f"{a} {b}" for a in signs for b in signs]
+    wanted = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [t for t, got, w in zip(texts, encode(texts, place), wanted, strict=True) if got != w] == []
+
+
 def test_languages_held_out(spark):
     truth = {r["doc_id"]: r["lang"] for r in rows_of(spark.read.parquet(f"{SF_DIR}/documents.parquet"))}
     held = [r for r in rows_of(Q.op10_language_id(spark, SF_DIR)) if r["held_out"] and truth[r["doc_id"]] and r["lang_pred"] != "und"]

@@ -23,11 +23,15 @@ COMMON = "example|password|secret|sample|dummy|test|user|name|change|your|here|t
 
 #: What may be a secret: a known prefix, a value after a naming word, or a long mix of letters and digits.
 PREFIX = r"(?:AKIA|ASIA)[A-Z0-9]{16}"
-MIXED = r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]{11,}"
+MIXED = r"(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{12}"
 NAMED = rf"(?i:{KEY_WORDS})\W{{0,2}}[=:]"
-#: Only looked for at a run's first sign, so that a very long run is read once.
-MAYBE = rf"{PREFIX}|(?<![A-Za-z0-9+/_=-]){MIXED}|(?i:{KEY_WORDS})\s{{0,4}}[=:\"']"
-CANDIDATE = rf"^[\"'(\[<]*(?:{PREFIX}|{MIXED})|{NAMED}\S{{6}}"
+#: At a word's end, a naming word and the sign that assigns the next word to it.
+ASSIGNS = rf"(?i:{KEY_WORDS})\W*[=:]"
+CANDIDATE = rf"{PREFIX}|^[\"'(\[<]*{MIXED}|{NAMED}\S{{6}}"
+#: Holds for every text with a candidate. A mix is only looked for at a run's first sign, so that a very long run is read once.
+MAYBE = rf"{PREFIX}|(?<![A-Za-z0-9+/_=-]){MIXED}|{ASSIGNS}"
+#: A known prefix's key inside a value.
+KEY = rf"(?<![A-Za-z0-9]){PREFIX}(?![A-Za-z0-9])"
 
 #: Share of trees that must vote for a secret.
 LEAST = 0.5
@@ -55,7 +59,7 @@ def _features(value: Column, own: Column, before: Column, after: Column) -> list
         number(_share(lower, "[^aeiouy]")),
         number(F.regexp_count(value, F.lit(r"[/\\.]"))),
         number(F.regexp_count(value, F.lit(r"[^A-Za-z0-9]"))),
-        number(value.rlike(f"^{PREFIX}$")),
+        number(value.rlike(KEY)),
         number(own.rlike(NAMED)),
         number(before.rlike(rf"(?i)(?:^|\W)(?:{KEY_WORDS})\W*(?:\s+[=:]+)?\s*$")),
         number(before.rlike(r"[=:]\s*$") | own.rlike("[=:]")),
@@ -151,7 +155,7 @@ def _candidates(words: Column) -> Column:
     def candidate(own: Column, i: Column) -> Column:
         near = lambda k: F.coalesce(F.get(words, i + k), F.lit(""))
         found = F.struct(i.alias("word"), own.alias("own"), F.concat_ws(" ", near(-3), near(-2), near(-1)).alias("before"), near(1).alias("after"))
-        assigned = own.rlike(r"^[\"']?\S{6,}[\"']?$") & F.concat_ws(" ", near(-2), near(-1)).rlike(rf"(?i)(?:{KEY_WORDS})\W*[=:]$")
+        assigned = own.rlike(r"^[\"']?\S{6,}[\"']?$") & F.concat_ws(" ", near(-2), near(-1)).rlike(rf"{ASSIGNS}$")
         return F.when(own.rlike(CANDIDATE) | assigned, found)
 
     return F.filter(F.transform(words, candidate), lambda c: c.isNotNull())
@@ -159,7 +163,7 @@ def _candidates(words: Column) -> Column:
 
 def _kind(value: Column, own: Column, before: Column) -> Column:
     named = own.rlike(NAMED) | before.rlike(rf"(?i)(?:{KEY_WORDS})\W*$")
-    return F.when(value.rlike(f"^{PREFIX}$"), "access_key").when(named, "assignment").otherwise("token")
+    return F.when(value.rlike(KEY), "access_key").when(named, "assignment").otherwise("token")
 
 
 def scan_secrets(documents: DataFrame, findings: DataFrame | None = None) -> DataFrame:

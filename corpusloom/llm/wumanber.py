@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut_lineage
 from .words import Prefix, U, Words, cut, mix, slices
 
 #: Words of benchmark items searched for at once: tables of one pass are broadcast, so they are kept to some 200 MB.
@@ -128,7 +129,12 @@ def search(words: Words, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
 
 
-def _scan(tables_at) -> Callable:
+FOUND = ("n_words", "hit_words", "item_ids")
+
+
+def _scan(tables_at, further: bool) -> Callable:
+    """Adds a pass's finds to rows. further: rows have those of earlier passes, which stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = tables_at.value
         for batch in batches:
@@ -139,15 +145,20 @@ def _scan(tables_at) -> Callable:
                 np.add.at(change, first, 1)
                 np.add.at(change, first + length, -1)
                 hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                places: list[list[int]] = [[] for _ in range(part.num_rows)]
+                places: list[set[int]] = [set() for _ in range(part.num_rows)]
                 items: list[set[int]] = [set() for _ in range(part.num_rows)]
+                if further:
+                    for found, name in ((places, "hit_words"), (items, "item_ids")):
+                        for d, x in enumerate(part.column(name).to_pylist()):
+                            found[d].update(x)
                 for w, d in zip(hit.tolist(), words.doc[hit].tolist(), strict=True):
-                    places[d].append(w - int(words.offsets[d]))
+                    places[d].add(w - int(words.offsets[d]))
                 for d, i in zip(words.doc[first].tolist(), item.tolist(), strict=True):
                     items[d].add(i)
+                names = [c for c in part.schema.names if c not in FOUND]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in part.schema.names), pa.array(words.lengths()), pa.array(places, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
-                    [*part.schema.names, "n_words", "hit_words", "item_ids"],
+                    [*(part.column(c) for c in names), pa.array(words.lengths()), pa.array([sorted(x) for x in places], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))],
+                    [*names, *FOUND],
                 )
 
     return run
@@ -158,11 +169,12 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, size: int = 10) -
 
     A window is `size` consecutive words of an item, or a shorter item whole. Words are letters, digits and
     non-ASCII characters, with A-Z lower-cased. Items are searched for in passes of PASS_WORDS words, so tables
-    have a bound however large the benchmark is; all passes' results are joined. Null texts have no words, wordless
+    have a bound however large the benchmark is. Each further pass reads the rows that the one before has written and
+    adds to their hit_words and item_ids, so every row, whatever its doc_id, has all passes' finds. Null texts have no words, wordless
     items and those with null ids match nothing, and an empty benchmark leaves all documents clean.
     """
     names = documents.columns
-    clash = {"n_words", "hit_words", "item_ids"} & set(names)
+    clash = set(FOUND) & set(names)
     if clash:
         documents = documents.drop(*clash)
         names = [c for c in names if c not in clash]
@@ -172,27 +184,21 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, size: int = 10) -
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     result, block, held = None, ([], []), 0
 
-    def searched(ids: list[int], texts: list[str]) -> DataFrame:
+    def searched(rows: DataFrame | None, ids: list[int], texts: list[str]) -> DataFrame:
         tables = spark.sparkContext.broadcast(build(ids, texts, size))
-        return documents.mapInArrow(_scan(tables), f"{plain}, n_words long, hit_words array<int>, item_ids array<long>")
+        # written between passes, so that a task holds the tables of one pass only
+        before = documents if rows is None else cut_lineage(rows)
+        return before.mapInArrow(_scan(tables, rows is not None), f"{plain}, n_words long, hit_words array<int>, item_ids array<long>")
 
-    passes: list[DataFrame] = []
     for row in items.toLocalIterator():  # one partition of the benchmark at a time
         block[0].append(row.item_id)
         block[1].append(row.text)
         held += len(row.text) // 2 + 1
         if held >= PASS_WORDS:
-            passes.append(searched(*block))
+            result = searched(result, *block)
             block, held = ([], []), 0
-    if block[0] or not passes:
-        passes.append(searched(*block))
-    result = passes[0]
-    for more in passes[1:]:
-        seen = more.select(F.col("doc_id").alias("__id"), F.col("hit_words").alias("__h"), F.col("item_ids").alias("__i")).where(F.size("__h") > 0)
-        seen = seen.dropDuplicates(["__id"])
-        result = result.join(seen, F.col("doc_id") == F.col("__id"), "left")
-        empty = F.array()
-        result = result.withColumn("hit_words", F.array_sort(F.array_union("hit_words", F.coalesce("__h", empty.cast("array<int>"))))).withColumn("item_ids", F.array_union("item_ids", F.coalesce("__i", empty.cast("array<bigint>")))).drop("__id", "__h", "__i")
+    if block[0] or result is None:
+        result = searched(result, *block)
     return result
 
 

@@ -242,6 +242,21 @@ def test_secret_scan_stays_in_the_jvm(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_benchmark_in_passes(spark, monkeypatch):
+    """Each row has its own finds of all passes, without an id and with an id that another text has too."""
+    from corpusloom.llm import wumanber
+
+    items = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcd"]
+    rows = [(None, items[2]), (None, "clean text"), (5, items[1] + " x " + items[3]), (5, "also clean"), (5, items[3]), (6, items[0] + " y " + items[2]), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    read = lambda: {(r["doc_id"], r["text"]): (r["n_words"], r["hit_words"], r["item_ids"]) for r in rows_of(wumanber.find_benchmark(docs, bench))}
+    whole = read()
+    assert {k: v[2] for k, v in whole.items()} == dict(zip(rows, [[2], [], [1, 3], [], [3], [0, 2], []], strict=True))
+    monkeypatch.setattr(wumanber, "PASS_WORDS", 1)
+    assert read() == whole
+
+
 def test_pipeline(spark):
     """Each stage against its operator's own answer on what the stage was given."""
     import corpus_pipeline as P

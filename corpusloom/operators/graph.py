@@ -9,6 +9,8 @@ KEY = ["doc_id", "sent_id"]
 UNREACHABLE = 99
 #: Relations that a nominal span keeps, and parts of speech trimmed from its ends.
 KEPT = ("flat", "flat:name", "amod", "det", "case", "compound", "nummod", "fixed")
+#: Further relations that it keeps below such parts of speech.
+KEPT_OF = {"nmod": ("NOUN", "PROPN", "NUM", "ADJ"), "appos": ("PROPN",)}
 LEFT_TRIM, RIGHT_TRIM = ("DET", "ADP", "PUNCT"), ("PUNCT", "ADP")
 
 
@@ -29,6 +31,12 @@ def hops(tokens: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:
     return reached.groupBy(*KEY, "source", "tok_id").agg(F.min("hops").alias("hops"))
 
 
+def all_hops(tokens: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:
+    """The same for every token of a source's sentence, UNREACHABLE for those that are further away or not linked."""
+    pairs = sources.select(*KEY, F.col("tok_id").alias("source")).join(tokens.select(*KEY, "tok_id"), KEY)
+    return pairs.join(hops(tokens, sources, most), [*KEY, "source", "tok_id"], "left").withColumn("hops", F.coalesce("hops", F.lit(UNREACHABLE)))
+
+
 def span_heads(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """The head token of each (key, first, last) span: the first whose governor is the root or outside."""
     t = tokens.select(*KEY, "tok_id", "head")
@@ -46,15 +54,26 @@ def trim_bounds(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return inside.groupBy(*KEY, "first", "last").agg(left.alias("trim_first"), right.alias("trim_last")).where("trim_first <= trim_last")
 
 
-def closure(tokens: DataFrame, roots: DataFrame, kept: tuple[str, ...] = KEPT, depth: int = 6) -> DataFrame:
-    """(key, root, first, last, size): the nominal subtree of each root, through kept relations only."""
-    edges = tokens.where(F.col("deprel").isin(*kept)).select(*[F.col(k).alias(f"e_{k}") for k in KEY], F.col("tok_id").alias("child"), "head")
-    reached = roots.select(*KEY, F.col("tok_id").alias("root"), "tok_id")
-    front = reached
-    for _ in range(depth):
-        front = front.join(edges, [*(F.col(k) == F.col(f"e_{k}") for k in KEY), F.col("tok_id") == F.col("head")]).select(*KEY, "root", F.col("child").alias("tok_id"))
+def _written(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def closure(tokens: DataFrame, roots: DataFrame, kept: tuple[str, ...] = KEPT) -> DataFrame:
+    """(key, root, first, last, size): the nominal subtree of each root, through kept relations (or subtypes of them) only.
+
+    Steps go on until no token is new, so chains of any length are followed and cycles end.
+    """
+    base = F.substring_index(F.lower("deprel"), ":", 1)
+    follow = base.isin(*{k.split(":")[0] for k in kept}, "name")
+    for relation, parts in KEPT_OF.items():
+        follow = follow | ((base == relation) & F.col("upos").isin(*parts))
+    edges = _written(tokens.where(follow).select(*[F.col(k).alias(f"e_{k}") for k in KEY], F.col("tok_id").alias("child"), "head"))
+    reached = front = _written(roots.select(*KEY, F.col("tok_id").alias("root"), "tok_id").distinct())
+    while not front.isEmpty():
+        step = front.join(edges, [*(F.col(k) == F.col(f"e_{k}") for k in KEY), F.col("tok_id") == F.col("head")]).select(*KEY, "root", F.col("child").alias("tok_id"))
+        front = _written(step.distinct().join(reached, [*KEY, "root", "tok_id"], "left_anti"))
         reached = reached.union(front)
-    return reached.distinct().groupBy(*KEY, "root").agg(F.min("tok_id").alias("first"), F.max("tok_id").alias("last"), F.count("*").alias("size"))
+    return reached.groupBy(*KEY, "root").agg(F.min("tok_id").alias("first"), F.max("tok_id").alias("last"), F.count("*").alias("size"))
 
 
 def governing_verb(tokens: DataFrame, most: int = 4) -> DataFrame:

@@ -35,6 +35,18 @@ def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.hops(ud, ud.where("tok_id = 3"), 3).select(*G.KEY, "tok_id", "hops")
 
 
+@query(
+    f"""WITH RECURSIVE {UD}, e AS (SELECT doc_id, sent_id, tok_id AS x, head AS y FROM ud WHERE head > 0 UNION ALL SELECT doc_id, sent_id, head, tok_id FROM ud WHERE head > 0),
+    r AS (SELECT doc_id, sent_id, tok_id AS source, tok_id, 0 AS hops FROM ud WHERE upos = 'VERB' UNION SELECT r.doc_id, r.sent_id, r.source, e.y, hops + 1 FROM r JOIN e ON e.doc_id = r.doc_id AND e.sent_id = r.sent_id AND e.x = r.tok_id WHERE hops < 5),
+    m AS (SELECT doc_id, sent_id, source, tok_id, min(hops) AS hops FROM r GROUP BY ALL)
+    SELECT v.doc_id, v.sent_id, v.tok_id AS source, t.tok_id, coalesce(m.hops, 99) AS hops FROM ud v JOIN ud t USING (doc_id, sent_id) LEFT JOIN m ON m.doc_id = v.doc_id AND m.sent_id = v.sent_id AND m.source = v.tok_id AND m.tok_id = t.tok_id WHERE v.upos = 'VERB'"""
+)
+def trigger_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected steps from each verb to every token of its sentence, at most five, and 99 beyond."""
+    ud = _ud(spark, sf_dir)
+    return G.all_hops(ud, ud.where("upos = 'VERB'")).select(*G.KEY, "source", "tok_id", "hops")
+
+
 @query(
     f"""WITH {UD}, s AS (SELECT DISTINCT doc_id, sent_id, tok_id AS first, tok_id + 3 AS last FROM ud WHERE tok_id % 4 = 1), i AS (SELECT s.*, t.tok_id, t.head FROM s JOIN ud t USING (doc_id, sent_id) WHERE t.tok_id BETWEEN first AND last)
     SELECT doc_id, sent_id, first, last, min(tok_id) AS head_tok FROM i WHERE head = 0 OR NOT head BETWEEN first AND last GROUP BY ALL"""

@@ -1,42 +1,40 @@
-"""N-gram Jaccard join in the metric space of shingle sets.
-
-Jaccard distance is a metric, and two documents link when theirs is at most r = 1 - threshold. The space is
-cut in regions, twice, and searched region by region, exactly:
-
-* *Size regions.* Sizes fall in bands that double. A neighbour at distance r differs in size by a factor of
-  1 / threshold at most, so documents that close to a band's lower bound are replicated into the band below.
-* *Cells.* Inside a band the universe of shingles is dealt into m parts by hash. Two linked sets differ in at most
-  n * r / threshold shingles (n: the smaller set's size), so in no more parts than that; a set with more non-empty
-  parts than that agrees with each neighbour on one of them entirely. Documents with the same part share a cell.
-  m grows with the band, so a part holds a few shingles: a passage that many documents have doesn't bring them
-  together, near copies do. The rare set with too few parts sends its whole size range through the path of the short.
-  Of a set's parts only the rarest count, one more than linked sets differ in: linked sets have one of these in common.
-* *Short documents* (few shingles make parts too small) meet in cells of single shingles, those among the
-  n - ceil(threshold * n) + 1 rarest of a set; linked sets share one of these.
-
-Cells with the same members collapse into one. Then, in rounds, each cell takes a pivot, the member that shares most
-of its parts, and all members' exact distances to it are found. Those within r join the pivot's component: its
-Voronoi region. If members of different components remain, the cell without its pivot is searched again, with more
-pivots and with the triangle inequality as window: two members can link only if their distances to the cell's first
-pivot differ by r at most. A cell is done when its members are of one component. So a group of g copies takes
-about g comparisons, not g**2.
+"""N-gram Jaccard join in the metric space of shingle sets, by pivots, Voronoi regions and boundary windows.
+
+Jaccard distance d is a metric, and two documents link when d <= r = 1 - threshold.
+
+* *Classes.* Documents with equal sets are one point of the space, so copies cost nothing further.
+* *Points that may link.* Shingles have a common order (by hash). Of two linked sets of about n shingles, the first
+  n * r + l of each share l or more. So a point with fewer shared ones there has no neighbour and leaves. Only the points
+  that stay are compared, and only what they share with each other counts from then on; their other shingles are their own.
+* *Pivots.* In each round, of the points that share rare shingles, those with the least share of own ones lead: they
+  stand in the middle of a group of copies. A point leads if it does so for half of its shared rare shingles, so pivots stand apart.
+* *Distances.* Two points within 2r have one of their n - ceil((1 - 2r) n) + 1 rarest shingles in common. So these few
+  shingles bring every point together with all pivots within 2r, and no other distance is needed.
+* *Voronoi regions.* A point within r of a pivot links with it and belongs to the region of its nearest one. All of
+  a region is one component by that, so nothing in it need be compared with each other.
+* *Boundary windows.* If x is outside of region p and links with y inside, then d(x, p) <= d(y, p) + r <= 2r. So points
+  at more than r and at most 2r are replicated into p's window, and x is only compared with those y for which
+  |d(x, p) - d(y, p)| <= r and for which what both share with p, and besides p, would be enough.
+* *Recursion.* Points in no region are dealt anew, with more pivots each round, until none share a rare shingle.
+
+So a group of g near copies takes about g distances, not g**2.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .repeats import _shared
-from .shared import components, cut_lineage
-from .words import Prefix, U, Words, cut, mix, signed, slices
+from .shared import add_columns, components, cut_lineage
+from .words import Prefix, U, Words, cut, lists, mix, signed, slices
 
-#: Sets of fewer shingles are short; parts in the first band, chosen so that the largest sets there have parts of 3.2 shingles.
-SHORT, PARTS = 96, 60
+#: Share of a set that its first shingles hold besides the n * r ones, and that linked sets then share of them at least.
+MORE = 0.1
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,43 +53,19 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return value, doc, np.bincount(doc, minlength=len(lengths))
 
 
-def _band(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(n, SHORT) / SHORT)).astype(np.int64)
+def _fingerprints(value: np.ndarray, doc: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    one, two = np.zeros(len(n), U), np.zeros(len(n), U)
+    np.add.at(one, doc, mix(value))
+    np.add.at(two, doc, mix(value ^ U(0xD6E8FEB86659FD93)))
+    return [pa.array(n), pa.array(signed(one)), pa.array(signed(two))]
 
 
-def _parts(value: np.ndarray, doc: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the non-empty parts of sets, and whose they are. band: of each text."""
-    count = PARTS << band
-    bounds = np.concatenate([[0], np.cumsum(count)])
-    salt = mix((band + 1).astype(U) * U(0x9FB21C651E98DF25))
-    scrambled = mix(value ^ salt[doc])
-    part = ((scrambled >> U(32)) * count[doc].astype(U) >> U(32)).astype(np.int64)
-    place = bounds[doc] + part
-    total = np.zeros(bounds[-1], U)
-    np.add.at(total, place, mix(scrambled))
-    full = np.flatnonzero(np.bincount(place, minlength=len(total)) > 0)
-    owner = np.searchsorted(bounds, full, "right") - 1
-    return mix(total[full] + (full - bounds[owner]).astype(U) * U(0x2545F4914F6CDD1D) + salt[owner]), owner
+KEYS = ["n", "one", "two"]
 
 
-#: The last bits of a cell's key tell its layer: the band, or all ones for shingles of the short.
-LAYER = 31
-
-
-def _tag(key: np.ndarray, band: np.ndarray) -> np.ndarray:
-    return (key & ~U(LAYER)) | np.minimum(band, LAYER - 1).astype(U)
-
-
-def _select(value: np.ndarray, doc: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sets of some texts only, renumbered; also the texts' numbers before."""
-    number = np.cumsum(wanted) - 1
-    on = wanted[doc]
-    return value[on], number[doc[on]], np.flatnonzero(wanted)
-
-
-def _layers(n: np.ndarray, band: np.ndarray, threshold: float) -> tuple[tuple[np.ndarray, int], tuple[np.ndarray, int]]:
-    """Which sets are dealt into parts by their own band, and which by the one below too."""
-    return (n >= SHORT, 0), ((band > 0) & (n * threshold <= SHORT * np.exp2(band)), 1)
+def _least(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Shingles that a linked set of n has in common with any other at least."""
+    return np.ceil(n * threshold - 1e-9).astype(np.int64)
 
 
 def _summary(size: int, threshold: float) -> Callable:
@@ -99,144 +73,146 @@ def _summary(size: int, threshold: float) -> Callable:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, doc, n = shingle_sets(cut(part.column("text"), True, False), size)
-                one, two = np.zeros(len(n), U), np.zeros(len(n), U)
-                np.add.at(one, doc, mix(value))
-                np.add.at(two, doc, mix(value ^ U(0xD6E8FEB86659FD93)))
-                band = _band(n)
-                parts = []
-                for wanted, shift in _layers(n, band, threshold):
-                    count = np.zeros(len(n), np.int64)
-                    v, d, which = _select(value, doc, wanted)
-                    if len(which):
-                        count[which] = np.bincount(_parts(v, d, band[which] - shift)[1], minlength=len(which))
-                    parts.append(count)
-                weak = (n >= SHORT) & (parts[0] <= np.floor(n * (1 - threshold) / threshold + 1e-9))
-                columns = [part.column("doc_id"), pa.array(n), pa.array(signed(one)), pa.array(signed(two)), pa.array(weak), *map(pa.array, parts)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "one", "two", "weak", "parts", "parts_below"])
-
-    return run
-
-
-def _cells(size: int, threshold: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                value, doc, n = shingle_sets(cut(part.column("text"), True, False), size)
-                band = _band(n)
-                for wanted, shift in _layers(n, band, threshold):
-                    v, d, which = _select(value, doc, wanted)
-                    if len(which):
-                        key, owner = _parts(v, d, band[which] - shift)
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(_tag(key, (band[which] - shift)[owner]))), pa.array(ids[which[owner]])], ["key", "doc_id"])
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                count = np.where(n > 0, np.minimum(n, n - _least(n, threshold) + np.maximum(1, (n * MORE).astype(np.int64))), 0)
+                first = np.arange(len(value)) - bounds[doc] < count[doc]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_fingerprints(value, doc, n), lists(signed(value[first]), count, pa.int64())], ["doc_id", *KEYS, "first"])
 
     return run
 
 
-def _shingles(size: int, ranges: list[tuple[float, float]]) -> Callable:
+def _sets(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 value, doc, n = shingle_sets(cut(part.column("text"), True, False), size)
-                wanted = np.zeros(len(n), bool)
-                for low, high in ranges:
-                    wanted |= (n >= low) & (n <= high)
-                v, d, which = _select(value, doc, wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array(ids[which[d]]), pa.array(n[which[d]])], ["key", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([*_fingerprints(value, doc, n), lists(signed(value), n, pa.int64())], [*KEYS, "shingles"])
 
     return run
 
 
-def _distances(size: int) -> Callable:
-    """From rows sorted by (pivot, member first: the pivot itself): exact overlaps with the pivot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, center = None, np.zeros(0, U)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                pivots, own, ids = (part.column(c).to_pylist() for c in ("pivot", "own", "doc_id"))
-                value, _, n = shingle_sets(cut(part.column("text"), True, False), size)
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                rows = []
-                for i, p in enumerate(pivots):
-                    mine = value[bounds[i] : bounds[i + 1]]
-                    if own[i] == 0:
-                        pivot, center = p, mine.copy()
-                    elif p == pivot:
-                        common = len(np.intersect1d(mine, center, assume_unique=True))
-                        rows.append((ids[i], p, common, len(mine) + len(center) - common))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "pivot", "common", "either"])
-
-    return run
+def _points(docs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(point, n, shingles) of the classes that may have a neighbour."""
+    firsts = rows.join(classes.select(F.col("point").alias("row")), "row", "left_semi").select(F.col("row").alias("point"), "n", F.explode("first").alias("key"))
+    shared = firsts.join(firsts.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "key")
+    # a linked set has threshold * n shingles at least, so that many of its first ones count
+    needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * F.lit(threshold) - 1e-9) * F.lit(MORE)))
+    stay = shared.groupBy("point", "n").agg(F.count("*").alias("c")).where(F.col("c") >= needed).select("point")
+    stay = cut_lineage(classes.join(stay, "point", "left_semi"))
+    some = docs.join(stay.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = some.select("text").mapInArrow(_sets(size), "n long, one long, two long, shingles array<long>")
+    return cut_lineage(sets.join(stay.select("point", *KEYS), KEYS).select("point", "n", "shingles").dropDuplicates(["point"]))
 
 
-def _candidates(docs: DataFrame, sets: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """What class representatives share, and the cells they meet in.
+def _entries(points: DataFrame, threshold: float) -> DataFrame:
+    """(key, point, n, own, close): each point's rarest shingles, of which two points within 2r share one; close: within r.
 
-    First (doc_id, layer, n, parts, keys, may): a set's parts that another text has too, rarest first, and how many of
-    them it has to meet others in. Then (cell, layer, doc_id, weight, n): cells with the same members count as one; weight says how many.
+    own: how many of its shingles no other point has.
     """
-    weak = [r[0] for r in sets.where("weak").select(F.floor(F.log2(F.col("n") / SHORT)).alias("band")).distinct().collect()]  # a few bands at most
-    ranges = [(1, SHORT / threshold), *((SHORT * 2**b * threshold, SHORT * 2 ** (b + 1) / threshold) for b in weak)]
-    same = F.col("rep") == F.col("doc_id")
-    reps = sets.where(same).select("doc_id", "n", "parts", "parts_below").dropDuplicates(["doc_id"])
-    one = Window.partitionBy("key")
-
-    parts = docs.mapInArrow(_cells(size, threshold), "key long, doc_id long").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long")
-    counted = parts.repartition("key").select("key", "doc_id", F.col("key").bitwiseAND(F.lit(LAYER)).alias("layer"), F.count("*").over(one).alias("often"))
-    own_band = F.col("layer") == F.least(F.floor(F.log2(F.col("n") / SHORT)), F.lit(LAYER - 1))
-    shared = counted.join(reps, "doc_id").withColumn("parts", F.when(own_band, F.col("parts")).otherwise(F.col("parts_below")))
-    by_doc = shared.groupBy("doc_id", "layer").agg(F.first("n").alias("n"), F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("k"))
-    # linked sets differ in so many parts at most; of one more part, the rarest, they have one in common
-    differ = F.floor(F.col("n") * F.lit((1 - threshold) / threshold) + 1e-9)
-    may = F.greatest(differ + 1 - (F.col("parts") - F.size("k")), F.lit(0)).cast("int")
-    met = cut_lineage(by_doc.select("doc_id", "layer", "n", "parts", F.col("k.key").alias("keys"), may.alias("may")))
-    chosen = met.where("may > 0").select(F.explode(F.slice("keys", F.lit(1), F.col("may"))).alias("key"), "doc_id")
-
-    shingles = cut_lineage(docs.mapInArrow(_shingles(size, ranges), "key long, doc_id long, n long").join(reps.select("doc_id"), "doc_id", "left_semi"))
-    often = shingles.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    order = Window.partitionBy("doc_id").orderBy(F.desc("often"), F.desc("key"))
-    # the rarest n - ceil(t n) + 1 are those with at least ceil(t n) - 1 behind them
-    behind = F.row_number().over(order) - 1
-    rare = shingles.join(often, "key").withColumn("behind", behind).where(F.col("behind") >= F.ceil(F.col("n") * F.lit(threshold) - 1e-9) - 1)
-    members = chosen.union(rare.select(F.xxhash64("key", F.lit("short")).bitwiseOR(F.lit(LAYER)).alias("key"), "doc_id"))
-
-    signs = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).over(one) for k in (1, 2)]
-    layer = F.col("key").bitwiseAND(F.lit(LAYER)).alias("layer")
-    held = members.repartition("key").select("doc_id", layer, F.count("*").over(one).alias("members"), signs[0].alias("s1"), signs[1].alias("s2")).where("members > 1")
-    cells = held.groupBy(F.xxhash64("s1", "s2", "members", "layer").alias("cell"), "layer", "doc_id").agg(F.count("*").alias("weight"))
-    return met, cut_lineage(cells.join(reps.select("doc_id", "n"), "doc_id"))
-
-
-def _ranked(cells: DataFrame) -> DataFrame:
-    """Cells of two members or more, in order of their rank as pivots: (cell, layer, doc_id, n, rank, component, distance, place)."""
-    rank = cells.groupBy("doc_id").agg(F.sum("weight").alias("shared"))
-    ranked = cells.join(rank, "doc_id").withColumn("rank", -F.col("shared") / F.col("n"))
-    return cut_lineage(_contested(ranked.select("cell", "layer", "doc_id", "n", "rank", F.col("doc_id").alias("component"), F.lit(None).cast("double").alias("distance"))))
-
-
-def _possible(pairs: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (doc_id, pivot, layer) that may link, by the parts they agree on.
-
-    Of the fuller set's parts, those they don't agree on differ, each by a shingle at least; linked sets differ in
-    (1 - t) / (1 + t) of both sizes at most. Short sets' cells tell no such bound.
-    """
-    mine = met.select("doc_id", "layer", "n", "parts", "keys")
-    theirs = met.select(F.col("doc_id").alias("pivot"), "layer", F.col("n").alias("p_n"), F.col("parts").alias("p_parts"), F.col("keys").alias("p_keys"))
-    both = pairs.where(F.col("layer") != LAYER).join(mine, ["doc_id", "layer"]).join(theirs, ["pivot", "layer"])
-    differ = F.greatest("parts", "p_parts") - F.size(F.array_intersect("keys", "p_keys"))
-    alike = both.where(differ <= (F.col("n") + F.col("p_n")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
-    return alike.select("doc_id", "pivot").union(pairs.where(F.col("layer") == LAYER).select("doc_id", "pivot")).distinct()
-
-
-def _contested(cells: DataFrame) -> DataFrame:
-    """Cells with members of two components, one of each that now have the same members, and their members' places as pivots."""
-    order = Window.partitionBy("cell").orderBy("rank", "doc_id")
-    signs = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
-    open_cells = cells.groupBy("cell", "layer").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members"), *signs).where("a < b")
-    lead = open_cells.groupBy("layer", "members", "s1", "s2").agg(F.min("cell").alias("cell"))
-    return cells.join(lead.select("cell"), "cell", "left_semi").withColumn("place", F.row_number().over(order))
+    keys = points.select("point", "n", F.explode("shingles").alias("key"))
+    often = keys.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    known = keys.join(often, "key").groupBy("point", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("k"))
+    known = known.withColumn("own", F.col("n") - F.size("k"))
+
+    def rarest(least: float) -> Column:
+        return F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1 - F.col("own")
+
+    known = known.withColumn("near", rarest(threshold)).where("near > 0")
+    taken = F.slice("k", F.lit(1), rarest(2 * threshold - 1).cast("int"))
+    rows = known.select("point", "n", "own", "near", F.posexplode(taken).alias("place", "k"))
+    return cut_lineage(rows.select(F.col("k.key").alias("key"), "point", "n", "own", (F.col("place") < F.col("near")).alias("close")))
+
+
+def _enough(common: Column, n: str, other: str, least: float) -> Column:
+    """Whether so many common shingles would make a similarity of `least`."""
+    return common >= (F.col(n) + F.col(other)) * F.lit(least / (1 + least)) - 1e-9
+
+
+def _measured(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the sizes n, m and the number of common shingles."""
+    left = points.select(F.col("point").alias("a"), "n", F.col("shingles").alias("x"))
+    right = points.select(F.col("point").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select(*pairs.columns, "n", "m", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
+
+
+def _pivots(close: DataFrame, leaders: int) -> DataFrame:
+    """Points that lead for half of their shingles, with so many leaders to a shingle."""
+    kept = close.groupBy("key").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a < b").select("key")
+    contested = close.join(kept, "key")
+    # the share of own shingles, made different for all points
+    rank = F.col("own") / F.col("n") + F.pmod(F.xxhash64("point"), F.lit(1 << 20)) * F.lit(1e-9)
+    led = contested.withColumn("rank", rank).groupBy("key", F.pmod(F.xxhash64("point", F.lit(7)), F.lit(leaders))).agg(F.min_by("point", "rank").alias("point"))
+    led = led.groupBy("point").agg(F.count("*").alias("led"))
+    total = contested.groupBy("point", "n", "own").agg(F.count("*").alias("total"))
+    return led.join(total, "point").where("2 * led >= total").select(F.col("point").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("p_own"))
+
+
+def _regions(points: DataFrame, entries: DataFrame, threshold: float) -> list[DataFrame]:
+    """For each round (pivot, point, n, m, common): points within 2r of pivots, of those in no region yet."""
+    r, wide = 1 - threshold, 2 * threshold - 1
+    rounds, leaders = [], 1
+    while True:
+        pivots = cut_lineage(_pivots(entries.where("close"), leaders))
+        if pivots.isEmpty():
+            return rounds
+        theirs = entries.select("key", F.col("point").alias("pivot")).join(pivots, "pivot")
+        met = entries.join(theirs, "key").where(F.col("point") != F.col("pivot"))
+        met = met.where(_enough(F.least(F.col("n") - F.col("own"), F.col("m") - F.col("p_own")), "n", "m", wide)).select("point", "pivot").distinct()
+        found = _measured(met.select(F.col("point").alias("a"), F.col("pivot").alias("b")), points)
+        found = found.where(_enough(F.col("common"), "n", "m", wide))
+        found = cut_lineage(found.select(F.col("b").alias("pivot"), F.col("a").alias("point"), "n", "m", "common"))
+        rounds.append(found)
+        inside = found.where(_enough(F.col("common"), "n", "m", 1 - r)).select("point").union(pivots.select("pivot")).distinct()
+        entries = cut_lineage(entries.join(inside, "point", "left_anti"))
+        leaders *= 8
+
+
+def _across(regions: DataFrame, points: DataFrame, entries: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) links between points of windows and of the regions they belong to, for points of different components."""
+    r = 1 - threshold
+    own = entries.select(F.col("point"), "own").distinct()
+    label = lambda name, out: grouped.select(F.col("node").alias(name), F.col("component").alias(out))
+    placed = regions.withColumn("d", 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).join(own, "point")
+    inside = F.col("d") <= r + 1e-9
+    nearest = Window.partitionBy("point").orderBy("d", "pivot")
+    region = placed.where(inside).withColumn("k", F.row_number().over(nearest)).where("k = 1")
+    window = placed.where(~inside).join(label("pivot", "p_group"), "pivot", "left").join(label("point", "group"), "point", "left")
+    window = window.where(F.coalesce("group", "point") != F.coalesce("p_group", "pivot"))
+    x = window.select("pivot", F.col("point").alias("a"), "n", F.col("own").alias("own"), F.col("common").alias("c"), "d")
+    y = region.select("pivot", F.col("point").alias("b"), F.col("n").alias("m"), F.col("own").alias("b_own"), F.col("common").alias("e"), F.col("d").alias("b_d"))
+    # shared within the pivot's set and beside it
+    most = F.least("c", "e") + F.least(F.col("n") - F.col("own") - F.col("c"), F.col("m") - F.col("b_own") - F.col("e"))
+    near = (F.abs(F.col("d") - F.col("b_d")) <= r + 1e-9) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - 1e-9)
+    pairs = x.join(y, "pivot").where(near & _enough(most, "n", "m", threshold)).select("a", "b").distinct()
+    return _measured(cut_lineage(pairs), points).where(_enough(F.col("common"), "n", "m", threshold)).select("a", "b")
+
+
+def _classes(documents: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows as (row, doc_id, n, one, two), and classes of equal sets as (n, one, two, component_id)."""
+    if not 0.5 < threshold <= 1:
+        raise ValueError("a similarity above 0.5 is needed: beyond that, windows would hold documents that share nothing")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.mapInArrow(_summary(size, threshold), "doc_id long, n long, one long, two long, first array<long>")
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    classes = rows.where("doc_id is not null and n > 0").groupBy(*KEYS).agg(F.min("row").alias("point"), F.min("doc_id").alias("least_id"))
+    classes = cut_lineage(classes)
+    points = _points(docs.where("doc_id is not null and text is not null"), classes, rows, size, threshold)
+    entries = _entries(points, threshold)
+    rounds = _regions(points, entries, threshold)
+    if rounds:
+        regions = functools.reduce(DataFrame.union, rounds)
+        links = regions.where(_enough(F.col("common"), "n", "m", threshold)).select(F.col("point").alias("a"), F.col("pivot").alias("b"))
+        grouped = components(links)
+        more = cut_lineage(_across(regions, points, entries, grouped, threshold))
+        if not more.isEmpty():
+            grouped = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        classes = classes.join(grouped, F.col("point") == F.col("node"), "left").withColumn("component", F.coalesce("component", "point"))
+        least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        classes = classes.join(least, "component")
+    else:
+        classes = classes.withColumn("component_id", F.col("least_id"))
+    return rows, classes.select(*KEYS, "component_id")
 
 
 def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -244,50 +220,33 @@ def jaccard_components(documents: DataFrame, size: int = 5, threshold: float = 0
 
     Takes (doc_id, text), ignores other columns. Words are all but ASCII white space, with A-Z lower-cased; a set
     holds the distinct shingles of `size` words, or the whole text as one if it is shorter. Two documents link when
-    common >= threshold * either; threshold: at least 0.8 keeps cells small, less is slower but right. Returns
-    doc_id, n_shingles, component_id: the smallest doc_id reachable by links, itself included. A null or wordless
-    text has no shingles and is its own component; a null doc_id gets a null component and links nothing. Repeated
-    rows come back as often as they stand there. An empty table gives an empty result.
+    common >= threshold * either, exactly so on ties; threshold: above 0.5. Returns doc_id, n_shingles, component_id: the
+    smallest doc_id reachable by links, itself included. A null or wordless text has no shingles and is its own
+    component; a null doc_id gets a null component and links nothing. Each row is a document of its own, whatever its
+    doc_id: repeated rows come back as often as they stand there, and of two texts with one doc_id each has its own
+    links. Texts of any length are read whole. An empty table gives an empty result.
+    """
+    rows, classes = _classes(documents, size, threshold)
+    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.join(classes, KEYS, "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+
+
+def first_of_each(documents: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """documents without those that are linked, over any number of links, with one of a smaller doc_id.
+
+    All columns stay as they are. Rows without a doc_id or without words stay, and so do all rows that repeat one that
+    stays. Columns of documents that are named like KEYS or component_id would give way, so they are kept aside.
     """
-    all_docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summary = all_docs.mapInArrow(_summary(size, threshold), "doc_id long, n long, one long, two long, weak boolean, parts long, parts_below long")
-    summary = cut_lineage(summary)
-    known = summary.where("doc_id is not null and n > 0")
-    classes = known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
-    sets = cut_lineage(known.join(classes, ["n", "one", "two"]).select("doc_id", "n", "rep", "weak", "parts", "parts_below"))
-    docs = all_docs.where("doc_id is not null and text is not null")
-    met, cells = _candidates(docs, sets, size, threshold)
-    cells = _ranked(cells)
-
-    texts = cut_lineage(docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links, groups, taken = None, None, 1
-    while not cells.isEmpty():
-        pivots = cells.where(F.col("place") <= taken).select("cell", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "n", "component", "distance", "place")))
-        near = F.coalesce(F.abs(F.col("distance") - F.col("p_distance")) <= 1 - threshold + 1e-9, F.lit(True))
-        alike = F.least("n", "p_n") >= F.greatest("n", "p_n") * threshold - 1e-9
-        placed = cells.join(pivots, "cell").where((F.col("place") > F.col("p_place")) & near & alike & (F.col("component") != F.col("p_component")))
-        pairs = cut_lineage(_possible(placed.select("doc_id", F.col("p_doc_id").alias("pivot"), "layer").distinct(), met, threshold))
-        if pairs.isEmpty():
-            cells = cut_lineage(_contested(cells.where(F.col("place") > taken).drop("place")))
-            taken *= 4
-            continue
-        heads = pairs.select(F.col("pivot").alias("doc_id")).distinct().join(texts, "doc_id").select(F.col("doc_id").alias("pivot"), F.lit(0).alias("own"), "doc_id", "text")
-        rest = pairs.join(texts, "doc_id").select("pivot", F.lit(1).alias("own"), "doc_id", "text")
-        found = cut_lineage(heads.union(rest).repartition("pivot").sortWithinPartitions("pivot", "own").mapInArrow(_distances(size), "doc_id long, pivot long, common long, either long"))
-        new = found.where(F.col("common") >= F.col("either") * threshold - 1e-9).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            groups = components(links).withColumnRenamed("component", "grouped")
-        first = cells.where("place = 1").select("cell", F.col("doc_id").alias("pivot"))
-        measured = found.select("doc_id", "pivot", (1 - F.col("common") / F.col("either")).alias("distance"))
-        left = cells.where(F.col("place") > taken).drop("distance", "place").join(first, "cell").join(measured, ["doc_id", "pivot"], "left").drop("pivot")
-        if groups is not None:
-            left = left.drop("component").join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("grouped", "doc_id"))
-        cells = cut_lineage(_contested(left.select("cell", "layer", "doc_id", "n", "rank", "component", "distance")))
-        taken *= 4  # cells that are left have members that don't link, which all need comparing
-
-    class_of = sets.select("doc_id", "rep").dropDuplicates(["doc_id"])
-    if groups is not None:
-        class_of = class_of.join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("grouped", "rep").alias("rep"))
-    out = summary.join(class_of, "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
+    _, classes = _classes(documents, size, threshold)
+    aside = {c: f"column {i}" for i, c in enumerate(documents.columns)}
+    named = documents.select(*[F.col(f"`{c}`").alias(k) for c, k in aside.items()], F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("the id"))
+
+    def prepare() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+        def work(part: pa.RecordBatch) -> list[pa.Array]:
+            return _fingerprints(*shingle_sets(cut(part.column("text"), True, False), size))
+
+        return work
+
+    others = add_columns(named, prepare, dict.fromkeys(KEYS, "long")).join(classes, KEYS, "left")
+    stay = others.where(F.col("component_id").isNull() | F.col("the id").isNull() | (F.col("component_id") >= F.col("the id")))
+    return stay.select(*[F.col(f"`{k}`").alias(c) for c, k in aside.items()])

@@ -179,3 +179,22 @@ def majority(df: DataFrame, keys: list[str], vote: str) -> DataFrame:
     w = Window.partitionBy(*keys)
     ranked = counts.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), vote))).withColumn("kinds", F.count("*").over(w))
     return ranked.where("r = 1 and not (n = 1 and kinds > 1)").drop("r", "kinds")
+
+
+def corrections(said: DataFrame, excluded: tuple[str, ...], resolving: str, short: int) -> DataFrame:
+    """(label, span, suggestion) from reviewers' rows (label, text, suggestion, reason), by majority.
+
+    A span whose reviewers all differ isn't corrected, nor an excluded one, nor one of at most `short` characters
+    without a reason that matches `resolving`. Rows are counted before they meet, so a frequent span is one row a task.
+    """
+    votes = said.where("suggestion <> label").groupBy("label", F.lower("text").alias("span"), "suggestion").agg(F.count("*").alias("n"), F.bool_or(F.col("reason").rlike(resolving)).alias("resolved"))
+    best = votes.groupBy("label", "span").agg(F.max(F.struct("n", "suggestion", "resolved")).alias("b"), F.count("*").alias("ways"))
+    kept = best.where(~((F.col("ways") > 1) & (F.col("b.n") == 1)) & ~F.col("span").isin(*excluded) & ((F.length("span") > short) | F.col("b.resolved")))
+    return kept.select("label", "span", "b.suggestion")
+
+
+def correct(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with new_label and corrected, by a table of (label, span, suggestion)."""
+    known = table.select(F.col("label").alias("c_label"), "span", "suggestion")
+    joined = rows.join(known, (F.col("label") == F.col("c_label")) & (F.lower("text") == F.col("span")), "left")
+    return joined.select(*rows.columns, F.coalesce("suggestion", "label").alias("new_label"), F.col("span").isNotNull().alias("corrected"))

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .shared import cut_lineage
 from .words import slices
 
-#: Pieces of a block, islands of a block, solutions of an island, and generations of an epoch.
-BLOCK, ISLANDS, POPULATION, GENERATIONS = 4096, 2, 4, 6
-#: Words a worker's cache holds; it starts anew beyond that.
-CACHE = 500_000
+#: Pieces of a block, islands of a block, epochs, solutions of an island, and generations of an epoch.
+BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 4, 3, 6, 12
+#: Bytes a worker's cache of words holds, about; it starts anew beyond that.
+CACHE = 40_000_000
 #: Signs that the tokenizer parts from letters and numbers beside them, and letters and digits of one byte.
 SIGNS = string.punctuation.encode()
 PLAIN = frozenset((string.ascii_letters + string.digits).encode())
@@ -42,8 +42,8 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True  # their strings in a text are ordinary text
-        _TOKENIZERS[path] = (found, {}, {})
+        special = [t.content for t in found.get_added_tokens_decoder().values()]
+        _TOKENIZERS[path] = (found, {}, {}, special, [0])
     return _TOKENIZERS[path]
 
 
@@ -82,11 +82,19 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
 
     The tokenizer lower-cases, drops white space, never joins what that separates, and parts letters and numbers from
     signs. So a text's ids are its lower-cased words' ids in order, and a word's those of its body and of the signs
-    before and after it; these are encoded once and then looked up.
+    before and after it; these are encoded once and then looked up. A text with the string of a special token is encoded
+    whole, as the tokenizer gives that string its own id.
     """
-    tokenizer, cache, known = _tokenizer(path)
-    if len(cache) > CACHE:
+    tokenizer, cache, known, special, held = _tokenizer(path)
+    if held[0] > CACHE:
         cache.clear()
+        held[0] = 0
+    whole = [i for i, text in enumerate(texts) if text and any(s in text for s in special)]
+    if whole:
+        own = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)]
+        rest = iter(encode([None if i in set(whole) else t for i, t in enumerate(texts)], path))
+        by_place = dict(zip(whole, own, strict=True))
+        return [by_place.get(i, ids) for i, ids in enumerate(rest)]
     split = []
     for text in texts:
         raw = (text or "").encode()
@@ -104,6 +112,8 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     for word in new:
         if len(word) > 100:
             del cache[word]
+        else:
+            held[0] += 200 + len(word)
     return out
 
 
@@ -217,14 +227,14 @@ def _settle(size: int) -> Callable:
     return run
 
 
-def _meet(size: int) -> Callable:
+def _meet(size: int, epoch: int) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
                 lengths = [int(x) for x in r.lengths]
                 elites = [_as_bins(np.asarray(r.elite)), _as_bins(np.asarray(r.immigrant))]
-                bins = evolve(lengths, size, 10**6 + int(r.block) * ISLANDS + int(r.island), elites)
+                bins = evolve(lengths, size, epoch * 10**6 + int(r.block) * ISLANDS + int(r.island), elites)
                 out.append(_state(int(r.block), int(r.island), np.asarray(r.rows), lengths, bins, size))
             yield pd.DataFrame(out, columns=["block", "island", "rows", "lengths", "elite", "bins", "fit"])
 
@@ -237,8 +247,13 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     dealt = pieces.select("row", F.col("length").cast("int").alias("length"), F.pmod(F.xxhash64("row", F.lit(3)), F.lit(blocks)).alias("block"))
     dealt = dealt.select("*", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"))
     first = cut_lineage(dealt.groupBy("block", "island").applyInPandas(_settle(size), _STATE))
-    travelled = first.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("immigrant"))
-    second = first.join(travelled, ["block", "island"]).mapInPandas(_meet(size), _STATE)
+    second, bound = first, F.ceil(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x) / size)
+    for epoch in range(1, EPOCHS):
+        open_blocks = second.where(F.col("bins") > bound).select("block").distinct()
+        if open_blocks.isEmpty():  # no packing has fewer bins
+            break
+        travelled = second.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("immigrant"))
+        second = cut_lineage(second.join(travelled, ["block", "island"]).mapInPandas(_meet(size, epoch), _STATE))
     best = Window.partitionBy("block").orderBy("bins", F.desc("fit"), "island")
     won = second.withColumn("place", F.row_number().over(best)).where("place = 1")
     placed = won.select("block", F.explode(F.arrays_zip("rows", "lengths", "elite")).alias("p")).select("block", F.col("p.rows").alias("row"), F.col("p.lengths").cast("long").alias("length"), F.col("p.elite").alias("bin"))
@@ -250,7 +265,7 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
 def pack_documents(documents: DataFrame, size: int = 4096, end: int = 1, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """Token pieces of all documents and their places in sequences of at most `size` tokens.
 
-    Takes (doc_id, text), ignores other columns. A document is its ids (special tokens' strings count as text) and then
+    Takes (doc_id, text), ignores other columns. A document is its ids, those of special tokens included, and then
     `end`; only longer ones are cut, into pieces of `size`. Returns doc_id, piece, start, length, ids_crc32,
     sequence_id and offset, and ids (bytes of little-endian 32-bit numbers) if asked for. Null texts are empty
     and get the one closing id; null ids and repeated rows are pieces like any other. An empty table gives an empty

@@ -119,20 +119,27 @@ def kept_words(words: Words, removed: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[mask], np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _own(values: pa.Array, variants: pa.Array, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists found by doc_id, what belongs to each row's own text: rows and values."""
+    owner = np.repeat(np.arange(len(values)), np.diff(values.offsets.to_numpy()))
+    mine = variants.flatten().to_numpy() == variant[owner]
+    return owner[mine], values.flatten().to_numpy().astype(np.int64)[mine]
+
+
 def _clean(size: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = cut(part.column("text"), lower=False, signs=False)
-                starts = part.column("starts")
-                bounds = starts.offsets.to_numpy()
-                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                first = starts.flatten().to_numpy().astype(np.int64)
+                variant = part.column("variant").to_numpy()
+                owner, first = _own(part.column("starts"), part.column("of"), variant)
+                copied = np.zeros(part.num_rows, bool)
+                copied[_own(part.column("copies"), part.column("copies"), variant)[0]] = True
                 change = np.zeros(len(words) + 1, np.int64)
                 at = words.offsets[owner] + first
                 np.add.at(change, at, 1)
                 np.add.at(change, at + size, -1)
-                removed = (np.cumsum(change[:-1]) > 0) | part.column("is_copy").to_numpy(zero_copy_only=False)[words.doc]
+                removed = (np.cumsum(change[:-1]) > 0) | copied[words.doc]
                 data, bounds = kept_words(words, removed)
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -153,16 +160,18 @@ def substring_dedup(documents: DataFrame, size: int = 13, with_text: bool = True
     Takes (doc_id, text) and ignores other columns. Words are all but ASCII white space; windows are judged on
     the input. Returns doc_id, n_words, n_removed, kept_sha256 of the kept words joined by spaces and, if asked
     for, kept_text. A null text has no words and an empty kept text; a row with null doc_id is returned whole,
-    since no order holds for it. Rows with one doc_id count as one document, so a repeated row doesn't remove
-    itself. A text with fewer words than a window is returned whole, and an empty table gives an empty result.
+    since no order holds for it. Rows with one doc_id don't remove from each other, so a repeated row doesn't remove
+    itself, and of two texts with one doc_id each loses what documents with a smaller doc_id have. A text of any length
+    is read whole; one with fewer words than a window is returned whole, and an empty table gives an empty result.
     """
     docs = identified(documents).repartition("doc_id")
     classes = word_classes(documents)
     found = repeated_windows(docs, classes, size, symbol_anchors, smaller=True)
-    starts = found.groupBy("doc_id").agg(F.collect_list("first").alias("starts"))
-    copies = classes.where((F.col("doc_id") > F.col("least_id")) & (F.col("n_words") >= size)).select("doc_id", F.lit(True).alias("is_copy")).dropDuplicates(["doc_id"])
+    starts = found.groupBy("doc_id").agg(F.collect_list("first").alias("starts"), F.collect_list("variant").alias("of"))
+    copies = classes.where((F.col("doc_id") > F.col("least_id")) & (F.col("n_words") >= size)).groupBy("doc_id").agg(F.collect_set("variant").alias("copies"))
     none = F.array().cast("array<int>")
-    joined = docs.join(starts, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
-    nameless = documents.where(F.col("doc_id").cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), none.alias("starts"), F.lit(False).alias("is_copy"))
+    lists = [F.coalesce(c, none).alias(c) for c in ("starts", "of", "copies")]
+    joined = docs.join(starts, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "variant", *lists)
+    nameless = documents.where(F.col("doc_id").cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(0).alias("variant"), *[none.alias(c) for c in ("starts", "of", "copies")])
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_clean(size, with_text), schema).union(nameless.mapInArrow(_clean(size, with_text), schema))

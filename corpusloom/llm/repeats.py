@@ -89,20 +89,24 @@ def _windows(choose: Chooser, size: int, lower: bool) -> Callable:
                         pa.array(signed(whole.of(first, first + size))),
                         pa.array((other.of(first, first + size) >> U(33)).astype(np.int32)),
                         pa.array(_ids(part)[doc]),
+                        pa.array(part.column("variant").to_numpy()[doc]),
                         pa.array((first - words.offsets[doc]).astype(np.int32)),
                     ],
-                    ["print", "check", "doc_id", "first"],
+                    ["print", "check", "doc_id", "variant", "first"],
                 )
 
     return run
 
 
+FOUND = ["doc_id", "variant", "first", "other_id"]
+
+
 def _repeated(smaller: bool) -> Callable:
     """From rows sorted by (print, check, doc_id): windows of which another document has an equal one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["print", "check", "doc_id", "first"]
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)]  # rows of the run's first document
+        names = ["print", "check", "doc_id", "variant", "first"]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]  # rows of the run's first document
         least = None  # that document, once its rows are out
         for batch in batches:
             new = [batch.column(n).to_numpy() for n in names]
@@ -110,16 +114,16 @@ def _repeated(smaller: bool) -> Callable:
                 held_n = 0 if least is None else 1
                 if held_n:
                     new = [np.concatenate([np.array([a], b.dtype), b]) for a, b in zip(least, new, strict=True)]
-                p, c, d, at = new
+                p, c, d, kind, at = new
                 run_start = np.ones(len(p), bool)
                 run_start[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
                 begin = np.flatnonzero(run_start)[np.cumsum(run_start) - 1]
                 hit = d > d[begin]
-                yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array(at[hit]), pa.array(d[begin][hit])], ["doc_id", "first", "other_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array(kind[hit]), pa.array(at[hit]), pa.array(d[begin][hit])], FOUND)
                 if len(p):
                     least = tuple(x[begin[-1]] for x in new)
                 continue
-            p, c, d, at = (np.concatenate(x) for x in zip(held, new, strict=True))
+            p, c, d, kind, at = (np.concatenate(x) for x in zip(held, new, strict=True))
             if not len(p):
                 continue
             run_start = np.ones(len(p), bool)
@@ -137,8 +141,8 @@ def _repeated(smaller: bool) -> Callable:
             lone = open_run & (first_doc == last_doc)  # may still meet another document: held back
             hit = ~lone & (first_doc != last_doc)
             other = np.where(d == first_doc, last_doc, first_doc)
-            yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array(at[hit]), pa.array(other[hit])], ["doc_id", "first", "other_id"])
-            held = [x[lone] for x in (p, c, d, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array(kind[hit]), pa.array(at[hit]), pa.array(other[hit])], FOUND)
+            held = [x[lone] for x in (p, c, d, kind, at)]
             least = (p[-1], c[-1], first_doc[-1])
 
     return run
@@ -151,41 +155,45 @@ def _sequences(lower: bool) -> Callable:
                 words = cut(part.column("text"), lower, signs=False)
                 begin, end = words.offsets[:-1], words.offsets[1:]
                 prints = [Prefix(words.hash).of(begin, end), Prefix(mix(words.hash), 0xD1342543DE82EF95).of(begin, end)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.lengths()), *(pa.array(signed(x)) for x in prints)], ["doc_id", "n_words", "one", "two"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("variant"), pa.array(words.lengths()), *(pa.array(signed(x)) for x in prints)], ["doc_id", "variant", "n_words", "one", "two"])
 
     return run
 
 
 def identified(documents: DataFrame) -> DataFrame:
-    """(doc_id, text) of rows with an id, null texts as empty. The form is always the same, so that one shuffle of it serves all that follows."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    """(doc_id, text, variant) of rows with an id, null texts as empty; variant: a hash of the text, which parts rows of one doc_id.
+
+    The form is always the same, so that one shuffle of it serves all that follows.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("variant")).where("doc_id is not null")
 
 
 def word_classes(documents: DataFrame, lower: bool = False) -> DataFrame:
-    """(doc_id, n_words, least_id, last_id): documents with the same words, by their smallest and largest id.
+    """(doc_id, variant, n_words, least_id, last_id): documents with the same words, by their smallest and largest id.
 
     Copies need no search: they repeat the first one whole. This keeps even a huge group of them out of the shuffles below.
     """
-    rows = cut_lineage(identified(documents).mapInArrow(_sequences(lower), "doc_id long, n_words long, one long, two long"))
+    rows = cut_lineage(identified(documents).mapInArrow(_sequences(lower), "doc_id long, variant int, n_words long, one long, two long"))
     classes = rows.groupBy("n_words", "one", "two").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("last_id"))
-    return cut_lineage(rows.join(classes, ["n_words", "one", "two"]).select("doc_id", "n_words", "least_id", "last_id"))
+    return cut_lineage(rows.join(classes, ["n_words", "one", "two"]).select("doc_id", "variant", "n_words", "least_id", "last_id"))
 
 
 def repeated_windows(docs: DataFrame, classes: DataFrame, size: int, choose: Chooser, smaller: bool, lower: bool = False) -> DataFrame:
-    """(doc_id, first, other_id): windows of `size` words that start at word `first` and also stand in document other_id.
+    """(doc_id, variant, first, other_id): windows of `size` words that start at word `first` and also stand in document other_id.
 
     docs: identified(), dealt out by doc_id. classes: their word_classes(); only the first of each class is searched.
     smaller: only windows that a document with a smaller id has, which is then the smallest such; else all that
-    any other searched document has. Rows with one doc_id count as one document.
+    any other searched document has. Rows with one doc_id count as one document; variant says which text a window is of.
     """
     firsts = classes.where(F.col("doc_id") == F.col("least_id")).where(F.col("n_words") >= size).select("doc_id").distinct()
     searched = docs.join(firsts, "doc_id")  # a semi-join would be moved below the shuffle of docs, which then serves it alone
     anchors = searched.mapInArrow(_anchors(choose, size, lower), "key long, doc_id long")
     shared = anchors.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, doc_id long")
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    windows = docs.join(by_doc, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windows(choose, size, lower), "print long, check int, doc_id long, first int")
+    windows = docs.join(by_doc, "doc_id").select("doc_id", "text", "variant", "keys").mapInArrow(_windows(choose, size, lower), "print long, check int, doc_id long, variant int, first int")
     ordered = windows.repartition("print").sortWithinPartitions("print", "check", "doc_id")
-    return ordered.mapInArrow(_repeated(smaller), "doc_id long, first int, other_id long")
+    return ordered.mapInArrow(_repeated(smaller), "doc_id long, variant int, first int, other_id long")
 
 
 def merge_spans(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

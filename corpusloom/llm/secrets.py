@@ -16,10 +16,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut_lineage
+
 # Names that assign credentials, words that excuse a candidate, and common words and syllables.
 KEY_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
 EXCUSES = "example|sample|dummy|test|placeholder|changeme|commit|hash|sha1|sha256|md5|checksum|uuid|version|build|id|phone|tel|isbn|order|page|figure"
-COMMON = "example|password|secret|sample|dummy|test|user|name|change|your|here|tion|ing|the|and|ent|ment|ver|est|for|data|file|page|http|com|org|www|index|image|build|release"
+COMMON = "|".join(
+    "example password secret sample placeholder changeme dummy test user name change your here this that with from have which their would about there could other after first "
+    "house water place world right great small large every under again never between another because through before people number letter street school market "
+    "garden window station mountain river summer winter morning evening letter paper music story travel water light night city country family friend "
+    "server client config service account system module package version release build production development staging backup archive download upload "
+    "document report project image photo video audio index data file page http https www com org net html json true false none null admin root home temp default public private "
+    "tion ment able ness ence ance ing the and ent ver est for ist out all are not der die das und les des une que est"
+    .split()
+)
 
 #: What may be a secret: a known prefix, a value after a naming word, or a long mix of letters and digits.
 PREFIX = r"(?:AKIA|ASIA)[A-Z0-9]{16}"
@@ -166,34 +176,45 @@ def _kind(value: Column, own: Column, before: Column) -> Column:
     return F.when(value.rlike(KEY), "access_key").when(named, "assignment").otherwise("token")
 
 
+def _scored(suspect: DataFrame, key: str, forest: Forest) -> DataFrame:
+    """The secrets of (key, text) rows: key, word, kind, value and score, a row each."""
+    rows = suspect.select(key, F.split("text", r"\s+").alias("words")).select(key, F.explode(_candidates(F.col("words"))).alias("c"))
+    rows = rows.select(key, "c.*", _value(F.col("c.own")).alias("value")).where(F.length("value") >= 6)
+    columns = _features(*(F.col(c) for c in ("value", "own", "before", "after")))
+    rows = rows.select(key, "word", _kind(*(F.col(c) for c in ("value", "own", "before"))).alias("kind"), "value", *[f.alias(n) for f, n in zip(columns, FEATURES, strict=True)])
+    # as an array function, since the trees are too long a code for one compiled method
+    votes = F.get(F.transform(F.array(F.array(*[F.col(f) for f in FEATURES])), lambda f: forest(lambda i: F.get(f, F.lit(i)))), F.lit(0))
+    return rows.select(key, "word", "kind", "value", votes.alias("score")).where(F.col("score") >= LEAST)
+
+
 def scan_secrets(documents: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """One row a secret: doc_id, word (its place, from 0), kind, value, value_sha256, n_chars and score.
 
     Takes (doc_id, text), ignores other columns. findings: labelled ones to train on, by default those made by rule. A
     null or empty text has no secrets, a null doc_id stays null, repeated rows are reported each, ties of the
-    votes count as secrets, and an empty table gives an empty result.
+    votes count as secrets, a text of any length is read whole, and an empty table gives an empty result.
     """
     forest = compile_forest(train(labelled_findings(documents.sparkSession) if findings is None else findings))
     suspect = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike(MAYBE))
-    rows = suspect.select("doc_id", F.split("text", r"\s+").alias("words")).select("doc_id", F.explode(_candidates(F.col("words"))).alias("c"))
-    rows = rows.select("doc_id", "c.*", _value(F.col("c.own")).alias("value")).where(F.length("value") >= 6)
-    columns = _features(*(F.col(c) for c in ("value", "own", "before", "after")))
-    rows = rows.select("doc_id", "word", _kind(*(F.col(c) for c in ("value", "own", "before"))).alias("kind"), "value", *[f.alias(n) for f, n in zip(columns, FEATURES, strict=True)])
-    # as an array function, since the trees are too long a code for one compiled method
-    votes = F.get(F.transform(F.array(F.array(*[F.col(f) for f in FEATURES])), lambda f: forest(lambda i: F.get(f, F.lit(i)))), F.lit(0))
-    scored = rows.select("doc_id", "word", "kind", "value", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("n_chars"), votes.alias("score"))
-    return scored.where(F.col("score") >= LEAST)
+    found = _scored(suspect, "doc_id", forest)
+    return found.select("doc_id", "word", "kind", "value", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").alias("n_chars"), "score")
 
 
 def redact_secrets(documents: DataFrame, mark: str = "[SECRET]", findings: DataFrame | None = None) -> DataFrame:
-    """documents, with each found secret's value replaced in text. All rows stay; texts without secrets stay as they are."""
-    forest = compile_forest(train(labelled_findings(documents.sparkSession) if findings is None else findings))
+    """documents, with each found secret's value replaced in text wherever it stands there, the longest values first.
 
-    def measured(c: Column) -> Column:
-        value = _value(c["own"])
-        return F.struct(value.alias("value"), F.array(*_features(value, c["own"], c["before"], c["after"])).alias("f"))
-
-    found = F.transform(_candidates(F.split("text", r"\s+")), measured)
-    kept = F.filter(found, lambda c: (F.length(c["value"]) >= 6) & (forest(lambda i: F.get(c["f"], F.lit(i))) >= LEAST))
-    redacted = F.aggregate(F.transform(kept, lambda c: c["value"]), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
-    return documents.withColumn("text", F.when(F.col("text").rlike(MAYBE), redacted).otherwise(F.col("text")))
+    All rows and columns stay, in no order; texts without secrets, null and empty ones stay as they are, repeated rows
+    are redacted each, whatever their doc_id, and an empty table gives an empty result. Secrets are found as by
+    scan_secrets. Rows that may have one are written once with a key, and what is found comes back to them by that key.
+    """
+    forest = compile_forest(train(labelled_findings(documents.sparkSession) if findings is None else findings))
+    maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
+    aside = {c: f"column {i}" for i, c in enumerate(documents.columns)}
+    plain = documents.select(*[F.col(f"`{c}`").alias(k) for c, k in aside.items()], F.col("text").cast("string").alias("text"))
+    suspect = cut_lineage(plain.where(maybe).withColumn("row", F.monotonically_increasing_id()))
+    values = _scored(suspect.select("row", "text"), "row", forest).groupBy("row").agg(F.collect_set("value").alias("found"))
+    ordered = F.array_sort(F.transform("found", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
+    redacted = F.aggregate(F.coalesce(ordered, F.array().cast("array<struct<n:int,v:string>>")), F.col("text"), lambda t, v: F.replace(t, v["v"], F.lit(mark)))
+    names = [(redacted if c.lower() == "text" else F.col(f"`{k}`")).alias(c) for c, k in aside.items()]
+    same = [(F.col("text") if c.lower() == "text" else F.col(f"`{k}`")).alias(c) for c, k in aside.items()]
+    return suspect.join(values, "row", "left").select(*names).union(plain.where(~maybe).select(*same))

@@ -13,10 +13,13 @@ from .words import slices
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, a local one, for local mode."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, a local one in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return str(context.getCheckpointDir())
 
 
@@ -73,9 +76,9 @@ def components(edges: DataFrame) -> DataFrame:
 def add_columns(df: DataFrame, prepare: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: dict[str, str]) -> DataFrame:
     """df with columns computed from Arrow batches, cut to a bounded size by their text column.
 
-    Columns of df that have an added name give way. prepare runs once a task.
+    Columns of df that have an added name, in whatever case, give way. prepare runs once a task.
     """
-    kept = [f for f in df.schema if f.name not in added]
+    kept = [f for f in df.schema if f.name.lower() not in {a.lower() for a in added}]
     plain = df.select(*[F.col(f"`{f.name}`") for f in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{k}` {v}" for k, v in added.items())])
 

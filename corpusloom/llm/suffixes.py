@@ -61,14 +61,14 @@ def repeated_spans(documents: DataFrame, size: int = 50) -> DataFrame:
     Takes (doc_id, text), ignores other columns. Words are all but ASCII white space, unchanged. Returns one row
     a span: doc_id, first_word and end_word (from 0, end not included), n_words, other_id (a document
     that has one of its windows). Repeats inside one document only are not reported, so a repeated row with the same
-    doc_id is none. Null ids, null, empty and shorter texts give no rows; an empty table gives an empty result.
+    doc_id is none; two texts with one doc_id have their spans each. Null ids, null, empty and shorter texts give no rows; an empty table gives an empty result.
     """
     docs = identified(documents).repartition("doc_id")
     classes = word_classes(documents)
     found = repeated_windows(docs, classes, size, minimiser_suffixes, smaller=False)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("other_id").alias("others"))
+    by_doc = found.groupBy("doc_id", "variant").agg(F.collect_list("first").alias("firsts"), F.collect_list("other_id").alias("others"))
     copied = F.col("least_id") < F.col("last_id")
-    whole = classes.where(copied & (F.col("n_words") >= size)).dropDuplicates(["doc_id"])
-    whole = whole.select("doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), "n_words", F.when(F.col("doc_id") > F.col("least_id"), F.col("least_id")).otherwise(F.col("last_id")).alias("other_id"))
-    parts = by_doc.join(whole.select("doc_id"), "doc_id", "left_anti").mapInArrow(_spans(size), "doc_id long, first_word long, end_word long, n_words long, other_id long")
-    return parts.union(whole)
+    whole = classes.where(copied & (F.col("n_words") >= size)).dropDuplicates(["doc_id", "variant"])
+    whole = whole.select("doc_id", "variant", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), "n_words", F.when(F.col("doc_id") > F.col("least_id"), F.col("least_id")).otherwise(F.col("last_id")).alias("other_id"))
+    parts = by_doc.join(whole.select("doc_id", "variant"), ["doc_id", "variant"], "left_anti").mapInArrow(_spans(size), "doc_id long, first_word long, end_word long, n_words long, other_id long")
+    return parts.union(whole.drop("variant"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; one longer text is still handled whole.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _MULT, _MULT2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -37,7 +37,7 @@ def powers(mult: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd multiplier and of its inverse."""
     got = _POWERS.get(mult)
     if got is None or len(got[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = max(n, 2 * SLICE_BYTES)
         both = []
         for base in (mult, pow(mult, -1, 1 << 64)):
             p = np.full(size, base, U)

@@ -164,39 +164,51 @@ def _scan(tables_at, further: bool) -> Callable:
     return run
 
 
+def stretches(text: str, size: int) -> Iterator[str]:
+    """An item's text, in parts if it is too long for one pass: each window of `size` words stands in one of them."""
+    if len(text) <= 2 * PASS_WORDS:
+        yield text
+        return
+    words = cut(pa.array([text], pa.string()), lower=True, signs=True)
+    step = max(1, PASS_WORDS // 8)
+    for at in range(0, max(1, len(words) - size + 1), step):
+        yield b" ".join(words.word(i) for i in range(at, min(len(words), at + step + size - 1))).decode()
+
+
 def find_benchmark(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """Documents with all their columns (but for clashing names), n_words, hit_words (places of words inside benchmark windows) and item_ids.
 
     A window is `size` consecutive words of an item, or a shorter item whole. Words are letters, digits and
     non-ASCII characters, with A-Z lower-cased. Items are searched for in passes of PASS_WORDS words, so tables
     have a bound however large the benchmark is. Each further pass reads the rows that the one before has written and
-    adds to their hit_words and item_ids, so every row, whatever its doc_id, has all passes' finds. Null texts have no words, wordless
-    items and those with null ids match nothing, and an empty benchmark leaves all documents clean.
+    adds to their hit_words and item_ids, so every row, whatever its doc_id, has all passes' finds; repeated rows have them each.
+    An item too long for a pass is cut into stretches. Null texts have no words, wordless items and those with null ids
+    match nothing, an empty benchmark leaves all documents clean, and an empty table of documents gives an empty result.
     """
+    documents = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in FOUND])
     names = documents.columns
-    clash = set(FOUND) & set(names)
-    if clash:
-        documents = documents.drop(*clash)
-        names = [c for c in names if c not in clash]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     spark = documents.sparkSession
-    schema = documents.select(*[c for c in names]).schema
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    result, block, held = None, ([], []), 0
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+    result, block, held, sent = None, ([], []), 0, []
 
     def searched(rows: DataFrame | None, ids: list[int], texts: list[str]) -> DataFrame:
-        tables = spark.sparkContext.broadcast(build(ids, texts, size))
-        # written between passes, so that a task holds the tables of one pass only
+        # written between passes, so that a task and the driver hold the tables of one pass only
         before = documents if rows is None else cut_lineage(rows)
+        while sent:
+            sent.pop().destroy()
+        tables = spark.sparkContext.broadcast(build(ids, texts, size))
+        sent.append(tables)
         return before.mapInArrow(_scan(tables, rows is not None), f"{plain}, n_words long, hit_words array<int>, item_ids array<long>")
 
     for row in items.toLocalIterator():  # one partition of the benchmark at a time
-        block[0].append(row.item_id)
-        block[1].append(row.text)
-        held += len(row.text) // 2 + 1
-        if held >= PASS_WORDS:
-            result = searched(result, *block)
-            block, held = ([], []), 0
+        for text in stretches(row.text, size):
+            block[0].append(row.item_id)
+            block[1].append(text)
+            held += len(text) // 2 + 1
+            if held >= PASS_WORDS:
+                result = searched(result, *block)
+                block, held = ([], []), 0
     if block[0] or result is None:
         result = searched(result, *block)
     return result

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.jaccard import jaccard_components
+from corpusloom.llm.jaccard import first_of_each
 from corpusloom.llm.language import UNKNOWN, fit, identify
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.secrets import redact_secrets
@@ -19,32 +19,30 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised with a calibrated probability of one half at least."""
+    """Keeps documents whose language is recognised with a calibrated probability of one half at least; a null text, or one without letters, goes."""
     model = fit(docs, ~held_out(F.col("doc_id")))
     found = identify(docs, model)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 0.5)).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest id; rows without an id stay."""
-    groups = jaccard_components(docs)
-    others = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one document of each group of near copies, the one with the smallest id; rows without an id or words stay."""
+    return first_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which no window of a benchmark item stands."""
+    """Keeps documents in which no window of a benchmark item stands; null and wordless texts are clean."""
     found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("hit_words") == 0).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents, with secrets in their texts replaced."""
+    """Keeps all documents, with secrets in their texts replaced; null texts stay null, and n_chars is that of the new text."""
     return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in training sequences."""
+    """Token pieces of all documents and their places in training sequences; a null text is one closing token."""
     return pack_documents(docs, with_ids=False)
 
 

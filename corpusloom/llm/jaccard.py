@@ -8,14 +8,15 @@ Jaccard distance d is a metric, and two documents link when d <= r = 1 - thresho
   that stay are compared, and only what they share with each other counts from then on; their other shingles are their own.
 * *Pivots.* In each round, of the points that share rare shingles, those with the least share of own ones lead: they
   stand in the middle of a group of copies. A point leads if it does so for half of its shared rare shingles, so pivots stand apart.
-* *Distances.* Two points within 2r have one of their n - ceil((1 - 2r) n) + 1 rarest shingles in common. So these few
-  shingles bring every point together with all pivots within 2r, and no other distance is needed.
-* *Voronoi regions.* A point within r of a pivot links with it and belongs to the region of its nearest one. All of
-  a region is one component by that, so nothing in it need be compared with each other.
+* *Voronoi regions.* The points that share one of those shingles with a pivot measure their distance. A point within r of a pivot
+  links with it and belongs to the region of its nearest one. A region is one component by that, so nothing in it need be
+  compared with each other. Points in no region are dealt anew, with more pivots each round, until none share a rare shingle.
 * *Boundary windows.* If x is outside of region p and links with y inside, then d(x, p) <= d(y, p) + r <= 2r. So points
-  at more than r and at most 2r are replicated into p's window, and x is only compared with those y for which
-  |d(x, p) - d(y, p)| <= r and for which what both share with p, and besides p, would be enough.
-* *Recursion.* Points in no region are dealt anew, with more pivots each round, until none share a rare shingle.
+  at most 2r from p are replicated into p's window if their component is another. Two points within 2r have one of their
+  n - ceil((1 - 2r) n) + 1 rarest shingles in common, which brings points and pivots together; no other distance is needed.
+* *Regions join.* A region's boundary points, those at least as far from p as the nearest point of the window less r, and its window
+  are joined in blocks of bounded size: a task compares two blocks, and only links come out. Pivots that are alone in
+  their region are points like others: those that share no window with a point are compared with it directly.
 
 So a group of g near copies takes about g distances, not g**2.
 """
@@ -26,6 +27,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,9 +107,9 @@ def _points(docs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, thr
 
 
 def _entries(points: DataFrame, threshold: float) -> DataFrame:
-    """(key, point, n, own, close): each point's rarest shingles, of which two points within 2r share one; close: within r.
+    """(key, point, n, before, own, close): each point's rarest shingles, of which two points within 2r share one; close: within r.
 
-    own: how many of its shingles no other point has.
+    own: how many of its shingles no other point has; before: how many are rarer than this one.
     """
     keys = points.select("point", "n", F.explode("shingles").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
@@ -120,7 +122,7 @@ def _entries(points: DataFrame, threshold: float) -> DataFrame:
     known = known.withColumn("near", rarest(threshold)).where("near > 0")
     taken = F.slice("k", F.lit(1), rarest(2 * threshold - 1).cast("int"))
     rows = known.select("point", "n", "own", "near", F.posexplode(taken).alias("place", "k"))
-    return cut_lineage(rows.select(F.col("k.key").alias("key"), "point", "n", "own", (F.col("place") < F.col("near")).alias("close")))
+    return cut_lineage(rows.select(F.col("k.key").alias("key"), "point", "n", (F.col("own") + F.col("place")).alias("before"), "own", (F.col("place") < F.col("near")).alias("close")))
 
 
 def _enough(common: Column, n: str, other: str, least: float) -> Column:
@@ -136,56 +138,124 @@ def _measured(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, "n", "m", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
 
 
-def _pivots(close: DataFrame, leaders: int) -> DataFrame:
-    """Points that lead for half of their shingles, with so many leaders to a shingle."""
-    kept = close.groupBy("key").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a < b").select("key")
-    contested = close.join(kept, "key")
-    # the share of own shingles, made different for all points
-    rank = F.col("own") / F.col("n") + F.pmod(F.xxhash64("point"), F.lit(1 << 20)) * F.lit(1e-9)
-    led = contested.withColumn("rank", rank).groupBy("key", F.pmod(F.xxhash64("point", F.lit(7)), F.lit(leaders))).agg(F.min_by("point", "rank").alias("point"))
-    led = led.groupBy("point").agg(F.count("*").alias("led"))
-    total = contested.groupBy("point", "n", "own").agg(F.count("*").alias("total"))
-    return led.join(total, "point").where("2 * led >= total").select(F.col("point").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("p_own"))
+def _possible(least_n: str, threshold: float) -> Column:
+    """Whether a set of n shingles, `own` of which no other has, can link with one of least_n shingles or more."""
+    shared = F.col("n") - F.col("own")
+    either = F.when(F.col(least_n) <= shared, F.col("n")).otherwise(F.col("n") + F.col(least_n) - shared)
+    return shared >= either * F.lit(threshold) - 1e-9
 
 
-def _regions(points: DataFrame, entries: DataFrame, threshold: float) -> list[DataFrame]:
-    """For each round (pivot, point, n, m, common): points within 2r of pivots, of those in no region yet."""
-    r, wide = 1 - threshold, 2 * threshold - 1
-    rounds, leaders = [], 1
+def _stars(points: DataFrame, entries: DataFrame, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """Rounds of pivots as (pivot, m, p_own), their points within 2r as (pivot, point, n, m, common), and the points that may link."""
+    outer, candidates, leaders = entries.where("close").drop("close", "before"), None, 1
+    pivots, found = [], []
     while True:
-        pivots = cut_lineage(_pivots(entries.where("close"), leaders))
-        if pivots.isEmpty():
-            return rounds
-        theirs = entries.select("key", F.col("point").alias("pivot")).join(pivots, "pivot")
-        met = entries.join(theirs, "key").where(F.col("point") != F.col("pivot"))
-        met = met.where(_enough(F.least(F.col("n") - F.col("own"), F.col("m") - F.col("p_own")), "n", "m", wide)).select("point", "pivot").distinct()
-        found = _measured(met.select(F.col("point").alias("a"), F.col("pivot").alias("b")), points)
-        found = found.where(_enough(F.col("common"), "n", "m", wide))
-        found = cut_lineage(found.select(F.col("b").alias("pivot"), F.col("a").alias("point"), "n", "m", "common"))
-        rounds.append(found)
-        inside = found.where(_enough(F.col("common"), "n", "m", 1 - r)).select("point").union(pivots.select("pivot")).distinct()
-        entries = cut_lineage(entries.join(inside, "point", "left_anti"))
-        leaders *= 8
-
-
-def _across(regions: DataFrame, points: DataFrame, entries: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) links between points of windows and of the regions they belong to, for points of different components."""
-    r = 1 - threshold
-    own = entries.select(F.col("point"), "own").distinct()
-    label = lambda name, out: grouped.select(F.col("node").alias(name), F.col("component").alias(out))
-    placed = regions.withColumn("d", 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).join(own, "point")
-    inside = F.col("d") <= r + 1e-9
+        sizes = outer.groupBy("key").agg(F.min("n").alias("least_n"), F.min("point").alias("a"), F.max("point").alias("b")).where("a < b")
+        live = cut_lineage(outer.join(sizes.select("key", "least_n"), "key").where(_possible("least_n", threshold)).drop("least_n"))
+        candidates = live.select("point").distinct() if candidates is None else candidates
+        # the share of own shingles, made different for all points
+        rank = F.col("own") / F.col("n") + F.pmod(F.xxhash64("point"), F.lit(1 << 20)) * F.lit(1e-9)
+        led = live.groupBy("key", F.pmod(F.xxhash64("point", F.lit(7)), F.lit(leaders)).alias("k")).agg(F.min_by("point", rank).alias("pivot"))
+        total = live.groupBy(F.col("point").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("p_own")).agg(F.count("*").alias("total"))
+        chosen = cut_lineage(led.groupBy("pivot").agg(F.count("*").alias("led")).join(total, "pivot").where("2 * led >= total").select("pivot", "m", "p_own"))
+        if chosen.isEmpty():
+            return pivots, found, candidates
+        pairs = live.join(led.join(chosen, "pivot"), "key").where("point <> pivot").select("point", "pivot").distinct()
+        near = _measured(pairs.select(F.col("point").alias("a"), F.col("pivot").alias("b")), points).where(_enough(F.col("common"), "n", "m", 2 * threshold - 1))
+        near = cut_lineage(near.select(F.col("b").alias("pivot"), F.col("a").alias("point"), "n", "m", "common"))
+        pivots.append(chosen)
+        found.append(near)
+        inside = near.where(_enough(F.col("common"), "n", "m", threshold)).select("point").union(chosen.select("pivot")).distinct()
+        outer = live.join(inside, "point", "left_anti")
+        leaders *= 16
+
+
+def _distance() -> Column:
+    return 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
+
+
+def _first_common(n: str, before: str, m: str, p_before: str, least: float) -> Column:
+    """Whether a shingle can be the first that two sets have in common: what follows in both has to be enough."""
+    needed = F.ceil((F.col(n) + F.col(m)) * F.lit(least / (1 + least)) - 1e-9)
+    return (F.col(n) - F.col(before) >= needed) & (F.col(m) - F.col(p_before) >= needed)
+
+
+#: Points and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 17
+
+
+def _compare(threshold: float) -> Callable:
+    """Links between two blocks of a region and its window, for points of different components that aren't both inside."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["point", "mine"])
+        sizes = np.array([len(s) for s in group["shingles"]])
+        flat, owner = np.concatenate([np.asarray(s) for s in group["shingles"]]), np.repeat(np.arange(len(group)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        number = np.cumsum(np.append(False, flat[1:] != flat[:-1]))
+        common = np.zeros((len(group), len(group)), np.float32)
+        for low in range(0, int(number[-1]) + 1, 2048):
+            a, b = np.searchsorted(number, [low, low + 2048])
+            on = np.zeros((len(group), 2048), np.float32)
+            on[owner[a:b], number[a:b] - low] = 1
+            common += on @ on.T
+        least = (sizes[:, None] + sizes[None, :]) * (threshold / (1 + threshold)) - 1e-6
+        point, label, mine, inside = (group[c].to_numpy() for c in ("point", "group", "mine", "inside"))
+        across = (mine[:, None] < mine[None, :]) if mine.min() < mine.max() else np.triu(np.ones(common.shape, bool), 1)
+        x, y = np.nonzero((common >= least) & across & (label[:, None] != label[None, :]) & ~(inside[:, None] & inside[None, :]))
+        return pd.DataFrame({"a": point[x], "b": point[y]})
+
+    return run
+
+
+def _joined(members: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) links among the members (pivot, point, n, group, inside) of each region and its window, block by block."""
+    total = members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(total.select("pivot", blocks.alias("blocks")), "pivot").withColumn("mine", F.pmod(F.xxhash64("point", F.lit(23)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("pivot", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "point", "group", "inside", "mine")
+    cells = cells.join(points.select("point", "shingles"), "point")
+    return cells.groupBy("pivot", "one", "two").applyInPandas(_compare(threshold), "a long, b long")
+
+
+def _across(pivots: DataFrame, found: DataFrame, candidates: DataFrame, points: DataFrame, entries: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) links of points in windows with each other and with points of the regions, and of lone points."""
+    r, wide = 1 - threshold, 2 * threshold - 1
+    kept = entries.join(candidates, "point", "left_semi")
+    labels = grouped.select(F.col("node").alias("point"), F.col("component").alias("group"))
+    own = kept.select("point", "n", "own").distinct().join(labels, "point", "left").withColumn("group", F.coalesce("group", "point"))
+    own = cut_lineage(own)
+    inside = found.where(_enough(F.col("common"), "n", "m", threshold)).select("pivot", "point", "n", _distance().alias("d"))
     nearest = Window.partitionBy("point").orderBy("d", "pivot")
-    region = placed.where(inside).withColumn("k", F.row_number().over(nearest)).where("k = 1")
-    window = placed.where(~inside).join(label("pivot", "p_group"), "pivot", "left").join(label("point", "group"), "point", "left")
-    window = window.where(F.coalesce("group", "point") != F.coalesce("p_group", "pivot"))
-    x = window.select("pivot", F.col("point").alias("a"), "n", F.col("own").alias("own"), F.col("common").alias("c"), "d")
-    y = region.select("pivot", F.col("point").alias("b"), F.col("n").alias("m"), F.col("own").alias("b_own"), F.col("common").alias("e"), F.col("d").alias("b_d"))
-    # shared within the pivot's set and beside it
-    most = F.least("c", "e") + F.least(F.col("n") - F.col("own") - F.col("c"), F.col("m") - F.col("b_own") - F.col("e"))
-    near = (F.abs(F.col("d") - F.col("b_d")) <= r + 1e-9) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - 1e-9)
-    pairs = x.join(y, "pivot").where(near & _enough(most, "n", "m", threshold)).select("a", "b").distinct()
-    return _measured(cut_lineage(pairs), points).where(_enough(F.col("common"), "n", "m", threshold)).select("a", "b")
+    region = inside.withColumn("k", F.row_number().over(nearest)).where("k = 1").drop("k")
+    heads = region.groupBy("pivot").agg(F.min("n").alias("least_n")).join(own.select(F.col("point").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("p_own"), F.col("group").alias("p_group")), "pivot")
+    heads = cut_lineage(heads.withColumn("least_n", F.least("least_n", "m")))
+    keys = kept.select("key", "point", "before", "close")
+    theirs = keys.join(heads, F.col("point") == F.col("pivot")).select("key", "pivot", "m", "p_own", "p_group", "least_n", F.col("before").alias("p_before"))
+    bound = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("p_own"))
+    other = (F.col("group") != F.col("p_group")) & _possible("least_n", threshold) & _enough(bound, "n", "m", wide) & _first_common("n", "before", "m", "p_before", wide)
+    mine = keys.join(own, "point")
+    met = mine.join(theirs, "key").where(other).select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct()
+    window = _measured(met, points).where(_enough(F.col("common"), "n", "m", wide)).select(F.col("b").alias("pivot"), F.col("a").alias("point"), "n", _distance().alias("d"))
+    window = cut_lineage(window.join(own.select("point", "group"), "point"))
+    edge = window.groupBy("pivot").agg((F.min("d") - r - 1e-9).alias("edge"))
+    itself = heads.select("pivot", F.col("pivot").alias("point"), F.col("m").alias("n"), F.lit(0.0).alias("d"))
+    bounds = region.union(itself).join(edge, "pivot").where("d >= edge").join(own.select("point", "group"), "point")
+    columns = ["pivot", "point", "n", "group"]
+    links = _joined(window.select(*columns, F.lit(False).alias("inside")).union(bounds.select(*columns, F.lit(True).alias("inside"))), points, threshold)
+
+    # pivots alone in their region, and other points in no region
+    loose = mine.where("close").join(region.select("point").union(heads.select("pivot")), "point", "left_anti")
+    loose = loose.join(window.groupBy("point").agg(F.collect_set("pivot").alias("windows")), "point", "left").withColumn("windows", F.coalesce("windows", F.array().cast("array<long>")))
+    loose = cut_lineage(loose)
+    lone = loose.join(pivots.select(F.col("pivot").alias("point")), "point", "left_semi")
+    lone = lone.select("key", *[F.col(c).alias(f"p_{c}") for c in ("point", "n", "before", "own", "group", "windows")])
+    apart = (F.col("point") != F.col("p_point")) & (F.col("group") != F.col("p_group")) & ~F.arrays_overlap("windows", "p_windows")
+    enough = _enough(F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own")), "n", "p_n", threshold) & _first_common("n", "before", "p_n", "p_before", threshold)
+    pairs = loose.join(lone, "key").where(apart & enough).select(F.least("point", "p_point").alias("a"), F.greatest("point", "p_point").alias("b")).distinct()
+    return links.union(_measured(pairs, points).where(_enough(F.col("common"), "n", "m", threshold)).select("a", "b"))
 
 
 def _classes(documents: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -199,12 +269,12 @@ def _classes(documents: DataFrame, size: int, threshold: float) -> tuple[DataFra
     classes = cut_lineage(classes)
     points = _points(docs.where("doc_id is not null and text is not null"), classes, rows, size, threshold)
     entries = _entries(points, threshold)
-    rounds = _regions(points, entries, threshold)
-    if rounds:
-        regions = functools.reduce(DataFrame.union, rounds)
-        links = regions.where(_enough(F.col("common"), "n", "m", threshold)).select(F.col("point").alias("a"), F.col("pivot").alias("b"))
+    pivots, found, candidates = _stars(points, entries, threshold)
+    if found:
+        heads, near = functools.reduce(DataFrame.union, pivots), functools.reduce(DataFrame.union, found)
+        links = near.where(_enough(F.col("common"), "n", "m", threshold)).select(F.col("point").alias("a"), F.col("pivot").alias("b"))
         grouped = components(links)
-        more = cut_lineage(_across(regions, points, entries, grouped, threshold))
+        more = cut_lineage(_across(heads, near, candidates, points, entries, grouped, threshold))
         if not more.isEmpty():
             grouped = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         classes = classes.join(grouped, F.col("point") == F.col("node"), "left").withColumn("component", F.coalesce("component", "point"))

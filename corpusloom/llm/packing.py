@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import string
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
@@ -26,8 +27,10 @@ from .words import slices
 
 #: Pieces of a block, islands of a block, epochs, solutions of an island, and generations of an epoch.
 BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 4, 3, 6, 12
-#: Bytes a worker's cache of words holds, about; it starts anew beyond that.
-CACHE = 40_000_000
+#: Bytes each half of a worker's cache of words holds, about. When the new half is full it becomes the old one, whose words come back when they are met.
+CACHE = 50_000_000
+#: Words that are encoded as one text.
+TOGETHER = 200
 #: Signs that the tokenizer parts from letters and numbers beside them, and letters and digits of one byte.
 SIGNS = string.punctuation.encode()
 PLAIN = frozenset((string.ascii_letters + string.digits).encode())
@@ -43,7 +46,10 @@ def _tokenizer(path: str) -> tuple:
 
         found = Tokenizer.from_file(path)
         special = [t.content for t in found.get_added_tokens_decoder().values()]
-        _TOKENIZERS[path] = (found, {}, {}, special, [0])
+        vocabulary = found.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (found, [{}, {}], {}, special, [0], ends)
     return _TOKENIZERS[path]
 
 
@@ -77,6 +83,27 @@ def _cut(tokenizer, word: bytes, known: dict[str, bool]) -> tuple[bytes, ...]:
     return tuple(x for x in (word[:start], word[start:end], word[end:]) if x)
 
 
+def _encode_parts(tokenizer, parts: list[bytes], ends: np.ndarray) -> list[bytes]:
+    """Ids of parts of words. Those of letters only are encoded many together, as each then ends where a token ends a word."""
+    texts = [p.decode() for p in parts]
+    plain, rest = [i for i, x in enumerate(texts) if x.isalpha()], [i for i, x in enumerate(texts) if not x.isalpha()]
+    out = [b""] * len(parts)
+    groups = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+    for group, found in zip(groups, tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(found.ids, "<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) != len(group):  # a letter that lower case turns into a letter and a mark
+            rest += group
+            continue
+        raw, at = ids.tobytes(), 0
+        for i, cut in zip(group, (4 * cuts).tolist(), strict=True):
+            out[i] = raw[at:cut]
+            at = cut
+    for i, found in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = array("I", found.ids).tobytes()
+    return out
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of whole texts as little-endian 32-bit numbers.
 
@@ -85,35 +112,37 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     before and after it; these are encoded once and then looked up. A text with the string of a special token is encoded
     whole, as the tokenizer gives that string its own id.
     """
-    tokenizer, cache, known, special, held = _tokenizer(path)
+    tokenizer, caches, known, special, held, ends = _tokenizer(path)
     if held[0] > CACHE:
-        cache.clear()
-        held[0] = 0
-    whole = [i for i, text in enumerate(texts) if text and any(s in text for s in special)]
-    if whole:
-        own = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)]
-        rest = iter(encode([None if i in set(whole) else t for i, t in enumerate(texts)], path))
-        by_place = dict(zip(whole, own, strict=True))
-        return [by_place.get(i, ids) for i, ids in enumerate(rest)]
+        caches[:], held[0] = [{}, caches[0]], 0
+    cache, old = caches
+    own: dict[int, bytes] = {}
+    # in any case, since words are lower-cased here before the tokenizer looks for such strings
+    whole = [i for i, text in enumerate(texts) if text and any(s[:2] in text and s.lower() in text.lower() for s in special)]
+    for i, found in zip(whole, tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+        own[i] = array("I", found.ids).tobytes()
     split = []
-    for text in texts:
-        raw = (text or "").encode()
-        split.append((raw if text and not text.isascii() and any(m in text for m in JOINING) else raw.lower()).split())
-    new = set().union(*split).difference(cache)
+    for i, text in enumerate(texts):
+        raw = b"" if i in own else (text or "").encode()
+        split.append((raw if raw and not raw.isascii() and any(m in text for m in JOINING) else raw.lower()).split())
+    unseen = set().union(*split).difference(cache)
+    met = {w: old[w] for w in unseen if w in old}
+    cache.update(met)
+    new = unseen.difference(met)
     if new:
         cuts = {w: _cut(tokenizer, w, known) for w in new}
-        ordered = list(set().union(*cuts.values()).difference(cache))
-        for part, found in zip(ordered, tokenizer.encode_batch_fast([w.decode() for w in ordered], add_special_tokens=False), strict=True):
-            cache[part] = np.array(found.ids, "<u4").tobytes()
-        for w, parts in cuts.items():
-            if len(parts) > 1:
-                cache[w] = b"".join(map(cache.__getitem__, parts))
-    out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        parts = set().union(*cuts.values()).difference(cache)
+        ordered = sorted(parts.difference(old))
+        cache.update({w: old[w] for w in parts if w in old})
+        cache.update(zip(ordered, _encode_parts(tokenizer, ordered, ends), strict=True))
+        for w, pieces in cuts.items():
+            if len(pieces) > 1:
+                cache[w] = b"".join(map(cache.__getitem__, pieces))
+    out = [own[i] if i in own else b"".join(map(cache.__getitem__, words)) for i, words in enumerate(split)]
+    held[0] += 200 * len(unseen) + sum(map(len, new))
     for word in new:
         if len(word) > 100:
             del cache[word]
-        else:
-            held[0] += 200 + len(word)
     return out
 
 

@@ -154,7 +154,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     wanted = {}
     for r in rows_of(spark.read.parquet(f"{SF_DIR}/documents.parquet")):
         ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1]
@@ -185,7 +184,6 @@ def test_ids_of_words_with_signs():
 
     place = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(place)
-    tokenizer.encode_special_tokens = True
     signs = ["(above).", '"quoted",', 'end"!!', 'end..."###', "😀!", "❤️.", "\u0939\u093f\u0928\u094d\u0926\u0940.", "e\u0301!", "\u0958.", "\u0130.", "'s", "'s.", "(\'s", "'tis,", "don't.", "½.", "(x)", "H\u0331a", "T\u0344.", "日本。", "...", "="]
     texts = signs + [a + b for a in signs for b in signs] + [f"{a} {b}" for a in signs for b in signs]
     wanted = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
@@ -276,3 +274,92 @@ def test_pipeline(spark):
             assert all(r["doc_id"] == r["component_id"] for r in again)
     packed = rows_of(P.run(spark, SF_DIR))
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in rows_of(now.select("doc_id"))}
+
+
+def test_ids_of_random_texts():
+    """Letters, marks, signs, numbers and special tokens' strings in any order, against plain encoding of whole texts."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm.packing import encode
+
+    place = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(place)
+    rng = random.Random(5)
+    atoms = ["hello", "don't", "İstanbul", "é", "é", "हिन्दी", "日本語", "😀", "❤️", "1", "½", "...", '"', "'", "(", ")", "]", ".", "!", "’s", "'s", "'LL", " ", " ", "\n", " ", " ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "ﬁ", "ß", "T̈", "a.b", "x" * 120, "‍", "ไทย", "\x1f", "﻿"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        assert encode(part, place) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+
+
+def test_genetic_packing_beats_best_fit():
+    """On triples that fill a bin exactly, evolution needs fewer bins than longest-first best fit."""
+    import numpy as np
+
+    from corpusloom.llm.packing import best_fit, evolve
+
+    rng = np.random.default_rng(4)
+    size, lengths = 1000, []
+    for _ in range(20):
+        a = int(rng.integers(380, 470))
+        b = int(rng.integers(260, (size - a) // 2))
+        lengths += [a, b, size - a - b]
+    greedy = len(best_fit(list(range(len(lengths))), lengths, size, []))
+    elites: list = []
+    for epoch in range(12):
+        elites = [evolve(lengths, size, seed, elites) for seed in range(8 * epoch, 8 * epoch + 8)]
+    best = min(elites, key=len)
+    assert sorted(i for b in best for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= size for b in best)
+    assert len(best) < greedy
+
+
+def test_rows_of_one_id(spark):
+    """Two texts with one id are documents of their own, in every operator that joins rows back."""
+    from corpusloom.llm.jaccard import first_of_each, jaccard_components
+    from corpusloom.llm.recompression import substring_dedup
+    from corpusloom.llm.suffixes import repeated_spans
+
+    other = " ".join(f"other{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE), (2, other), (2, "x y"), (3, other + " end"), (None, PASSAGE)], "doc_id long, text string")
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard_components(docs))}
+    assert found == {(1, 66, 1), (2, 66, 1), (2, 76, 2), (2, 1, 2), (3, 77, 2), (None, 66, None)}
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in rows_of(first_of_each(docs))) == sorted([(0, PASSAGE), (1, PASSAGE), (2, other), (2, "x y")])
+    kept = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in rows_of(substring_dedup(docs))}
+    assert kept == {(1, 70, 0, PASSAGE), (2, 70, 70, ""), (2, 80, 0, other), (2, 2, 0, "x y"), (3, 81, 80, "end"), (None, 70, 0, PASSAGE)}
+    spans = {(r["doc_id"], r["first_word"], r["end_word"]) for r in rows_of(repeated_spans(docs))}
+    assert spans == {(1, 0, 70), (2, 0, 70), (2, 0, 80), (3, 0, 80)}
+
+
+def test_columns_that_clash_in_any_case(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import jaccard, language, media, secrets, wumanber
+
+    docs = spark.createDataFrame([(1, "the old clock stands here", "en"), (2, "token = Xk29vLq8ZtPw93Ty", "en")], "doc_id long, text string, lang string")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("Score", "N_Words", "Media", "Lang_Pred", "ROW", "One", "component_id", "n")})
+    bench = spark.createDataFrame([(1, "old clock")], "item_id long, text string")
+    model = language.fit(docs, F.lit(True))
+    assert language.identify(docs, model).count() == media.store_texts(docs).count() == wumanber.find_benchmark(docs, bench).count() == 2
+    for out in (jaccard.first_of_each(docs), secrets.redact_secrets(docs)):
+        assert out.columns == docs.columns and out.count() == 2
+
+
+def test_redaction_equals_the_scan(spark):
+    """Every found value is gone from its own row, and nothing else has changed, by plain replacement."""
+    from corpusloom.llm.secrets import redact_secrets, scan_secrets
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    values: dict = {}
+    for r in rows_of(scan_secrets(docs)):
+        values.setdefault(r["doc_id"], set()).add(r["value"])
+    got = {r["doc_id"]: r["text"] for r in rows_of(redact_secrets(docs))}
+    assert values
+    for r in rows_of(docs):
+        text = r["text"]
+        for v in sorted(values.get(r["doc_id"], ()), key=lambda v: (-len(v), v)):
+            text = text.replace(v, "[SECRET]")
+        assert got[r["doc_id"]] == text

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import add_columns, components, cut_lineage
+from .shared import add_columns, components, cut_lineage, settled
 from .words import Prefix, U, Words, cut, lists, mix, signed, slices
 
 #: Share of a set that its first shingles hold besides the n * r ones, and that linked sets then share of them at least.
@@ -151,18 +151,18 @@ def _stars(points: DataFrame, entries: DataFrame, threshold: float) -> tuple[lis
     pivots, found = [], []
     while True:
         sizes = outer.groupBy("key").agg(F.min("n").alias("least_n"), F.min("point").alias("a"), F.max("point").alias("b")).where("a < b")
-        live = cut_lineage(outer.join(sizes.select("key", "least_n"), "key").where(_possible("least_n", threshold)).drop("least_n"))
+        live = settled(outer.join(sizes.select("key", "least_n"), "key").where(_possible("least_n", threshold)).drop("least_n"))
         candidates = live.select("point").distinct() if candidates is None else candidates
         # the share of own shingles, made different for all points
         rank = F.col("own") / F.col("n") + F.pmod(F.xxhash64("point"), F.lit(1 << 20)) * F.lit(1e-9)
         led = live.groupBy("key", F.pmod(F.xxhash64("point", F.lit(7)), F.lit(leaders)).alias("k")).agg(F.min_by("point", rank).alias("pivot"))
         total = live.groupBy(F.col("point").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("p_own")).agg(F.count("*").alias("total"))
-        chosen = cut_lineage(led.groupBy("pivot").agg(F.count("*").alias("led")).join(total, "pivot").where("2 * led >= total").select("pivot", "m", "p_own"))
+        chosen = settled(led.groupBy("pivot").agg(F.count("*").alias("led")).join(total, "pivot").where("2 * led >= total").select("pivot", "m", "p_own"))
         if chosen.isEmpty():
             return pivots, found, candidates
         pairs = live.join(led.join(chosen, "pivot"), "key").where("point <> pivot").select("point", "pivot").distinct()
         near = _measured(pairs.select(F.col("point").alias("a"), F.col("pivot").alias("b")), points).where(_enough(F.col("common"), "n", "m", 2 * threshold - 1))
-        near = cut_lineage(near.select(F.col("b").alias("pivot"), F.col("a").alias("point"), "n", "m", "common"))
+        near = settled(near.select(F.col("b").alias("pivot"), F.col("a").alias("point"), "n", "m", "common"))
         pivots.append(chosen)
         found.append(near)
         inside = near.where(_enough(F.col("common"), "n", "m", threshold)).select("point").union(chosen.select("pivot")).distinct()
@@ -226,12 +226,12 @@ def _across(pivots: DataFrame, found: DataFrame, candidates: DataFrame, points:
     kept = entries.join(candidates, "point", "left_semi")
     labels = grouped.select(F.col("node").alias("point"), F.col("component").alias("group"))
     own = kept.select("point", "n", "own").distinct().join(labels, "point", "left").withColumn("group", F.coalesce("group", "point"))
-    own = cut_lineage(own)
+    own = settled(own)
     inside = found.where(_enough(F.col("common"), "n", "m", threshold)).select("pivot", "point", "n", _distance().alias("d"))
     nearest = Window.partitionBy("point").orderBy("d", "pivot")
     region = inside.withColumn("k", F.row_number().over(nearest)).where("k = 1").drop("k")
     heads = region.groupBy("pivot").agg(F.min("n").alias("least_n")).join(own.select(F.col("point").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("p_own"), F.col("group").alias("p_group")), "pivot")
-    heads = cut_lineage(heads.withColumn("least_n", F.least("least_n", "m")))
+    heads = settled(heads.withColumn("least_n", F.least("least_n", "m")))
     keys = kept.select("key", "point", "before", "close")
     theirs = keys.join(heads, F.col("point") == F.col("pivot")).select("key", "pivot", "m", "p_own", "p_group", "least_n", F.col("before").alias("p_before"))
     bound = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("p_own"))
@@ -239,7 +239,7 @@ def _across(pivots: DataFrame, found: DataFrame, candidates: DataFrame, points:
     mine = keys.join(own, "point")
     met = mine.join(theirs, "key").where(other).select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct()
     window = _measured(met, points).where(_enough(F.col("common"), "n", "m", wide)).select(F.col("b").alias("pivot"), F.col("a").alias("point"), "n", _distance().alias("d"))
-    window = cut_lineage(window.join(own.select("point", "group"), "point"))
+    window = settled(window.join(own.select("point", "group"), "point"))
     edge = window.groupBy("pivot").agg((F.min("d") - r - 1e-9).alias("edge"))
     itself = heads.select("pivot", F.col("pivot").alias("point"), F.col("m").alias("n"), F.lit(0.0).alias("d"))
     bounds = region.union(itself).join(edge, "pivot").where("d >= edge").join(own.select("point", "group"), "point")
@@ -249,7 +249,7 @@ def _across(pivots: DataFrame, found: DataFrame, candidates: DataFrame, points:
     # pivots alone in their region, and other points in no region
     loose = mine.where("close").join(region.select("point").union(heads.select("pivot")), "point", "left_anti")
     loose = loose.join(window.groupBy("point").agg(F.collect_set("pivot").alias("windows")), "point", "left").withColumn("windows", F.coalesce("windows", F.array().cast("array<long>")))
-    loose = cut_lineage(loose)
+    loose = settled(loose)
     lone = loose.join(pivots.select(F.col("pivot").alias("point")), "point", "left_semi")
     lone = lone.select("key", *[F.col(c).alias(f"p_{c}") for c in ("point", "n", "before", "own", "group", "windows")])
     apart = (F.col("point") != F.col("p_point")) & (F.col("group") != F.col("p_group")) & ~F.arrays_overlap("windows", "p_windows")

@@ -42,6 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
+#: Rows up to which a table counts as small.
+SMALL = 10_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """cut_lineage, and a table of few rows in one partition: what is then grouped or joined with its like isn't shuffled.
+
+    For rounds whose tables get small; it changes how rows lie, not which there are.
+    """
+    done = cut_lineage(df)
+    return cut_lineage(done.coalesce(1)) if done.count() <= SMALL and done.rdd.getNumPartitions() > 1 else done
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept from training: crc32 of the id as text leaves remainder 1 by 3. False for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
@@ -53,7 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is a join and a minimum over (node, neighbour) rows; no component is gathered anywhere.
     """
     spark: SparkSession = edges.sparkSession
-    now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    now = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     mark = None
     while True:
         both = now.union(now.select("b", "a"))
@@ -63,7 +76,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("x"), "a", "m")
         small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        now = cut_lineage(small)
+        now = settled(small)
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if found == mark:
             break

@@ -18,7 +18,8 @@ from .words import text_bytes
 def store_texts(documents: DataFrame) -> DataFrame:
     """documents with n_bytes and media: the text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a file.
 
-    A null text is empty. Other columns pass through; columns named like the added ones give way.
+    A null text is empty, a repeated row is stored each time, a payload too long for one image becomes several, one after
+    another, and an empty table gives an empty result. Other columns pass through; columns named like the added ones give way.
     """
 
     def prepare():
@@ -44,11 +45,31 @@ def describe(image: np.ndarray) -> str:
     return ";".join(map(str, (image.shape[0], image.shape[1], *means.tolist(), down, across)))
 
 
+def decoded(files: list[bytes]) -> tuple[list[bytes | None], list[np.ndarray]]:
+    """Payloads and RGB pixels of progressive files: store_texts' all at once, any others scan by scan, without a payload."""
+    try:
+        return jpeg.read(files)  # type: ignore[return-value]
+    except ValueError:
+        pass
+    payloads: list[bytes | None] = []
+    images = []
+    for data in files:
+        try:
+            own, image = jpeg.read([data])
+            payloads.append(own[0])
+            images.append(image[0])
+        except ValueError:
+            payloads.append(None)
+            images.append(jpeg.pixels(jpeg.coefficients(data)))
+    return payloads, images
+
+
 def load_media(stored: DataFrame, with_pixels: bool = True) -> DataFrame:
     """(doc_id, n_bytes, media, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from stored files.
 
     Each file is decoded scan by scan to coefficients, and these give both the payload and RGB pixels; with_pixels adds
-    height, width and rgb (rows of 3 bytes a pixel). Needs the columns that store_texts adds.
+    height, width and rgb (rows of 3 bytes a pixel). Needs doc_id, n_bytes and media; progressive files of other writers are
+    read too, with a null payload. A row of media is a row here, whatever its doc_id; an empty table gives an empty result.
     """
     kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
     kinds |= {"height": "int", "width": "int", "rgb": "binary"} if with_pixels else {}
@@ -62,9 +83,10 @@ def load_media(stored: DataFrame, with_pixels: bool = True) -> DataFrame:
                     held += len(files[to])
                     to += 1
                 some = files[at:to]
-                payloads, images = jpeg.read(some)
-                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(f), hashlib.sha256(f).hexdigest(), describe(i)) for p, f, i in zip(payloads, some, images, strict=True)]
-                columns = [pa.array([r[k] for r in rows]) for k in range(6)]
+                payloads, images = decoded(some)
+                rows = [(*((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) if p is not None else (None, None, None)), len(f), hashlib.sha256(f).hexdigest(), describe(i)) for p, f, i in zip(payloads, some, images, strict=True)]
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
                 if with_pixels:
                     columns += [pa.array([i.shape[0] for i in images], pa.int32()), pa.array([i.shape[1] for i in images], pa.int32()), pa.array([i.tobytes() for i in images], pa.binary())]
                 part = batch.slice(at, to - at)

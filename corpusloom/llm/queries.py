@@ -32,7 +32,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import load_media, store_texts
 
-    return load_media(store_texts(_documents(spark, sf_dir).select("doc_id", "text")), with_pixels=False)
+    return load_media(store_texts(_documents(spark, sf_dir).select("doc_id", "text"))).drop("media")
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,3 +363,150 @@ def test_redaction_equals_the_scan(spark):
         for v in sorted(values.get(r["doc_id"], ()), key=lambda v: (-len(v), v)):
             text = text.replace(v, "[SECRET]")
         assert got[r["doc_id"]] == text
+
+
+class _Out:
+    """Bits of a scan, most significant first; a stuffed zero after each 255."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, n):
+        self.bits += format(value, f"0{n}b") if n else ""
+
+    def code(self, symbol):
+        self.put(symbol, 8)  # eight-bit codes, below
+
+    def number(self, v):
+        n = abs(v).bit_length()
+        self.put(v if v >= 0 else v + (1 << n) - 1, n)
+
+    def data(self):
+        bits = self.bits + "1" * (-len(self.bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+
+def _foreign_file(blocks, wide, high):
+    """A grey progressive file from zigzag coefficients, written plainly: DC in two steps, a low band, and a high band with runs of empty blocks."""
+    import struct
+
+    segment = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    table = lambda number: segment(0xC4, bytes([number, *[0] * 7, 255, *[0] * 8, *range(255)]))  # noqa: E731  # symbol k has the code k
+    scan = lambda low, top, both: segment(0xDA, bytes([1, 1, 0, low, top, both]))
+    out = [b"\xff\xd8", segment(0xDB, bytes([0, *range(1, 65)])), segment(0xC2, bytes([8]) + struct.pack(">HH", high, wide) + bytes([1, 1, 0x11, 0])), table(0x00), table(0x10)]
+    first, last = _Out(), 0
+    for b in blocks:
+        v = b[0] >> 1
+        first.code(abs(v - last).bit_length())
+        first.number(v - last)
+        last = v
+    refine = _Out()
+    for b in blocks:
+        refine.put(b[0] & 1, 1)
+    out += [scan(0, 0, 0x01), first.data(), scan(0, 0, 0x10), refine.data()]
+    for low, top in ((1, 5), (6, 63)):
+        band, empty = _Out(), 0
+
+        def flush(band=band):
+            nonlocal empty
+            if empty:
+                n = empty.bit_length() - 1
+                band.code(n << 4)
+                band.put(empty - (1 << n), n)
+                empty = 0
+
+        for b in blocks:
+            at = [k for k in range(low, top + 1) if b[k]]
+            if at:
+                flush()
+            before = low
+            for k in at:
+                while k - before > 15:
+                    band.code(0xF0)
+                    before += 16
+                band.code((k - before) << 4 | abs(b[k]).bit_length())
+                band.number(b[k])
+                before = k + 1
+            empty += before <= top
+        flush()
+        out += [scan(low, top, 0), band.data()]
+    return b"".join(out) + b"\xff\xd9"
+
+
+def test_media_of_another_writer(spark):
+    """A file that store_texts didn't make: coefficients as written, pixels by a plain inverse transform."""
+    import math
+    import random
+
+    from corpusloom.llm import jpeg
+    from corpusloom.llm.media import load_media
+
+    rng = random.Random(2)
+    blocks = [[0] * 64 for _ in range(6)]
+    for b in blocks:
+        b[0] = rng.randrange(-300, 300)
+        for k in rng.sample(range(1, 64), 5 if rng.random() < 0.7 else 0):
+            b[k] = rng.choice([-3, -2, -1, 1, 2, 3])
+    data = _foreign_file(blocks, 24, 16)
+    frame = jpeg.coefficients(data)
+    assert frame.components[1].values.reshape(-1, 64).tolist() == blocks
+    row = rows_of(load_media(spark.createDataFrame([(1, 0, bytearray(data))], "doc_id long, n_bytes long, media binary")))[0]
+    assert (row["height"], row["width"], row["payload_bytes"]) == (16, 24, None)
+    order = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (p[0] + p[1], p[1] if (p[0] + p[1]) % 2 == 0 else p[0]))
+    cos = lambda x, u: math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(0.5) if u == 0 else 1)
+    for y, x in ((0, 0), (3, 11), (9, 20), (15, 23)):
+        b = blocks[(y // 8) * 3 + x // 8]
+        v = sum(b[k] * (k + 1) * cos(y % 8, p[0]) * cos(x % 8, p[1]) / 4 for k, p in enumerate(order))
+        assert abs(row["rgb"][3 * (24 * y + x)] - min(255, max(0, v + 128))) <= 1
+
+
+def test_license_spans_and_diagonals(spark):
+    """A whole license, one with words put in and lost (neighbouring diagonals), and one too short; spans by their words."""
+    from corpusloom.llm.licenses import TEMPLATES, license_spans, scan_licenses
+
+    whole = next(text for label, text in TEMPLATES if label == "isc")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", whole.lower())
+    changed = [*words[:40], "now", *words[40:80], *words[82:]]
+    docs = spark.createDataFrame([(1, "before it " + whole + " after"), (2, "x y z " + " ".join(changed)), (3, " ".join(words[:30])), (4, None)], "doc_id long, text string")
+    found = {(r["doc_id"], r["label"], r["first_word"], r["end_word"]) for r in rows_of(license_spans(docs)) if r["label"] == "isc"}
+    assert found == {(1, "isc", 2, 2 + len(words)), (2, "isc", 3, 3 + len(changed))}
+    labels = {r["doc_id"]: (r["labels"], r["score"]) for r in rows_of(scan_licenses(docs))}
+    assert "isc" in labels[1][0] and labels[1][1] == 1.0 and 0.8 < labels[2][1] < 1 and labels[3] == ("", 0.0) and labels[4] == ("", 0.0)
+
+
+def test_rules_compiled_equal_the_rules(spark):
+    """The compiled score of a rule model against its rules applied one by one."""
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.quality import STATISTICS, RuleModel
+
+    rng = random.Random(8)
+    rows = [tuple(rng.random() for _ in STATISTICS) for _ in range(50)]
+    rules = [tuple((rng.randrange(len(STATISTICS)), rng.random() < 0.5, rng.random()) for _ in range(rng.randrange(1, 4))) for _ in range(20)]
+    model = RuleModel(rules, [rng.uniform(-2, 2) for _ in rules], 0.3)
+    got = rows_of(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["i", *STATISTICS]).select("i", model.expression().alias("p"), F.lit(1)))
+    for r in got:
+        x = rows[r["i"]]
+        odds = 0.3 + sum(w for rule, w in zip(rules, model.weights, strict=True) if all((x[j] > t) if above else (x[j] <= t) for j, above, t in rule))
+        assert abs(r["p"] - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
+def test_compiled_forest_equals_the_forest(spark):
+    """Votes of the compiled trees against the trained model's own on its findings."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import secrets as X
+
+    findings = X.labelled_findings(spark)
+    model = X.train(findings)
+    values = X._features(X._value(F.col("own")), F.col("own"), F.col("before"), F.col("after"))
+    table = findings.select("label", *[v.alias(n) for v, n in zip(values, X.FEATURES, strict=True)])
+    share = X.compile_forest(model)(lambda i: F.col(X.FEATURES[i]))
+    both = model.transform(VectorAssembler(inputCols=list(X.FEATURES), outputCol="features").transform(table)).select("label", "prediction", share.alias("share"))
+    got = rows_of(both)
+    assert sum((r["share"] >= 0.5) == (r["prediction"] == 1.0) for r in got) >= 0.99 * len(got)
+    assert sum((r["share"] >= 0.5) == (r["label"] == 1.0) for r in got) >= 0.95 * len(got)

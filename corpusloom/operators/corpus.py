@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import written
 
 
 def first_by(df: DataFrame, keys: list[Column], order: list[Column], nulls_differ: bool = False) -> DataFrame:
@@ -137,28 +137,34 @@ def first_contexts(df: DataFrame, keys: list[str], order: list[Column], text: Co
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(kept), lambda s: s["__t"]), " / ").alias("contexts"))
 
 
-def quota_fill(df: DataFrame, labels: str, order: list[str], most: int) -> DataFrame:
-    """Rows kept in order as long as one of their labels is below its quota; then all their labels count.
+def quota_fill(df: DataFrame, labels: str, key: str, most: int) -> DataFrame:
+    """Rows kept in order of a unique key as long as one of their labels is below its quota; then all their labels count.
 
-    Whether a row stays depends on all before it, so this is one ordered pass with a count for each label as state:
-    sequential by its definition. It streams over sorted rows and holds only the counts.
+    Whether a row stays depends on all before it. It is settled in rounds: a row stays if a label is below its
+    quota even with all undecided rows before it counted, and goes if every label has its quota from the rows known to
+    stay. The first undecided row is always settled, most others with it, until none is left. Counts before a row are
+    sums over ranges of the key and a window inside one range, so a frequent label isn't one task.
     """
-    names, place = df.columns, df.columns.index(labels)
-    schema = df.schema
-
-    def run(batches):
-        seen: dict[str, int] = {}
-        for batch in batches:
-            keep = []
-            for i, row in enumerate(batch.column(place).to_pylist()):
-                own = set(row or [])
-                if any(seen.get(x, 0) < most for x in own):
-                    keep.append(i)
-                    for x in own:
-                        seen[x] = seen.get(x, 0) + 1
-            yield batch.take(pa.array(keep, pa.int32()))
-
-    return df.coalesce(1).sortWithinPartitions(*order).select(names).mapInArrow(run, schema)
+    bounds = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / 64 for i in range(1, 64)], 0.001)))
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("k"))) if bounds else F.lit(0)
+    rows = df.select(F.col(key).alias("k"), F.explode(F.array_distinct(labels)).alias("label")).withColumn("range", place).withColumn("state", F.lit(None).cast("boolean"))
+    rows = written(rows)
+    while True:
+        counted = {"sure": F.coalesce(F.col("state"), F.lit(False)), "open": F.coalesce(F.col("state"), F.lit(True))}
+        sums = rows.groupBy("label", "range").agg(*[F.sum(c.cast("long")).alias(n) for n, c in counted.items()])
+        whole = Window.partitionBy("label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+        sums = sums.select("label", "range", *[F.coalesce(F.sum(n).over(whole), F.lit(0)).alias(f"{n}_before") for n in counted])
+        inside = Window.partitionBy("label", "range").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+        known = rows.join(sums, ["label", "range"])
+        for n, c in counted.items():
+            known = known.withColumn(n, F.col(f"{n}_before") + F.coalesce(F.sum(c.cast("long")).over(inside), F.lit(0)))
+        fate = known.groupBy("k").agg(F.bool_or(F.col("open") < most).alias("stays"), F.bool_and(F.col("sure") >= most).alias("goes"), F.first("state").alias("state"))
+        fate = fate.select("k", F.coalesce("state", F.when(F.col("stays"), True).when(F.col("goes"), False)).alias("new"))
+        rows = written(rows.join(fate, "k").select("k", "label", "range", F.col("new").alias("state")))
+        if rows.where("state is null").isEmpty():
+            break
+    kept = rows.where("state").select(F.col("k").alias(key)).distinct()
+    return df.join(kept, key, "left_semi")
 
 
 def merge_spans(sources: list[DataFrame]) -> DataFrame:

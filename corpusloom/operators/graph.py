@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 KEY = ["doc_id", "sent_id"]
 UNREACHABLE = 99
 #: Relations that a nominal span keeps, and parts of speech trimmed from its ends.
@@ -54,10 +56,6 @@ def trim_bounds(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return inside.groupBy(*KEY, "first", "last").agg(left.alias("trim_first"), right.alias("trim_last")).where("trim_first <= trim_last")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def closure(tokens: DataFrame, roots: DataFrame, kept: tuple[str, ...] = KEPT) -> DataFrame:
     """(key, root, first, last, size): the nominal subtree of each root, through kept relations (or subtypes of them) only.
 
@@ -67,33 +65,56 @@ def closure(tokens: DataFrame, roots: DataFrame, kept: tuple[str, ...] = KEPT) -
     follow = base.isin(*{k.split(":")[0] for k in kept}, "name")
     for relation, parts in KEPT_OF.items():
         follow = follow | ((base == relation) & F.col("upos").isin(*parts))
-    edges = _written(tokens.where(follow).select(*[F.col(k).alias(f"e_{k}") for k in KEY], F.col("tok_id").alias("child"), "head"))
-    reached = front = _written(roots.select(*KEY, F.col("tok_id").alias("root"), "tok_id").distinct())
+    edges = written(tokens.where(follow).select(*[F.col(k).alias(f"e_{k}") for k in KEY], F.col("tok_id").alias("child"), "head"))
+    reached = front = written(roots.select(*KEY, F.col("tok_id").alias("root"), "tok_id").distinct())
     while not front.isEmpty():
         step = front.join(edges, [*(F.col(k) == F.col(f"e_{k}") for k in KEY), F.col("tok_id") == F.col("head")]).select(*KEY, "root", F.col("child").alias("tok_id"))
-        front = _written(step.distinct().join(reached, [*KEY, "root", "tok_id"], "left_anti"))
+        front = written(step.distinct().join(reached, [*KEY, "root", "tok_id"], "left_anti"))
         reached = reached.union(front)
     return reached.groupBy(*KEY, "root").agg(F.min("tok_id").alias("first"), F.max("tok_id").alias("last"), F.count("*").alias("size"))
 
 
+def _sentences(tokens: DataFrame, *columns: str) -> DataFrame:
+    """Each sentence's tokens (ids 1 to n) as one array by id, so that walks along heads look up places instead of joining."""
+    return tokens.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("tok_id", "head", *columns))).alias("t"))
+
+
+def _at(place: Column) -> Column:
+    """The token at a place of `t`, or null for 0 and beyond."""
+    return F.when(place > 0, F.get("t", (place - 1).cast("int")))
+
+
 def governing_verb(tokens: DataFrame, most: int = 4) -> DataFrame:
-    """The nearest verb above each token, at most so many steps up: bounded self-joins on the head."""
-    up = tokens.select(*[F.col(k).alias(f"u_{k}") for k in KEY], F.col("tok_id").alias("u_tok"), F.col("head").alias("u_head"), F.col("upos").alias("u_pos"))
-    rows = tokens.select(*KEY, "tok_id", F.col("head").alias("at"), F.lit(None).cast("long").alias("verb"))
-    for _ in range(most):
-        joined = rows.join(up, [*(F.col(k) == F.col(f"u_{k}") for k in KEY), F.col("at") == F.col("u_tok"), F.col("verb").isNull()], "left")
-        rows = joined.select(*KEY, "tok_id", F.coalesce("u_head", "at").alias("at"), F.coalesce("verb", F.when(F.col("u_pos") == "VERB", F.col("u_tok"))).alias("verb"))
-    return rows.select(*KEY, "tok_id", "verb")
+    """The nearest verb above each token, at most so many steps up: one walk along heads in the sentence's array."""
+
+    def walk(x: Column) -> Column:
+        start = F.struct(x["head"].alias("at"), F.lit(None).cast("long").alias("verb"))
+
+        def step(a: Column, _: Column) -> Column:
+            here = _at(a["at"])
+            verb = F.coalesce(a["verb"], F.when(here["upos"] == "VERB", here["tok_id"]))
+            return F.struct(F.coalesce(here["head"], F.lit(0)).alias("at"), verb.alias("verb"))
+
+        return F.struct(x["tok_id"].alias("tok_id"), F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["verb"].alias("verb"))
+
+    return _sentences(tokens, "upos").select(*KEY, F.explode(F.transform("t", walk)).alias("r")).select(*KEY, "r.*")
 
 
 def propagate_roles(tokens: DataFrame, role: str, passes: int = 4) -> DataFrame:
-    """Conjuncts take their head's role where they have none, pass by pass."""
-    rows = tokens
-    for _ in range(passes):
-        heads = rows.select(*[F.col(k).alias(f"h_{k}") for k in KEY], F.col("tok_id").alias("h_tok"), F.col(role).alias("h_role"))
-        joined = rows.join(heads, [*(F.col(k) == F.col(f"h_{k}") for k in KEY), F.col("head") == F.col("h_tok")], "left")
-        rows = joined.withColumn(role, F.when(F.col(role).isNull() & (F.col("deprel") == "conj"), F.col("h_role")).otherwise(F.col(role))).drop(*[f"h_{k}" for k in KEY], "h_tok", "h_role")
-    return rows
+    """(…, tok_id, role): conjuncts without a role take that of the nearest token above them that has one, over conjuncts only, at most so many steps up."""
+
+    def walk(x: Column) -> Column:
+        start = F.struct(x["head"].alias("at"), (x["deprel"] == "conj").alias("on"), x[role].alias("role"))
+
+        def step(a: Column, _: Column) -> Column:
+            here = _at(a["at"])
+            on = a["on"] & a["role"].isNull()
+            found = F.coalesce(a["role"], F.when(on, here[role]))
+            return F.struct(F.coalesce(here["head"], F.lit(0)).alias("at"), (on & F.coalesce(here["deprel"] == "conj", F.lit(False))).alias("on"), found.alias("role"))
+
+        return F.struct(x["tok_id"].alias("tok_id"), F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step)["role"].alias(role))
+
+    return _sentences(tokens, "deprel", role).select(*KEY, F.explode(F.transform("t", walk)).alias("r")).select(*KEY, "r.*")
 
 
 def role_of(deprel: Column) -> Column:

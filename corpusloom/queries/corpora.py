@@ -167,11 +167,14 @@ def rarest_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rarity(_tagged(spark, sf_dir), "doc_id", "tags").orderBy(F.round("score", 6).desc(), "doc_id").limit(100).select("doc_id")
 
 
-@query()
+@query(
+    """WITH l AS (SELECT list({'kept': [doc_id], 'seen': list_distinct([lang, source])} ORDER BY doc_id) AS s FROM documents)
+    SELECT unnest(list_reduce(s, lambda a, x: CASE WHEN len(list_filter(x.seen, lambda y: len(list_filter(a.seen, lambda z: z = y)) < 40)) > 0 THEN {'kept': list_concat(a.kept, x.kept), 'seen': list_concat(a.seen, x.seen)} ELSE a END, {'kept': []::BIGINT[], 'seen': []::VARCHAR[]}).kept) AS doc_id FROM l"""
+)
 def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows kept while one of their labels is below its quota, in order of id."""
     rows = _docs(spark, sf_dir).select("doc_id", F.array("lang", "source").alias("labels"))
-    return C.quota_fill(rows, "labels", ["doc_id"], 40).select("doc_id")
+    return C.quota_fill(rows, "labels", "doc_id", 40).select("doc_id")
 
 
 @query(

@@ -68,7 +68,7 @@ def boundary_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {UD}, e AS (SELECT * FROM ud WHERE deprel IN ({", ".join(f"'{k}'" for k in G.KEPT)})), r AS (SELECT doc_id, sent_id, tok_id AS root, tok_id, 0 AS d FROM ud WHERE upos IN ('NOUN', 'PROPN') UNION ALL SELECT r.doc_id, r.sent_id, r.root, e.tok_id, d + 1 FROM r JOIN e ON e.doc_id = r.doc_id AND e.sent_id = r.sent_id AND e.head = r.tok_id WHERE d < 6)
+    f"""WITH RECURSIVE {UD}, e AS (SELECT * FROM ud WHERE deprel IN ({", ".join(f"'{k}'" for k in G.KEPT)})), r AS (SELECT doc_id, sent_id, tok_id AS root, tok_id FROM ud WHERE upos IN ('NOUN', 'PROPN') UNION SELECT r.doc_id, r.sent_id, r.root, e.tok_id FROM r JOIN e ON e.doc_id = r.doc_id AND e.sent_id = r.sent_id AND e.head = r.tok_id)
     SELECT doc_id, sent_id, root, min(tok_id) AS first, max(tok_id) AS last, count(DISTINCT tok_id) AS size FROM r GROUP BY ALL"""
 )
 def nominal_closure(spark: SparkSession, sf_dir: str) -> DataFrame:

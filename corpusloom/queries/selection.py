@@ -206,16 +206,13 @@ def summary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.avg(n).alias("mean"), F.percentile(n, 0.5).alias("median"), F.percentile(n, 0.95).alias("p95"), F.max(n).alias("most"))
 
 
-@query(
-    f"""WITH {D.SENTENCES_SQL}, r AS (SELECT {K}, 'abstract_' || doc_id || '_' || sent_id AS id, row_number() OVER (ORDER BY md5('7' || doc_id || '_' || sent_id), doc_id, sent_id) AS place, count(*) OVER () AS total FROM sentences WHERE sent_id = 1)
-    SELECT id, CASE WHEN place <= total * 0.1 THEN 'val' WHEN place <= total * 0.2 THEN 'test' ELSE 'train' END AS split FROM r"""
-)
+@query("SELECT id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8 + 0.1 THEN 'val' ELSE 'test' END AS split FROM (SELECT id, ('0x' || substr(md5('7' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT 'abstract_' || doc_id AS id FROM documents WHERE lang = 'en'))")
 def prefixed_rows_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one prefix dealt to val, test and train by the order of a seeded hash."""
-    rows = D.sentences(spark, sf_dir).where("sent_id = 1").withColumn("h", F.md5(F.concat(F.lit("7"), "doc_id", F.lit("_"), "sent_id").cast("binary")))
-    place, total = F.row_number().over(Window.orderBy("h", "doc_id", "sent_id")), F.count("*").over(Window.partitionBy())
-    split = F.when(F.col("place") <= F.col("total") * 0.1, "val").when(F.col("place") <= F.col("total") * 0.2, "test").otherwise("train")
-    return rows.withColumns({"place": place, "total": total}).select(F.concat(F.lit("abstract_"), "doc_id", F.lit("_"), "sent_id").alias("id"), split.alias("split"))
+    """Rows whose id has a prefix, dealt to train, val and test by a seeded hash, and others left out."""
+    from ..operators import corpus as C
+
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.when(F.col("lang") == "en", "abstract_").otherwise("other_"), "doc_id").alias("id"))
+    return C.split(rows.where(F.col("id").startswith("abstract_")), 7, (0.8, 0.1, 0.1), ("train", "val", "test"), "id")
 
 
 @query(

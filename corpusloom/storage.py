@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,11 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="corpusloom-")
     return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share, so that its history isn't needed again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint()

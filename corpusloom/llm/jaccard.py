@@ -130,10 +130,18 @@ def _enough(common: Column, n: str, other: str, least: float) -> Column:
     return common >= (F.col(n) + F.col(other)) * F.lit(least / (1 + least)) - 1e-9
 
 
+#: Shingles up to which sets are broadcast: some 8 MB.
+SMALL_SETS = 1_000_000
+
+
 def _measured(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with the sizes n, m and the number of common shingles."""
+    pairs = settled(pairs)
     left = points.select(F.col("point").alias("a"), "n", F.col("shingles").alias("x"))
     right = points.select(F.col("point").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("y"))
+    heads = right.join(pairs.select("b").distinct(), "b", "left_semi")
+    if (heads.agg(F.sum("m")).first()[0] or 0) <= SMALL_SETS:  # then pairs and their second sets go to the first ones
+        right = cut_lineage(heads).hint("broadcast")
     both = pairs.join(left, "a").join(right, "b")
     return both.select(*pairs.columns, "n", "m", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
 
@@ -152,7 +160,7 @@ def _stars(points: DataFrame, entries: DataFrame, threshold: float) -> tuple[lis
     while True:
         sizes = outer.groupBy("key").agg(F.min("n").alias("least_n"), F.min("point").alias("a"), F.max("point").alias("b")).where("a < b")
         live = settled(outer.join(sizes.select("key", "least_n"), "key").where(_possible("least_n", threshold)).drop("least_n"))
-        candidates = live.select("point").distinct() if candidates is None else candidates
+        candidates = settled(live.select("point").distinct()) if candidates is None else candidates
         # the share of own shingles, made different for all points
         rank = F.col("own") / F.col("n") + F.pmod(F.xxhash64("point"), F.lit(1 << 20)) * F.lit(1e-9)
         led = live.groupBy("key", F.pmod(F.xxhash64("point", F.lit(7)), F.lit(leaders)).alias("k")).agg(F.min_by("point", rank).alias("pivot"))
@@ -166,7 +174,7 @@ def _stars(points: DataFrame, entries: DataFrame, threshold: float) -> tuple[lis
         pivots.append(chosen)
         found.append(near)
         inside = near.where(_enough(F.col("common"), "n", "m", threshold)).select("point").union(chosen.select("pivot")).distinct()
-        outer = live.join(inside, "point", "left_anti")
+        outer = live.join(settled(inside), "point", "left_anti")
         leaders *= 16
 
 
@@ -234,6 +242,7 @@ def _across(pivots: DataFrame, found: DataFrame, candidates: DataFrame, points:
     heads = settled(heads.withColumn("least_n", F.least("least_n", "m")))
     keys = kept.select("key", "point", "before", "close")
     theirs = keys.join(heads, F.col("point") == F.col("pivot")).select("key", "pivot", "m", "p_own", "p_group", "least_n", F.col("before").alias("p_before"))
+    theirs = settled(theirs)
     bound = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("p_own"))
     other = (F.col("group") != F.col("p_group")) & _possible("least_n", threshold) & _enough(bound, "n", "m", wide) & _first_common("n", "before", "m", "p_before", wide)
     mine = keys.join(own, "point")

@@ -42,17 +42,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
-#: Rows up to which a table counts as small.
-SMALL = 10_000
+#: Rows up to which a table of a few numbers a row counts as small: some 5 MB.
+SMALL = 100_000
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """cut_lineage, and a table of few rows in one partition: what is then grouped or joined with its like isn't shuffled.
+    """cut_lineage, and a table that is counted to be small in one partition, to be broadcast where it is joined.
 
-    For rounds whose tables get small; it changes how rows lie, not which there are.
+    For narrow tables of rounds that get small: what is then grouped or joined isn't shuffled. It changes how rows lie,
+    not which there are.
     """
     done = cut_lineage(df)
-    return cut_lineage(done.coalesce(1)) if done.count() <= SMALL and done.rdd.getNumPartitions() > 1 else done
+    return cut_lineage(done.coalesce(1)).hint("broadcast") if done.count() <= SMALL else done
 
 
 def held_out(doc_id: Column) -> Column:
@@ -70,12 +71,15 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.union(now.select("b", "a"))
+        single = now.rdd.getNumPartitions() == 1
+        together = (lambda df: df.coalesce(1)) if single else (lambda df: df)
+        both = together(both)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.where("a > b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("x"), "a", "m")
-        small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()
+        small = together(small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a > b")).distinct()
         now = settled(small)
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if found == mark:

@@ -258,22 +258,70 @@ def test_benchmark_in_passes(spark, monkeypatch):
 
 
 def test_pipeline(spark):
-    """Each stage against its operator's own answer on what the stage was given."""
+    """Each stage against brute force on what it was given, and the whole against the stages."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as P
+    from corpusloom.llm.language import predict_languages
+    from corpusloom.llm.secrets import scan_secrets
 
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     assert [n for n, _ in P.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "best_fit_packing"]
-    now = docs
-    for name, stage in P.STAGES[:4]:
-        before, now = now, stage(spark, now, SF_DIR).checkpoint()
-        assert now.columns == docs.columns and 0 < now.count() <= before.count()
-        if name == "ngram_jaccard_join":
-            from corpusloom.llm.jaccard import jaccard_components
-
-            again = rows_of(jaccard_components(now))
-            assert all(r["doc_id"] == r["component_id"] for r in again)
+    now, kept = docs, [docs]
+    for _, stage in P.STAGES[:4]:
+        now = stage(spark, now, SF_DIR).checkpoint()
+        assert now.columns == docs.columns
+        kept.append(now)
+    rows = [{r["doc_id"]: r for r in rows_of(d)} for d in kept]
+    sure = {r["doc_id"] for r in rows_of(predict_languages(docs)) if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    assert set(rows[1]) == sure and all(rows[1][i] == rows[0][i] for i in sure)
+
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) for i, r in rows[1].items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in split.items() if w}
+    root = {i: i for i in rows[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sets:
+            if b < a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert set(rows[2]) == {i for i in rows[1] if find(i) == i}
+
+    signs = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    windows: dict = {}
+    for r in rows_of(spark.read.parquet(f"{SF_DIR}/benchmark.parquet")):
+        w = signs(r["text"])
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(n, set()).add(tuple(w[k : k + n]))
+    clean = {i for i, r in rows[2].items() for w in [signs(r["text"])] if not any(tuple(w[k : k + n]) in found for n, found in windows.items() for k in range(len(w) - n + 1))}
+    assert set(rows[3]) == clean and len(clean) < len(rows[2])
+
+    values: dict = {}
+    for r in rows_of(scan_secrets(kept[3])):
+        values.setdefault(r["doc_id"], set()).add(r["value"])
+    assert set(rows[4]) == set(rows[3]) and values
+    for i, r in rows[3].items():
+        text = r["text"]
+        for v in sorted(values.get(i, ()), key=lambda v: (-len(v), v)):
+            text = text.replace(v, "[SECRET]")
+        assert (rows[4][i]["text"], rows[4][i]["n_chars"]) == (text, len(text))
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     packed = rows_of(P.run(spark, SF_DIR))
-    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in rows_of(now.select("doc_id"))}
+    wanted = {}
+    for i, r in rows[4].items():
+        ids = [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            wanted[i, piece] = zlib.crc32(np.array(ids[start : start + 4096], "<u4").tobytes())
+    assert {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packed} == wanted
 
 
 def test_ids_of_random_texts():

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import add_columns, components, cut_lineage, settled
+from .shared import add_columns, components, cut_lineage, released, settled
 from .words import Prefix, U, Words, cut, lists, mix, signed, slices
 
 #: Share of a set that its first shingles hold besides the n * r ones, and that linked sets then share of them at least.
@@ -72,6 +72,7 @@ def _least(n: np.ndarray, threshold: float) -> np.ndarray:
 
 def _summary(size: int, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for part in slices(batch, "text"):
                 value, doc, n = shingle_sets(cut(part.column("text"), True, False), size)

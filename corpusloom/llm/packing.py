@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage
+from .shared import RELEASE, cut_lineage
 from .words import slices
 
 #: Pieces of a block, islands of a block, epochs, solutions of an island, and generations of an epoch.
@@ -50,6 +50,7 @@ def _tokenizer(path: str) -> tuple:
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         _TOKENIZERS[path] = (found, [{}, {}], {}, special, [0], ends)
+        RELEASE.append(_TOKENIZERS.clear)
     return _TOKENIZERS[path]
 
 

@@ -90,6 +90,15 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(roots) if mark and mark[0] else spark.createDataFrame([], "node long, component long")
 
 
+#: What a Python worker that is used again lets go of when another operator's work begins in it.
+RELEASE: list[Callable[[], None]] = []
+
+
+def released() -> None:
+    while RELEASE:
+        RELEASE.pop()()
+
+
 def add_columns(df: DataFrame, prepare: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: dict[str, str]) -> DataFrame:
     """df with columns computed from Arrow batches, cut to a bounded size by their text column.
 
@@ -100,6 +109,7 @@ def add_columns(df: DataFrame, prepare: Callable[[], Callable[[pa.RecordBatch],
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{k}` {v}" for k, v in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         work = prepare()
         for batch in batches:
             for part in slices(batch, "text"):

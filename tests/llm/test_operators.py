@@ -403,11 +403,15 @@ def test_redaction_equals_the_scan(spark):
     from corpusloom.llm.secrets import redact_secrets, scan_secrets
 
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    # the smallest table has no secrets of its own: one document with one, one with it twice, one with two, one where one is part of the other
+    one, two = "Xk29vLq8ZtPw93TyMn47", "9f8e7d6c5b4a39281f0e"
+    texts = [f"we set password={one} here", f"first token = {one} then api_key={one} again", f"secret: {one} and pwd={two} there", f"token={two} or token={two}a7c5 perhaps"]
+    docs = docs.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], docs.schema))
     values: dict = {}
     for r in rows_of(scan_secrets(docs)):
         values.setdefault(r["doc_id"], set()).add(r["value"])
     got = {r["doc_id"]: r["text"] for r in rows_of(redact_secrets(docs))}
-    assert values
+    assert {10**6 + i for i in range(len(texts))} <= set(values)
     for r in rows_of(docs):
         text = r["text"]
         for v in sorted(values.get(r["doc_id"], ()), key=lambda v: (-len(v), v)):

@@ -71,6 +71,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import draw, importance_scores
+
+    return draw(importance_scores(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text", "n_words"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetition import score_repetition
+
+    return score_repetition(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .merkle import build_manifest, prove
+
+    docs = _documents(spark, sf_dir)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lowered).otherwise(F.col("text"))
+    proofs = prove(build_manifest(docs.withColumn("text_now", tampered), now={"text": "text_now"}))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .words import slices
@@ -56,6 +56,19 @@ def settled(df: DataFrame) -> DataFrame:
     return cut_lineage(done.coalesce(1)).hint("broadcast") if done.count() <= SMALL else done
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """df with each row's place, from 0, in the order of some columns; rows that are equal in them come in any order.
+
+    Rows are dealt by ranges of the order and sorted there, so that no task sees them all; a place is what stands in the
+    ranges before plus the place inside the range. Only one count a range is summed up in one task.
+    """
+    laid = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    laid = laid.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = laid.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return laid.join(F.broadcast(sums), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__id", "__part", "__at", "__before")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept from training: crc32 of the id as text leaves remainder 1 by 3. False for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

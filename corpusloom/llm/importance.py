@@ -65,9 +65,9 @@ def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: i
     ours, theirs = (bucket_counts(df, buckets, longest) for df in (docs, target))
     both = spark.range(buckets).withColumnRenamed("id", "bucket").join(ours.withColumnRenamed("n", "s"), "bucket", "left").join(theirs.withColumnRenamed("n", "t"), "bucket", "left").na.fill(0)
     both = cut_lineage(both)
-    whole = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    likelier = F.expr(f"((t + 1D) * (all_s + {buckets}D)) / ((s + 1D) * (all_t + {buckets}D))")
-    found = both.crossJoin(F.broadcast(whole)).select("bucket", F.floor(1000 * F.log(likelier)).cast("long").alias("gain")).collect()  # one row a bucket
+    whole = both.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
+    likelier = ((F.col("t") + 1.0) * float(whole.s + buckets)) / ((F.col("s") + 1.0) * float(whole.t + buckets))
+    found = both.select("bucket", F.floor(1000 * F.log(likelier)).cast("long").alias("gain")).collect()  # one row a bucket
     out = np.zeros(buckets, np.int64)
     out[[r.bucket for r in found]] = [r.gain for r in found]
     return out

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, held_out
+from .shared import add_columns, held_out, sampled
 
 #: Hashed n-gram features.
 FEATURES = 1 << 14
@@ -134,12 +134,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, train: Column, sample: int = SAMPLE) -> LanguageModel:
     """Fits on rows of (doc_id, text, lang) where `train` holds and text and lang are not null.
 
-    `sample` bounds the labelled rows of one language that set weights and temperature (those with the least hash of
-    doc_id, about); document frequencies cover all training rows. Languages are the distinct labels.
+    `sample` bounds the labelled rows of one language that set weights and temperature (those with the least hashes of
+    doc_id and text); document frequencies cover all training rows. Languages are the distinct labels; of equally likely
+    ones the first by name is predicted.
     """
     rows = documents.where(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    classes = sorted(sizes)
+    classes = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not classes:
         return LanguageModel([], np.zeros((FEATURES, 0)), np.zeros(0), np.ones(FEATURES), 1.0)
     counted = rows.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
@@ -150,9 +150,7 @@ def fit(documents: DataFrame, train: Column, sample: int = SAMPLE) -> LanguageMo
         else:
             df[r.feature] = r.df
     idf = np.log((1 + total) / (1 + df)) + 1
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    share = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(int(min(1.0, sample / sizes[c]) * 1_000_000)))])
-    chosen = rows.where(place < share[F.col("lang")]).select("lang", "doc_id", "text").mapInArrow(_features, "lang string, doc_id long, grams binary").where("grams is not null")
+    chosen = sampled(rows, sample, 11, ["doc_id", "text"], ["lang"]).select("lang", "doc_id", "text").mapInArrow(_features, "lang string, doc_id long, grams binary").where("grams is not null")
     data = []
     for r in sorted(chosen.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.lang)):
         at, counts = np.frombuffer(r.grams, "<i4").reshape(2, -1)

@@ -2,8 +2,10 @@
 
 Rolling k-gram hashes of all words of all documents are joined with those of license templates. A gram at word p of a
 document and word t of a template votes for the diagonal p - t; an unbroken copy puts all its votes on one diagonal,
-and inserted or lost words move the rest to a neighbouring one. So votes are counted by diagonal, neighbouring diagonals
-merged, and the spans they make up verified by how much of the template they cover and how densely.
+and inserted or lost words move the rest to a neighbouring one. So votes are gathered by diagonal and neighbouring
+diagonals merged where one goes on behind the other in the document and in the template alike; what they make up is
+verified by how much of the template it covers and how densely. A phrase that stands many times has many diagonals, but
+none that goes on behind another, so it neither hides nor joins a license beside it.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import Prefix, Words, cut, lists, signed, slices
@@ -101,8 +103,8 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     labels[d].add(label)
             none = count == 0
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(words.lengths()), pa.array(count), pa.array(least, mask=none), pa.array(most, mask=none), pa.array([sorted(x) for x in labels], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base"],
+                [part.column("doc_id"), part.column("print"), pa.array(words.lengths()), pa.array(count), pa.array(least, mask=none), pa.array(most, mask=none), pa.array([sorted(x) for x in labels], pa.list_(pa.string()))],
+                ["doc_id", "print", "n_words", "n_base", "first_word", "last_word", "base"],
             )
 
 
@@ -112,7 +114,7 @@ def _rolling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = cut(part.column("text"), lower=True, signs=True)
             first, gram = _grams(words)
             count = np.bincount(words.doc[first], minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(signed(gram), count, pa.int64())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), lists(signed(gram), count, pa.int64())], ["doc_id", "print", "grams"])
 
 
 def template_grams(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[int, int, int, int]]:
@@ -124,20 +126,84 @@ def template_grams(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[t
     return rows
 
 
+def runs_of(votes: list[tuple[int, list[int]]]) -> np.ndarray:
+    """Unbroken runs (first p, first t, grams) on the diagonals of (diagonal, places p), by p."""
+    p = np.concatenate([np.sort(np.asarray(places, np.int64)) for _, places in votes])
+    t = p - np.repeat([d for d, _ in votes], [len(places) for _, places in votes])
+    new = np.flatnonzero(np.append(True, (np.diff(p) != 1) | (np.diff(t) != 1)))
+    runs = np.stack([p[new], t[new], np.diff(np.append(new, len(p)))], 1)
+    return runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+
+
+def chains(votes: list[tuple[int, list[int]]], total: int) -> list[tuple[int, int, int]]:
+    """(first p, last p, grams) of the spans that cover a template of `total` grams enough, best first, none sharing a run.
+
+    A run goes on behind another one that begins and ends before it in both document and template, on the same diagonal or
+    one at most GAP beside; grams that both have count once. So a span is no longer than the template and the words put in. Of all ways to go on, the one with
+    most grams is taken, then the one that begins last.
+    """
+    runs = runs_of(votes)
+    p, t, n = runs.T
+    best, back = n.copy(), np.full(len(runs), -1)
+    begin = p.copy()
+    for i in np.flatnonzero(t > 0):
+        low = np.searchsorted(p, p[i] - t[i] - GAP)  # nothing further back is on a neighbouring diagonal at an earlier t
+        j = np.arange(low, i)
+        shift = (p[j] - t[j]) - (p[i] - t[i])
+        twice = np.maximum(0, np.maximum(t[j] + n[j] - t[i], p[j] + n[j] - p[i]))  # grams at the seam that both have
+        fits = (np.abs(shift) <= GAP) & (t[j] < t[i]) & (p[j] < p[i]) & (twice < np.minimum(n[j], n[i]))
+        j, twice = j[fits], twice[fits]
+        if len(j):
+            sums = best[j] - twice
+            m = np.lexsort((begin[j], sums))[-1]
+            if sums[m] > 0:
+                best[i], back[i], begin[i] = sums[m] + n[i], j[m], begin[j[m]]
+    last = p + n - 1
+    good = np.flatnonzero((best >= COVER * total) & (best >= 0.5 * (last - begin + 1)))
+    found, used = [], np.zeros(len(runs), bool)
+    for i in good[np.lexsort((last[good], -best[good]))]:
+        path, k = [], i
+        while k >= 0:
+            path.append(k)
+            k = back[k]
+        if not used[path].any():
+            used[path] = True
+            found.append((int(begin[i]), int(last[i]), int(best[i])))
+    return found
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            votes = [(x["diagonal"], x["ps"]) for x in sorted(r["lines"], key=lambda x: x["diagonal"])]
+            rows += [(r["doc_id"], r["print"], r["template"], first, last + GRAM, n / r["total"]) for first, last, n in chains(votes, r["total"])]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "print", "template", "first_word", "end_word", "cover"])
+
+
+def _told_apart(documents: DataFrame) -> DataFrame:
+    """doc_id, text and print, which tells the texts of one id apart."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(F.coalesce(text, F.lit(""))).alias("print"))
+
+
 def license_spans(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(doc_id, label, first_word, end_word, cover): verified spans of template text in (doc_id, text) rows with an id."""
+    """(doc_id, print, label, first_word, end_word, cover): verified spans of template text in (doc_id, text) rows.
+
+    print is the text's digest: texts of one id, null ids too, have their own spans, and exactly repeated rows have them
+    once. Spans of one template share no words of it; those of several templates may lie on the same words.
+    """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     known = spark.createDataFrame(template_grams(templates), "gram long, template int, t int, total int")  # as many rows as the templates have words
-    rolled = docs.mapInArrow(_rolling, "doc_id long, grams array<long>").select("doc_id", F.posexplode("grams").alias("p", "gram"))
+    rolled = _told_apart(documents).mapInArrow(_rolling, "doc_id long, print string, grams array<long>").select("doc_id", "print", F.posexplode("grams").alias("p", "gram"))
     votes = rolled.join(F.broadcast(known), "gram")
-    lines = votes.groupBy("doc_id", "template", "total", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"), F.min("p").alias("first"), F.max("p").alias("last"))
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > GAP, F.lit(True))
-    merged = lines.withColumn("group", F.sum(apart.cast("int")).over(order)).groupBy("doc_id", "template", "total", "group").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.min("first").alias("first"), F.max("last").alias("last"))
-    cover, dense = F.size("ts") / F.col("total"), F.size("ts") / (F.col("last") - F.col("first") + 1)
+    lines = votes.groupBy("doc_id", "print", "template", "total", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("p").alias("ps"))
+    gathered = lines.groupBy("doc_id", "print", "template", "total").agg(F.collect_list(F.struct("diagonal", "ps")).alias("lines"), F.sum(F.size("ps")).alias("n"))
+    found = gathered.where(F.col("n") >= COVER * F.col("total")).drop("n").mapInArrow(_chained, "doc_id long, print string, template int, first_word long, end_word long, cover double")
     names = F.create_map(*[x for i, (label, _) in enumerate(templates) for x in (F.lit(i), F.lit(label))])
-    return merged.where((cover >= COVER) & (dense >= 0.5)).select("doc_id", names[F.col("template")].alias("label"), F.col("first").alias("first_word"), (F.col("last") + GRAM).alias("end_word"), cover.alias("cover"))
+    return found.select("doc_id", "print", names[F.col("template")].alias("label"), "first_word", "end_word", "cover")
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
@@ -145,13 +211,12 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
 
     Words are letters, digits and non-ASCII, with A-Z lower-cased. Base labels come from PHRASES, further ones from
     verified template spans. score: the best span's cover, at least 0.5 where a base phrase stands, else 0. A null
-    text has no words; a row with a null doc_id gets base labels only; rows with one doc_id share spans. Other columns
-    are ignored, and an empty table gives an empty result.
+    text has no words; each row is judged by its own text, whatever its doc_id; spans of equal cover don't compete, as
+    all their labels count. Other columns are ignored, and an empty table gives an empty result.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = docs.mapInArrow(_base, "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>")
-    found = license_spans(documents).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
-    joined = base.join(found, "doc_id", "left")
+    base = _told_apart(documents).mapInArrow(_base, "doc_id long, print string, n_words long, n_base long, first_word long, last_word long, base array<string>")
+    found = license_spans(documents).groupBy("doc_id", "print").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover")).withColumnsRenamed({"doc_id": "of", "print": "own"})
+    joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("own")), "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return joined.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -45,22 +47,31 @@ def describe(image: np.ndarray) -> str:
     return ";".join(map(str, (image.shape[0], image.shape[1], *means.tolist(), down, across)))
 
 
-def decoded(files: list[bytes]) -> tuple[list[bytes | None], list[np.ndarray]]:
-    """Payloads and RGB pixels of progressive files: store_texts' all at once, any others scan by scan, without a payload."""
+#: What a broken file makes a decoder raise: its own finding, or a place, table or size that isn't there.
+BROKEN = (ValueError, IndexError, KeyError, TypeError, OverflowError, ZeroDivisionError, AttributeError, EOFError, struct.error, MemoryError)
+
+
+def decoded(files: list[bytes | None]) -> tuple[list[bytes | None], list[np.ndarray | None]]:
+    """Payloads and RGB pixels of progressive files: store_texts' all at once, any others scan by scan, without a payload.
+
+    A null, and a file that can't be decoded, has neither.
+    """
     try:
-        return jpeg.read(files)  # type: ignore[return-value]
-    except ValueError:
+        return jpeg.read(files)  # type: ignore[arg-type, return-value]
+    except BROKEN:
         pass
     payloads: list[bytes | None] = []
-    images = []
+    images: list[np.ndarray | None] = []
     for data in files:
+        own, image = None, None
         try:
-            own, image = jpeg.read([data])
-            payloads.append(own[0])
-            images.append(image[0])
-        except ValueError:
-            payloads.append(None)
-            images.append(jpeg.pixels(jpeg.coefficients(data)))
+            read, pixels = jpeg.read([data])  # type: ignore[list-item]
+            own, image = read[0], pixels[0]
+        except BROKEN:
+            with contextlib.suppress(*BROKEN):
+                image = jpeg.pixels(jpeg.coefficients(data)) if data else None
+        payloads.append(own)
+        images.append(image if image is not None and image.size else None)
     return payloads, images
 
 
@@ -69,7 +80,9 @@ def load_media(stored: DataFrame, with_pixels: bool = True) -> DataFrame:
 
     Each file is decoded scan by scan to coefficients, and these give both the payload and RGB pixels; with_pixels adds
     height, width and rgb (rows of 3 bytes a pixel). Needs doc_id, n_bytes and media; progressive files of other writers are
-    read too, with a null payload. A row of media is a row here, whatever its doc_id; an empty table gives an empty result.
+    read too, with a null payload. An empty file and one that is cut short or broken have media_bytes and media_sha256 only,
+    a null has nulls; neither stops the rows beside it. A row of media is a row here, whatever its doc_id, and repeated rows
+    are decoded each; other columns of stored are left out, and an empty table gives an empty result.
     """
     kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
     kinds |= {"height": "int", "width": "int", "rgb": "binary"} if with_pixels else {}
@@ -80,15 +93,15 @@ def load_media(stored: DataFrame, with_pixels: bool = True) -> DataFrame:
             while at < len(files):
                 to, held = at, 0
                 while to < len(files) and (to == at or held < 2_000_000):
-                    held += len(files[to])
+                    held += len(files[to] or b"")
                     to += 1
                 some = files[at:to]
                 payloads, images = decoded(some)
-                rows = [(*((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) if p is not None else (None, None, None)), len(f), hashlib.sha256(f).hexdigest(), describe(i)) for p, f, i in zip(payloads, some, images, strict=True)]
+                rows = [(*((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) if p is not None else (None, None, None)), *((len(f), hashlib.sha256(f).hexdigest()) if f is not None else (None, None)), None if i is None else describe(i)) for p, f, i in zip(payloads, some, images, strict=True)]
                 types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)]
                 if with_pixels:
-                    columns += [pa.array([i.shape[0] for i in images], pa.int32()), pa.array([i.shape[1] for i in images], pa.int32()), pa.array([i.tobytes() for i in images], pa.binary())]
+                    columns += [*(pa.array([None if i is None else i.shape[k] for i in images], pa.int32()) for k in (0, 1)), pa.array([None if i is None else i.tobytes() for i in images], pa.binary())]
                 part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *([part.column("media")] if with_pixels else []), *columns], ["doc_id", "n_bytes", *(["media"] if with_pixels else []), *kinds])
                 at = to

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage, held_out
+from .shared import cut_lineage, held_out, sampled
 from .words import cut, slices, text_bytes
 
 #: Labelled rows used for fitting (about; those with the least hash), trees, their depth, and candidate thresholds of a statistic.
@@ -204,9 +204,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     """
     measured = cut_lineage(statistics(documents))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    total = known.count()
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
-    chosen = known.where(place < int(min(1.0, sample / max(1, total)) * 1_000_000))
+    chosen = sampled(known, sample, 5, ["doc_id", "quality"])
     rows = sorted(measured.join(chosen, "doc_id").select("doc_id", "quality", *STATISTICS).collect())
     x = np.array([r[2:] for r in rows], float).reshape(len(rows), len(STATISTICS))
     model = fit(x, np.array([r[1] for r in rows], float))

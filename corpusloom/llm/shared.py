@@ -74,6 +74,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def sampled(rows: DataFrame, most: int, seed: int, key: list[str], by: list[str] | None = None) -> DataFrame:
+    """Of the rows of each group (all as one, without `by`), those with the least hashes of the key: `most` of them, or all there are.
+
+    Counts tell about where the hash of the row in place `most` lies; what is well above leaves in the scan, so that only
+    some rows more than wanted are ever ranked. The share that stays is a double, and so never rounds to nothing. Which
+    of exactly repeated rows is taken makes no difference.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 2).cast("double") / float(1 << 62)
+    by = by or []
+    sizes = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*by).count().collect()}  # one row a label
+    share = F.lit(0.0)
+    for group, n in sizes.items():
+        wide = 1.0 if n <= most else min(1.0, (1.2 * most + 40) / n)  # some rows too many, to be ranked
+        same = F.lit(True)
+        for c, v in zip(by, group, strict=True):
+            same &= F.col(c).eqNullSafe(F.lit(v))
+        share = F.when(same, wide).otherwise(share)
+    near = rows.withColumn("__place", place).where(F.col("__place") <= share)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__place", *key))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__place", "__rank")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable, for the nodes of (a, b) edges, by large-star and small-star rounds.
 

@@ -17,6 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from test_operators import ROWS, SCHEMA, documents, rows_of
 
 from corpusloom.llm import importance, merkle, repetition
+from corpusloom.llm.licenses import TEMPLATES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SIGNED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -208,3 +209,89 @@ def test_manifest_keeps_its_levels(spark, tmp_path):
     assert store.heights == (3, 1)
     assert [store.level(0, i).count() for i in range(3)] == [1 + 1 + 2 + 3 + 18 + 1, 1 + 1 + 2, 1]
     assert store.leaves().count() == len(SIZED)
+
+
+def test_samples_have_their_size(spark):
+    """As many rows as asked for, or all there are, however small the share is."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.shared import sampled
+
+    rows = spark.range(30_000_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 29_999_000, "many").when(F.col("id") < 29_999_990, "some").otherwise("few").alias("lang"))
+    got = {r["lang"]: r["count"] for r in rows_of(sampled(rows, 100, 3, ["doc_id"], ["lang"]).groupBy("lang").count())}
+    assert got == {"many": 100, "some": 100, "few": 10}
+    assert sampled(rows, 500, 3, ["doc_id"]).count() == 500
+    same = spark.range(5000).selectExpr("7L AS doc_id", "'a' AS lang")
+    assert sampled(same, 100, 3, ["doc_id"], ["lang"]).count() in (0, 100)
+    assert sampled(rows.limit(0), 100, 3, ["doc_id"], ["lang"]).count() == 0 == sampled(rows.limit(0), 100, 3, ["doc_id"]).count()
+
+
+@pytest.mark.parametrize("count", [10**9, 10**10, 10**13])
+def test_samples_of_a_counted_corpus(spark, monkeypatch, count):
+    """Stubbed counts: the share that stays in the scan leaves the sample and little more, and never nothing."""
+    from corpusloom.llm import shared
+
+    rows, many = spark.range(10), spark.createDataFrame([(count,)], "count long")
+    kept, where = [], type(rows).where
+    monkeypatch.setattr(type(rows.groupBy()), "count", lambda _: many)
+    monkeypatch.setattr(type(rows), "where", lambda df, c: kept.append(c) or where(df, c))
+    shared.sampled(rows, 800, 3, ["id"])
+    monkeypatch.undo()
+    places = spark.createDataFrame([(800 / count,), (1.1 * 800 / count,), (1.4 * 800 / count,)], "__place double")
+    assert [r.stays for r in places.select(kept[0].alias("stays")).collect()] == [True, True, False]
+
+
+NOTICE = dict(TEMPLATES)  # the longest of each label
+
+
+@pytest.mark.parametrize(("label", "phrase", "times"), [("mit", "permission is hereby", 200), ("bsd", "redistribution and use", 300), ("all-rights-reserved", "all rights reserved", 100), ("gpl", "this program is free software", 150)])
+def test_licenses_beside_repeated_phrases(spark, label, phrase, times):
+    from corpusloom.llm.licenses import license_spans, scan_licenses
+
+    text, noise = NOTICE[label], " ".join([phrase] * times)
+    n, before = len(SIGNED.findall(text.lower())), len(SIGNED.findall(noise))
+    docs = spark.createDataFrame([(1, f"{noise} {text}"), (2, f"{text} {noise}"), (3, f"{noise} {text} {noise} {text} {noise}"), (4, noise)], "doc_id long, text string")
+    spans = [(r["doc_id"], r["first_word"], r["end_word"]) for r in rows_of(license_spans(docs)) if r["label"] == label and r["cover"] == 1]
+    assert {(1, before, before + n), (2, 0, n), (3, before, before + n), (3, 2 * before + n, 2 * before + 2 * n)} <= set(spans)
+    labels = {r["doc_id"]: r["labels"].split(",") for r in rows_of(scan_licenses(docs))}
+    assert all(label in labels[i] for i in (1, 2, 3)) and label not in labels[4]
+
+
+def test_licenses_of_one_id(spark):
+    from corpusloom.llm.licenses import scan_licenses
+
+    rows = [(1, NOTICE["isc"]), (1, "no license"), (1, NOTICE["isc"]), (None, NOTICE["isc"]), (None, None), (2, "")]
+    got = Counter((r["doc_id"], r["labels"]) for r in rows_of(scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert got == {(1, "isc"): 2, (1, ""): 1, (None, "isc"): 1, (None, ""): 1, (2, ""): 1}
+
+
+def test_media_of_bad_files(spark):
+    from corpusloom.llm.media import load_media, store_texts
+
+    docs = spark.createDataFrame([(1, "a text"), (2, "other " * 900)], "doc_id long, text string")
+    good = {r["doc_id"]: bytes(r["media"]) for r in rows_of(store_texts(docs))}
+    files = [(1, good[1]), (3, None), (4, b""), (5, b"not a picture"), (6, good[2][: len(good[2]) // 2]), (2, good[2]), (7, b"\xff\xd8\xff\xd9"), (8, good[1][:30] + b"\x00" * 400), (1, good[1])]
+    stored = spark.createDataFrame([(i, 0, None if f is None else bytearray(f)) for i, f in files], "doc_id long, n_bytes long, media binary").coalesce(1)
+    for pixels in (True, False):
+        got = rows_of(load_media(stored, with_pixels=pixels))
+        assert [r["doc_id"] for r in got] == [i for i, _ in files]
+        for r, (_, f) in zip(got, files, strict=True):
+            assert r["media_bytes"] == (None if f is None else len(f)) and r["media_sha256"] == (None if f is None else hashlib.sha256(f).hexdigest())
+        assert [r["doc_id"] for r in got if r["payload_sha256"]] == [1, 2, 1] and all(r["feature"] for r in got if r["payload_sha256"])
+        assert all(r["feature"] is None for r in got if r["doc_id"] in (3, 4, 5, 7))
+
+
+def test_pipeline_leaves_a_tables_own_columns(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = ["score", "lang_pred", "n_words", "hit_words", "item_ids", "Text 2", "row", "found", "component_id"]
+    wide = docs.selectExpr("*", *[f"concat('own ', doc_id) AS `{c}`" for c in names])
+    for name, stage in P.STAGES[:-1]:
+        plain = {r["doc_id"] for r in rows_of(stage(spark, docs, sf))}
+        got = stage(spark, wide, sf)
+        assert got.columns == wide.columns, name
+        rows = rows_of(got)
+        assert {r["doc_id"] for r in rows} == plain and plain, name
+        assert all(r[c] == f"own {r['doc_id']}" for r in rows for c in names), name

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.jaccard import first_of_each
@@ -18,11 +18,17 @@ from corpusloom.llm.wumanber import find_benchmark
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], kept: Column) -> DataFrame:
+    """Rows of docs, with the table's own columns, that an operator's answer keeps: columns named like its answers stand aside meanwhile."""
+    aside = {c: c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)}
+    found = judge(docs.select(*[F.col(f"`{c}`").alias(k) for c, k in aside.items()]))
+    return found.where(kept).select(*[F.col(f"`{k}`").alias(c) for c, k in aside.items()])
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised with a calibrated probability of one half at least; a null text, or one without letters, goes."""
     model = fit(docs, ~held_out(F.col("doc_id")))
-    found = identify(docs, model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 0.5)).select(docs.columns)
+    return _judged(docs, lambda rows: identify(rows, model), (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 0.5))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +38,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in which no window of a benchmark item stands; null and wordless texts are clean."""
-    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("hit_words") == 0).select(docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _judged(docs, lambda rows: find_benchmark(rows, items), F.size("hit_words") == 0)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents and their places in training sequences; a null text is one closing token."""
+    """Token pieces of all documents and their places in training sequences; a null text is one closing token. Columns other than doc_id and text play no part."""
     return pack_documents(docs, with_ids=False)
 
 

@@ -9,7 +9,9 @@ from .. import derived as D
 from ..functions import roles as R
 from ..functions import text as T
 from ..operators import spans as S
+from ..operators.ordering import placed_in
 from ..registry import query, table
+from ..storage import written
 
 K = "doc_id, sent_id"
 ONE, BOTH = D.with_spans(("ent", 1, 10)), D.with_spans(("ent", 1, 10), ("arg", 2, 6))
@@ -348,11 +350,11 @@ def span_extensions_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def verdicts_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of verdicts put to the rows of their batch by position; rows without one are marked."""
-    rows = table(spark, sf_dir, "documents").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).withColumn("batch", F.expr("place div 10"))
+    rows = written(placed_in(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", [F.col("doc_id")]).withColumn("batch", F.expr("place div 10")))
     ids = rows.groupBy("source", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
     reply = F.to_json(F.transform(F.filter("ids", lambda x: x % 7 != 0), lambda x: F.when(x % 2 == 0, "CORRECT").otherwise("SUSPECT")))
     verdicts = ids.select("source", "batch", F.from_json(reply, "array<string>").alias("verdicts"))
-    return rows.join(verdicts, ["source", "batch"]).select("doc_id", F.coalesce(F.get("verdicts", F.col("place") % 10), F.lit("PARSE_MISSING")).alias("verdict"))
+    return rows.join(verdicts, ["source", "batch"]).select("doc_id", F.coalesce(F.get("verdicts", (F.col("place") % 10).cast("int")), F.lit("PARSE_MISSING")).alias("verdict"))
 
 
 @query(f"WITH {D.SENTENCES_SQL}, n AS (SELECT doc_id, sent_id, lower(trim(text)) AS key FROM sentences), k AS (SELECT key, min(doc_id) AS d FROM n WHERE key NOT IN (SELECT lower(trim(text)) FROM benchmark WHERE text IS NOT NULL) AND doc_id % 5 <> 0 GROUP BY key HAVING NOT bool_or(key IN (SELECT key FROM n WHERE doc_id % 5 = 0))) SELECT key, 'new_' || md5(key) AS id, d AS doc_id FROM k")

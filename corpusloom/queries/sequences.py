@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import derived as D
 from ..operators import sequences as Q
 from ..operators import spans as S
+from ..operators.ordering import placed_in
 from ..registry import query, table
 
 K = "doc_id, sent_id"
@@ -90,10 +91,8 @@ def byte_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 16 AS slice FROM documents")
 def ordered_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's documents in order, in slices of a fixed size."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(place / 16).alias("slice"))
+    rows = placed_in(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", [F.col("doc_id")])
+    return rows.select("doc_id", "source", F.expr("place div 16").alias("slice"))
 
 
 # spans with faults: bounds moved, labels unknown, texts changed

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from .walks import distances, reached
 
 KEY = ["doc_id", "sent_id"]
 UNREACHABLE = 99
@@ -16,27 +16,14 @@ KEPT_OF = {"nmod": ("NOUN", "PROPN", "NUM", "ADJ"), "appos": ("PROPN",)}
 LEFT_TRIM, RIGHT_TRIM = ("DET", "ADP", "PUNCT"), ("PUNCT", "ADP")
 
 
-def hops(tokens: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:
-    """(key, source, tok_id, hops): tokens within `most` undirected steps of each source token.
+def hops(tokens: DataFrame, source: Column, most: int = 5) -> DataFrame:
+    """(key, source, tok_id, hops): tokens within `most` undirected steps of each token that `source` holds for."""
+    return distances(tokens, source, most, None)
 
-    One join a step, with the frontier as the moving side; a token keeps its first distance.
-    """
-    edges = tokens.where("head > 0").select(*KEY, F.col("tok_id").alias("x"), F.col("head").alias("y"))
-    edges = edges.union(edges.select(*KEY, "y", "x"))
-    reached = sources.select(*KEY, F.col("tok_id").alias("source"), "tok_id", F.lit(0).alias("hops"))
-    front = reached
-    for step in range(1, most + 1):
-        front = front.join(edges, [*(front[k] == edges[k] for k in KEY), F.col("tok_id") == F.col("x")]).select(*[front[k] for k in KEY], "source", F.col("y").alias("tok_id")).distinct()
-        front = front.withColumn("hops", F.lit(step))
-        reached = reached.union(front)
-        front = front.drop("hops")
-    return reached.groupBy(*KEY, "source", "tok_id").agg(F.min("hops").alias("hops"))
-
-
-def all_hops(tokens: DataFrame, sources: DataFrame, most: int = 5) -> DataFrame:
+
+def all_hops(tokens: DataFrame, source: Column, most: int = 5) -> DataFrame:
     """The same for every token of a source's sentence, UNREACHABLE for those that are further away or not linked."""
-    pairs = sources.select(*KEY, F.col("tok_id").alias("source")).join(tokens.select(*KEY, "tok_id"), KEY)
-    return pairs.join(hops(tokens, sources, most), [*KEY, "source", "tok_id"], "left").withColumn("hops", F.coalesce("hops", F.lit(UNREACHABLE)))
+    return distances(tokens, source, most, UNREACHABLE)
 
 
 def span_heads(tokens: DataFrame, spans: DataFrame) -> DataFrame:
@@ -56,22 +43,21 @@ def trim_bounds(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return inside.groupBy(*KEY, "first", "last").agg(left.alias("trim_first"), right.alias("trim_last")).where("trim_first <= trim_last")
 
 
-def closure(tokens: DataFrame, roots: DataFrame, kept: tuple[str, ...] = KEPT) -> DataFrame:
-    """(key, root, first, last, size): the nominal subtree of each root, through kept relations (or subtypes of them) only.
-
-    Steps go on until no token is new, so chains of any length are followed and cycles end.
-    """
+def kept_below(kept: tuple[str, ...] = KEPT) -> Column:
+    """Whether a nominal span keeps a token: by its relation (or a subtype of it), and for some relations by its part of speech."""
     base = F.substring_index(F.lower("deprel"), ":", 1)
     follow = base.isin(*{k.split(":")[0] for k in kept}, "name")
     for relation, parts in KEPT_OF.items():
         follow = follow | ((base == relation) & F.col("upos").isin(*parts))
-    edges = written(tokens.where(follow).select(*[F.col(k).alias(f"e_{k}") for k in KEY], F.col("tok_id").alias("child"), "head"))
-    reached = front = written(roots.select(*KEY, F.col("tok_id").alias("root"), "tok_id").distinct())
-    while not front.isEmpty():
-        step = front.join(edges, [*(F.col(k) == F.col(f"e_{k}") for k in KEY), F.col("tok_id") == F.col("head")]).select(*KEY, "root", F.col("child").alias("tok_id"))
-        front = written(step.distinct().join(reached, [*KEY, "root", "tok_id"], "left_anti"))
-        reached = reached.union(front)
-    return reached.groupBy(*KEY, "root").agg(F.min("tok_id").alias("first"), F.max("tok_id").alias("last"), F.count("*").alias("size"))
+    return follow
+
+
+def closure(tokens: DataFrame, root: Column, kept: tuple[str, ...] = KEPT) -> DataFrame:
+    """(key, root, first, last, size): the nominal subtree of each token that `root` holds for, through kept relations only.
+
+    Chains of any length are followed, and cycles end.
+    """
+    return reached(tokens, kept_below(kept), root)
 
 
 def _sentences(tokens: DataFrame, *columns: str) -> DataFrame:

@@ -32,7 +32,7 @@ def _ud(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected steps from each sentence's third token, at most three."""
     ud = _ud(spark, sf_dir)
-    return G.hops(ud, ud.where("tok_id = 3"), 3).select(*G.KEY, "tok_id", "hops")
+    return G.hops(ud, F.col("tok_id") == 3, 3).select(*G.KEY, "tok_id", "hops")
 
 
 @query(
@@ -44,7 +44,7 @@ def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trigger_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected steps from each verb to every token of its sentence, at most five, and 99 beyond."""
     ud = _ud(spark, sf_dir)
-    return G.all_hops(ud, ud.where("upos = 'VERB'")).select(*G.KEY, "source", "tok_id", "hops")
+    return G.all_hops(ud, F.col("upos") == "VERB").select(*G.KEY, "source", "tok_id", "hops")
 
 
 @query(
@@ -74,7 +74,7 @@ def boundary_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nominal_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nominal's subtree through kept relations."""
     ud = _ud(spark, sf_dir)
-    return G.closure(ud, ud.where("upos in ('NOUN', 'PROPN')"))
+    return G.closure(ud, F.col("upos").isin("NOUN", "PROPN"))
 
 
 @query(

@@ -120,7 +120,7 @@ def governors_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*G.KEY, "tok_id", "verb", F.when(F.col("verb").isNull(), "dropped").when(F.col("verb") == F.col("gov"), "exact").otherwise("snapped").alias("how"))
 
 
-@query(f"WITH {UD}, f AS (SELECT *, CASE WHEN tok_id % 3 = 0 THEN 'Gender=' || upos || '|Number=' || tok_id % 2 END AS feats FROM ud), s AS (SELECT {K}, tok_id AS first, tok_id + 3 AS last FROM ud), m AS (SELECT s.doc_id, s.sent_id, first, arg_min(feats, tok_id) AS feats FROM s JOIN f ON f.doc_id = s.doc_id AND f.sent_id = s.sent_id AND f.tok_id BETWEEN first AND last AND f.upos IN ('NOUN', 'PROPN') AND feats IS NOT NULL GROUP BY ALL) SELECT s.doc_id, s.sent_id, s.first, regexp_extract(feats, 'Gender=([^|]*)', 1) AS gender, regexp_extract(feats, 'Number=([^|]*)', 1) AS number FROM s JOIN m USING ({K}, first)")
+@query(f"WITH {UD}, f AS (SELECT *, CASE WHEN tok_id % 3 = 0 THEN 'Gender=' || upos || '|Number=' || tok_id % 2 END AS feats FROM ud), g AS MATERIALIZED (SELECT {K}, tok_id, feats, unnest(range(greatest(1, tok_id - 3), tok_id + 1)) AS first FROM f WHERE upos IN ('NOUN', 'PROPN') AND feats IS NOT NULL), m AS (SELECT {K}, first, arg_min(feats, tok_id) AS feats FROM g GROUP BY ALL) SELECT {K}, first, regexp_extract(feats, 'Gender=([^|]*)', 1) AS gender, regexp_extract(feats, 'Number=([^|]*)', 1) AS number FROM m")
 def morphology_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of four tokens with the features of their first noun that has some."""
     ud = _ud(spark, sf_dir)

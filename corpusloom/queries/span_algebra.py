@@ -141,7 +141,7 @@ def char_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cover_tokens(_ent(spark, sf_dir), D.tokens(spark, sf_dir))
 
 
-@query(f'WITH {ONE} SELECT a.doc_id, a.sent_id, a."start", a."end", b.tok, b.word FROM (SELECT *, unnest(range(tok, tok + n)) AS k FROM ent) a JOIN toks b ON {SAME} AND b.tok = a.k')
+@query(f'WITH {ONE}, a AS MATERIALIZED (SELECT doc_id, sent_id, "start" AS s, "end" AS e, unnest(range(tok, tok + n)) AS tok FROM ent) SELECT doc_id, sent_id, s AS "start", e AS "end", tok, word FROM a JOIN (SELECT doc_id, sent_id, tok, word FROM toks) USING (doc_id, sent_id, tok)')
 def words_in_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = S.pairs(_ent(spark, sf_dir).select(*S.KEY, "start", "end"), D.tokens(spark, sf_dir))
     return both.select(*S.KEY, F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("b_tok").alias("tok"), F.col("b_word").alias("word"))

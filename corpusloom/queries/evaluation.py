@@ -76,32 +76,33 @@ def zscore_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH t AS (SELECT label, vec_id % 3 AS ref, unnest(range(0, 8)) AS pos, unnest(embedding[1:8]::DOUBLE[]) AS x FROM embeddings WHERE vec_id % 5 <> 0), m AS (SELECT label, ref, pos, avg(x) AS m FROM t GROUP BY ALL), n AS (SELECT label, ref, sqrt(sum(m * m)) AS n FROM m GROUP BY ALL) SELECT label, ref, pos, round(m / n, 6) AS pooled FROM m JOIN n USING (label, ref)"
+    "WITH t AS (SELECT label, vec_id % 3 AS ref, vec_id % 5 <> 0 AS mask, unnest(range(0, len(embedding))) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT label, ref, pos, sum(x * mask::INT) / sum(mask::INT) AS m FROM t GROUP BY ALL HAVING sum(mask::INT) > 0), n AS (SELECT label, ref, sqrt(sum(m * m)) AS n FROM m GROUP BY ALL) SELECT label, ref, pos, round(m / n, 6) AS pooled FROM m JOIN n USING (label, ref)"
 )
 def masked_mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the token vectors that a mask allows, at length 1."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id % 5 <> 0").select("label", (F.col("vec_id") % 3).alias("ref"), F.posexplode(V.doubles(F.slice("embedding", 1, 8))).alias("pos", "x"))
-    means = rows.groupBy("label", "ref", "pos").agg(F.avg("x").alias("m"))
+    mask = (F.col("vec_id") % 5 != 0).cast("int").alias("mask")
+    rows = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3).alias("ref"), mask, F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))
+    means = rows.groupBy("label", "ref", "pos").agg((F.sum(F.col("x") * F.col("mask")) / F.nullif(F.sum("mask"), F.lit(0))).alias("m")).where("m IS NOT NULL")
     vectors = means.groupBy("label", "ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("v"))
     return vectors.select("label", "ref", F.posexplode(V.unit(F.col("v"))).alias("pos", "u")).select("label", "ref", "pos", F.round("u", 6).alias("pooled"))
 
 
 @query(
-    "WITH t AS (SELECT label, vec_id % 4 AS ref, unnest(range(0, 6)) AS pos, unnest(embedding[1:6]::DOUBLE[]) AS x FROM embeddings), m AS (SELECT label, ref, pos, avg(x) AS m FROM t GROUP BY ALL) SELECT label, ref, arg_max(pos, (round(m, 9), -pos)) AS best FROM m GROUP BY ALL"
+    "WITH t AS (SELECT label, vec_id % 4 AS ref, unnest(range(0, len(embedding))) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT label, ref, pos, avg(x) AS m FROM t GROUP BY ALL) SELECT label, ref, arg_max(pos, (round(m, 9), -pos)) AS best FROM m GROUP BY ALL"
 )
 def averaged_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logits averaged over repeats of a candidate, then the best class."""
-    rows = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 4).alias("ref"), F.posexplode(V.doubles(F.slice("embedding", 1, 6))).alias("pos", "x"))
+    rows = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 4).alias("ref"), F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))
     means = rows.groupBy("label", "ref", "pos").agg(F.avg("x").alias("m"))
     return means.groupBy("label", "ref").agg(F.max_by("pos", F.struct(F.round("m", 9), -F.col("pos"))).alias("best"))
 
 
 @query(
-    "WITH t AS (SELECT vec_id, unnest(range(0, 12)) AS pos, unnest(embedding[1:12]::DOUBLE[]) AS x FROM embeddings) SELECT vec_id, pos % 5 AS family, round(max(x) + ln(sum(exp(x - m))), 6) AS lse FROM (SELECT *, max(x) OVER (PARTITION BY vec_id, pos % 5) AS m FROM t) GROUP BY vec_id, pos % 5"
+    "WITH t AS (SELECT vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) SELECT vec_id, pos % 5 AS family, round(max(x) + ln(sum(exp(x - m))), 6) AS lse FROM (SELECT *, max(x) OVER (PARTITION BY vec_id, pos % 5) AS m FROM t) GROUP BY vec_id, pos % 5"
 )
 def group_log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role logits summed up to coarse roles."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.doubles(F.slice("embedding", 1, 12))).alias("pos", "x"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))
     grouped = rows.groupBy("vec_id", (F.col("pos") % 5).alias("family")).agg(F.collect_list("x").alias("v"))
     return grouped.select("vec_id", "family", F.round(V.log_sum_exp(F.col("v")), 6).alias("lse"))
 

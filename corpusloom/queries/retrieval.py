@@ -98,7 +98,7 @@ def vector_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", F.round(V.norm(V.subtract(F.col("x"), F.col("y"))), 6).alias("gap"), F.round(V.add(F.col("x"), F.col("y"))[0], 6).alias("sum0"))
 
 
-LOGITS = "list_transform(embedding[1:10]::DOUBLE[], lambda x: x)"
+LOGITS = "embedding::DOUBLE[]"
 
 
 @query(
@@ -108,31 +108,31 @@ LOGITS = "list_transform(embedding[1:10]::DOUBLE[], lambda x: x)"
 )
 def softmax_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax, argmax, log-sum-exp and sigmoid of rows of logits."""
-    v = V.doubles(F.slice("embedding", 1, 10))
+    v = V.doubles(F.col("embedding"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).withColumn("p", V.softmax(F.col("v")))
     return rows.select("vec_id", F.round(F.col("p")[0], 6).alias("p0"), V.argmax(F.col("v")).alias("best"), F.round(F.array_max("p"), 6).alias("p_best"), F.round(V.log_sum_exp(F.col("v")), 6).alias("lse"), F.round(V.sigmoid(F.col("v")[1]), 6).alias("gate"))
 
 
 @query(
-    f"""WITH l AS (SELECT vec_id, label, {LOGITS} AS v FROM embeddings), m AS (SELECT vec_id, label, list_transform(range(1, 11), lambda i: CASE WHEN (i - 1) % 3 = label % 3 THEN v[i] ELSE v[i] - 1e9 END) AS v FROM l),
+    f"""WITH l AS (SELECT vec_id, label, {LOGITS} AS v FROM embeddings), m AS (SELECT vec_id, label, list_transform(range(1, len(v) + 1), lambda i: CASE WHEN (i - 1) % 3 = label % 3 THEN v[i] ELSE v[i] - 1e9 END) AS v FROM l),
     e AS (SELECT vec_id, v, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM m) SELECT vec_id, list_position(v, list_max(v)) - 1 AS best, round(list_max(e) / list_sum(e), 6) AS p_best FROM e"""
 )
 def masked_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax inside the family of labels that the row's coarse label allows."""
-    mask = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i % 3 == F.col("label") % 3)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.doubles(F.slice("embedding", 1, 10)).alias("v"), mask.alias("m"))
+    mask = F.transform("embedding", lambda _, i: i % 3 == F.col("label") % 3)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v"), mask.alias("m"))
     p = V.masked_softmax(F.col("v"), F.col("m"))
     return rows.select("vec_id", p.alias("p")).select("vec_id", V.argmax(F.col("p")).alias("best"), F.round(F.array_max("p"), 6).alias("p_best"))
 
 
 @query(
-    f"""WITH l AS (SELECT vec_id, {LOGITS} AS v FROM embeddings), e AS (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM l),
-    p AS (SELECT vec_id, unnest(range(0, 10)) AS label, unnest(list_transform(e, lambda x: x / list_sum(e))) AS p FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, label) AS k FROM p)
+    f"""WITH l AS (SELECT vec_id, {LOGITS} AS v FROM embeddings), e AS (SELECT vec_id, list_transform(v, lambda x: exp(16 * (x - list_max(v)))) AS e FROM l),
+    p AS (SELECT vec_id, unnest(range(0, len(e))) AS label, unnest(list_transform(e, lambda x: x / list_sum(e))) AS p FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, label) AS k FROM p)
     SELECT vec_id, label, k, round(p, 6) AS p FROM r WHERE k <= 5 AND p > 0.1"""
 )
 def class_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most five labels of a row, each over a floor."""
-    p = V.softmax(V.doubles(F.slice("embedding", 1, 10)))
+    p = V.softmax(V.doubles(F.transform("embedding", lambda x: x * 16)))
     pairs = F.transform(p, lambda x, i: F.struct((-x).alias("minus"), i.alias("label"), x.alias("p")))
     best = F.slice(F.array_sort(pairs), 1, 5)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(best).alias("k", "b"))

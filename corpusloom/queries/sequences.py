@@ -49,18 +49,15 @@ def labels_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(*S.KEY, Q.constrained_labels(F.transform("t", lambda x: x["r"]), BIO).alias("labels"))
 
 
-_CTX = """CASE WHEN len(w) <= 20 AND length(array_to_string(w, ' ')) <= 220 THEN m ELSE m[greatest(tok - 6, 0) + 1:tok + 7] END"""
-
-
 @query(
-    f"""WITH {D.SENTENCES_SQL}, {D.TOKENS_SQL}, s AS (SELECT {K}, list(word ORDER BY tok) AS w FROM toks GROUP BY {K}), m AS (SELECT t.doc_id, t.sent_id, tok, w, list_transform(w, lambda x, i: CASE WHEN i = tok + 1 THEN '[ENT] ' || x || ' [/ENT]' ELSE x END) AS m FROM toks t JOIN s USING ({K}) WHERE tok % 3 = 0)
-    SELECT {K}, tok, left(array_to_string({_CTX}, ' '), 384) AS context FROM m"""
+    f"""WITH {D.SENTENCES_SQL}, {D.TOKENS_SQL}, s AS (SELECT {K}, list(word ORDER BY tok) AS w FROM toks GROUP BY {K}), m AS (SELECT t.doc_id, t.sent_id, tok, CASE WHEN len(w) <= 20 AND length(array_to_string(w, ' ')) <= 220 THEN w ELSE w[greatest(tok - 6, 0) + 1:tok + 7] END AS w, CASE WHEN len(w) <= 20 AND length(array_to_string(w, ' ')) <= 220 THEN tok ELSE least(tok, 6) END AS place FROM toks t JOIN s USING ({K}))
+    SELECT {K}, tok, left(array_to_string(list_transform(w, lambda x, i: CASE WHEN i = place + 1 THEN '[ENT] ' || x || ' [/ENT]' ELSE x END), ' '), 384) AS context FROM m"""
 )
 def token_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context window of every third token, the candidates here."""
+    """The context window of every token."""
     toks = D.tokens(spark, sf_dir)
     lists = toks.groupBy(*S.KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("tok", "word"))), lambda x: x["word"]).alias("words"))
-    return toks.where("tok % 3 = 0").select(*S.KEY, "tok").join(lists, S.KEY).select(*S.KEY, "tok", Q.token_context(F.col("words"), F.col("tok")).alias("context"))
+    return toks.select(*S.KEY, "tok").join(lists, S.KEY).select(*S.KEY, "tok", Q.token_context(F.col("words"), F.col("tok")).alias("context"))
 
 
 @query(

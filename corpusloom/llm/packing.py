@@ -28,7 +28,7 @@ from .words import slices
 #: Pieces of a block, islands of a block, epochs, solutions of an island, and generations of an epoch.
 BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 4, 3, 6, 12
 #: Bytes each half of a worker's cache of words holds, about. When the new half is full it becomes the old one, whose words come back when they are met.
-CACHE = 150_000_000
+CACHE = 200_000_000
 #: Words that are encoded as one text.
 TOGETHER = 200
 #: Signs that the tokenizer parts from letters and numbers beside them, and letters and digits of one byte.
@@ -131,7 +131,7 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     cache.update(met)
     new = unseen.difference(met)
     if new:
-        cuts = {w: _cut(tokenizer, w, known) for w in new}
+        cuts = {w: (w,) if w.isalnum() else _cut(tokenizer, w, known) for w in new}  # isalnum: ASCII letters and digits only
         parts = set().union(*cuts.values()).difference(cache)
         ordered = sorted(parts.difference(old))
         cache.update({w: old[w] for w in parts if w in old})

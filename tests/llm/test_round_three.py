@@ -295,3 +295,47 @@ def test_pipeline_leaves_a_tables_own_columns(spark):
         rows = rows_of(got)
         assert {r["doc_id"] for r in rows} == plain and plain, name
         assert all(r[c] == f"own {r['doc_id']}" for r in rows for c in names), name
+
+
+def test_windows_that_items_share_are_one_pattern():
+    """Windows of the same words once, with all their items; suffixes that many patterns share; finds of all items by a plain search."""
+    import random
+
+    import pyarrow as pa
+
+    from corpusloom.llm import wumanber as W
+    from corpusloom.llm.words import cut
+
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(14))
+    items = [" ".join([*(f"w{rng.randrange(30)}" for _ in range(rng.randrange(3, 20))), common if k % 3 else "", f"e{k % 4} tail of five words"]) for k in range(60)] + [common] * 5 + ["", "one"]
+    tables = W.build(list(range(len(items))), items, 10)
+    assert sum(len(g.first) for g in tables.groups) < sum(max(1, len(t.split()) - 9) for t in items if t)
+    texts = [" ".join(rng.choices([*items, "x y z", *common.split()], k=6)) for _ in range(40)] + [common, "", "one", f"a {common[:-4]}"]
+    words = cut(pa.array(texts), True, True)
+    first, length, doc, item = W.search(words, tables)
+    windows = {k: [tuple(t.split()[i : i + 10]) for i in range(max(1, len(t.split()) - 9))] for k, t in enumerate(items) if t}
+    wanted, hits = set(), set()
+    for d, text in enumerate(texts):
+        w = text.split()
+        for k, ws in windows.items():
+            for x in set(ws):
+                for i in range(len(w) - len(x) + 1):
+                    if tuple(w[i : i + len(x)]) == x:
+                        wanted.add((d, k))
+                        hits |= {(d, j) for j in range(i, i + len(x))}
+    assert set(zip(doc.tolist(), item.tolist(), strict=True)) == wanted and len(doc) == len(wanted)
+    assert {(int(words.doc[f]), int(f - words.offsets[words.doc[f]]) + j) for f, n in zip(first, length, strict=True) for j in range(n)} == hits
+
+
+def test_passes_add_up(spark, monkeypatch):
+    """Many passes over rows of one id, null ids and repeated rows give what one pass gives, and leave clashing names alone."""
+    from corpusloom.llm import wumanber as W
+
+    bench = spark.createDataFrame([(i, f"{'a b c d e f g h i j'[: 2 * i + 1]} k{i % 3}") for i in range(9)] + [(9, "k1 l m"), (9, "x y")], "item_id long, text string")
+    rows = [(1, "a b c d e f g h i j k1 l m"), (1, "x y z"), (1, "x y z"), (None, "a k0 b"), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'own' AS row", "'own' AS key", "1 AS N_WORDS")
+    read = lambda: Counter((r["doc_id"], r["text"], r["row"], r["key"], r["n_words"], tuple(r["hit_words"]), tuple(r["item_ids"])) for r in rows_of(W.find_benchmark(docs, bench)))
+    whole = read()
+    monkeypatch.setattr(W, "PASS_WORDS", 1)
+    assert read() == whole and sum(whole.values()) == len(rows) and any(k[5] for k in whole)

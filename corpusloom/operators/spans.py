@@ -61,16 +61,25 @@ def contains(a: Column, b: Column) -> Column:
 Clash = Callable[[Column, Column], Column]
 
 
+def islands(spans: DataFrame, group: list[str]) -> DataFrame:
+    """spans with island: a number that overlapping spans of a group share, through others too. What meets in a fold is in one island."""
+    w = Window.partitionBy(*group).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")
+    return spans.withColumn("__new", begins).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
 def greedy(spans: DataFrame, order: list[tuple[str, bool]], clash: Clash, group: list[str] | None = None) -> DataFrame:
     """Spans kept by going through each sentence's in order (column, descending) and dropping those that clash with a kept one.
 
-    The fold is one expression over a sentence's sorted spans.
+    Only spans that overlap may clash, so the fold, one expression over sorted spans, goes over an island of overlapping
+    spans at a time; a long sentence is many small folds.
     """
     group = group or KEY
     rest = [c for c in spans.columns if c not in group]
     keys = [(-F.col(c) if down else F.col(c)).alias(f"__o{i}") for i, (c, down) in enumerate(order)]
     packed = F.array_sort(F.collect_list(F.struct(*keys, F.struct(*rest).alias("s"))))
-    listed = spans.groupBy(*group).agg(packed.alias("all"))
+    listed = islands(spans, group).groupBy(*group, "island").agg(packed.alias("all"))
     kept = F.aggregate(
         F.transform("all", lambda x: x["s"]),
         F.transform(F.filter("all", lambda x: F.lit(False)), lambda x: x["s"]),
@@ -83,7 +92,7 @@ def compound_children(spans: DataFrame) -> DataFrame:
     """Compound suppression, longest first: a span inside a kept one is its child if their fine labels differ, else dropped; one that overlaps by half is dropped. Adds parent: start of the containing span, or null."""
     rest = [c for c in spans.columns if c not in KEY]
     packed = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("o0"), (-F.col("score")).alias("o1"), F.col("start").alias("o2"), F.struct(*rest, F.lit(None).cast("long").alias("parent")).alias("s"))))
-    listed = spans.groupBy(*KEY).agg(packed.alias("all"))
+    listed = islands(spans, KEY).groupBy(*KEY, "island").agg(packed.alias("all"))
 
     def step(acc: Column, c: Column) -> Column:
         parents = F.filter(acc, lambda k: k["parent"].isNull())

@@ -22,7 +22,7 @@ def _ent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replace_fold(spans: DataFrame, delta: float) -> DataFrame:
     """Spans by start; one that overlaps the last kept one of its type takes its place if surer by more than `delta`, or else, unless less sure by as much, if longer."""
-    listed = spans.groupBy(*S.KEY, "coarse").agg(F.array_sort(F.collect_list(F.struct("start", "end", "score"))).alias("s"))
+    listed = S.islands(spans, [*S.KEY, "coarse"]).groupBy(*S.KEY, "coarse", "island").agg(F.array_sort(F.collect_list(F.struct("start", "end", "score"))).alias("s"))
     none = F.filter("s", lambda x: F.lit(False))
 
     def step(acc: Column, c: Column) -> Column:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
+
+from ..operators.ordering import placed_in
+from ..storage import written
 
 Schema = StructType | str
 
@@ -18,9 +21,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: Schema, errors: str = "fa
 
 
 def read_jsonl_reported(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
-    """All lines that aren't blank, as file, line (from 1, in its file), row (null if malformed) and raw (the malformed text)."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where(F.trim("value") != "")
+    """All lines that aren't blank, as file, line (from 1, in its file), row (null if malformed) and raw (the malformed text).
+
+    Lines are numbered by ranges of their places, so a large file is many tasks' work.
+    """
+    lines = written(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"))
+    numbered = placed_in(lines, "file", [F.col("block"), F.col("at")]).withColumn("line", F.col("place") + 1).where(F.trim("value") != "")
     plain = schema if isinstance(schema, str) else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     parsed = F.from_json("value", f"{plain}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
@@ -28,21 +34,28 @@ def read_jsonl_reported(spark: SparkSession, path: str, schema: Schema) -> DataF
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
-    """Rows of files that hold either one JSON array or JSON lines, told apart by the first sign of each file."""
-    files = spark.read.text(path, wholetext=True)
-    array = F.trim("value").startswith("[")
+    """Rows of files that hold either one JSON array or JSON lines, told apart by the first sign of each file.
+
+    Lines are read as lines, so a large file is split; an array is parsed as a stream of its items. A malformed line is a
+    row of nulls.
+    """
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, kind))
-    texts = F.when(array, F.from_json("value", ArrayType(kind))).otherwise(lines)
-    return files.select(F.explode(texts).alias("row")).select("row.*")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("value")).where("value <> ''")
+    arrays = written(lines.groupBy("file").agg(F.min_by(F.substring("value", 1, 1), F.struct("block", "at")).alias("sign")).where("sign = '['").select("file"))  # names of files only
+    rows = lines.join(arrays, "file", "left_anti").select(F.from_json("value", kind).alias("row")).select("row.*")
+    items = spark.read.schema(kind).option("multiLine", "true").json(path).withColumn("file", F.col("_metadata.file_path"))
+    return rows.unionByName(items.join(arrays, "file", "left_semi").drop("file"))
 
 
 def read_decoded(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """(file, line) of text files that are UTF-8 or, where they aren't valid, ISO-8859-1."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    utf8 = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "ISO-8859-1"))
-    return files.select(F.col("path").alias("file"), F.explode(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).alias("line"))
+    """(file, line) of text files that are UTF-8 or, where any line of theirs isn't valid, ISO-8859-1; blank lines go.
+
+    Lines come as their bytes, and a file's encoding is told by all of them, so files of any size are split between tasks.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    valid = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    text = F.when(F.col("valid"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return lines.join(valid, "file").select("file", text.alias("line")).where(F.trim("line") != "")
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:

@@ -131,10 +131,15 @@ def rarity(df: DataFrame, id_col: str, labels: str, unknown: float = 100.0) -> D
 
 
 def first_contexts(df: DataFrame, keys: list[str], order: list[Column], text: Column, n: int = 2) -> DataFrame:
-    """Counts of each key with its first n context snippets."""
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("__t", text)
-    kept = F.collect_list(F.when(F.col("__r") <= n, F.struct("__r", "__t")))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(kept), lambda s: s["__t"]), " / ").alias("contexts"))
+    """Counts of each key with its first n context snippets.
+
+    Counts and first rows are found apart: of a frequent key each task sends one count and n rows.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    ranked = df.withColumn("__t", text).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n)
+    firsts = ranked.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__t"))), lambda s: s["__t"]), " / ").alias("contexts"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return counts.join(firsts, same).select(*keys, "n", "contexts")
 
 
 def quota_fill(df: DataFrame, labels: str, key: str, most: int) -> DataFrame:

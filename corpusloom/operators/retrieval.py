@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from . import ann as A
 
 
 def chunk(documents: DataFrame, keep: str = "doc_id") -> DataFrame:
@@ -49,56 +47,21 @@ def top_k(vectors: DataFrame, query: list[float] | None, k: int, id_col: str, ve
     return rows.select(id_col, V.cosine(F.col(vector_col), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-#: Query vectors compared at once; each block is broadcast, whatever their number.
-QUERY_BLOCK = 4096
-
-
-def _block_best(ids: np.ndarray, matrix: np.ndarray, k: int):
-    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = np.array(batch.column("vector").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            own = batch.column("id").to_numpy(zero_copy_only=False)
-            if not len(own):
-                continue
-            scores = np.round((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ unit.T, 9)
-            rows = []
-            for q in range(len(ids)):
-                best = np.lexsort((own, -scores[:, q]))[:k] if len(own) <= 4 * k else _few_best(own, scores[:, q], k)
-                rows += [(int(ids[q]), int(own[i]), float(scores[i, q])) for i in best]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows]) for j in range(3)], ["query_id", "id", "score"])
-
-    return run
-
-
-def _few_best(own: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """The k best rows by score, then id; all that tie with the last are looked at."""
-    floor = np.partition(score, len(score) - k)[len(score) - k]
-    at = np.flatnonzero(score >= floor)
-    return at[np.lexsort((own[at], -score[at]))[:k]]
-
-
 def top_k_batched(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id_col: str, vector_col: str) -> DataFrame:
     """The k nearest rows (by cosine, to nine places) of each query row: (query id, id, score, rank).
 
-    Queries are compared in blocks of a fixed size against all vectors. Each batch of vectors gives its own k best of a
-    query, so what is shuffled is k rows a query and batch, not all pairs.
+    Both sides are dealt in blocks of a fixed size; each pair of blocks is one group, which keeps its k best of a query.
+    So no task holds more than two blocks, nothing passes the driver but two counts, and what is ranked is k rows a query
+    and block. Rows without a vector are left out.
     """
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    found, block = None, []
-
-    def against(block: list) -> DataFrame:
-        ids, matrix = np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)
-        return rows.mapInArrow(_block_best(ids, matrix, k), "query_id long, id long, score double")
-
-    for r in queries.where(F.col(vector_col).isNotNull()).select(query_id, vector_col).toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            found, block = (against(block) if found is None else found.union(against(block))), []
-    if block or found is None:
-        last = against(block) if block else queries.sparkSession.createDataFrame([], "query_id long, id long, score double")
-        found = last if found is None else found.union(last)
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    row_blocks, query_blocks = max(1, -(-rows.count() // A.ROW_BLOCK)), max(1, -(-asked.count() // A.QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("row_block"), every(query_blocks).alias("query_block"))
+    right = asked.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("query_block"), every(row_blocks).alias("row_block"))
+    keys = ["row_block", "query_block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(A.compared(None, None, k, True), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "score", "rank")

@@ -136,7 +136,7 @@ WORDS = ("tion", "que", "ment")
 
 
 @query(
-    r"""WITH f AS (SELECT doc_id, translate(lower(text), 'àâäáãåçéèêëîïíìñôöóòõùûüúÿ', 'aaaaaaceeeeiiiinooooouuuuy') AS t FROM documents), h AS (SELECT doc_id, t, unnest(['tion', 'que', 'ment']) AS word FROM f), n AS (SELECT *, instr(t, word) AS place FROM h WHERE contains(t, word)), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, t) AS r FROM n)
+    r"""WITH f AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents), h AS (SELECT doc_id, t, unnest(['tion', 'que', 'ment']) AS word FROM f), n AS (SELECT *, instr(t, word) AS place FROM h WHERE contains(t, word)), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, t) AS r FROM n)
     SELECT word, count(*) AS n, list(substr(t, greatest(place - 35, 1), least(place - 1, 35) + length(word) + 35) ORDER BY doc_id, t) FILTER (r <= 2) AS contexts FROM r GROUP BY word"""
 )
 def keyword_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,21 +73,26 @@ def html_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"))
 
 
-@query(f"SELECT doc_id, translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}') AS folded FROM documents")
+#: Letters with marks of their own, and others that only decomposing finds.
+COMPOSED = "é ǟ Ệ ć ő"
+
+
+@query(f"SELECT doc_id, lower(strip_accents(text || '{COMPOSED}')) AS folded FROM documents")
 def accents_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", T.fold_accents(F.col("text")).alias("folded"))
+    """Texts without accents, on whatever letters."""
+    return _documents(spark, sf_dir).select("doc_id", T.fold_accents(F.concat("text", F.lit(COMPOSED))).alias("folded"))
 
 
-@query("SELECT doc_id, translate(text || '–x’', '‐‑‒–—−  ’‘“”', '------  ''''\"\"') AS plain FROM documents")
+@query(f"""SELECT doc_id, translate(nfc_normalize(text || '–x’{COMPOSED}'), '‐‑‒–—−' || chr(160) || chr(8239) || '’‘“”', '------  ' || chr(39) || chr(39) || '""') AS plain FROM documents""")
 def signs_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dashes, hard spaces and curly quotes as plain ones."""
-    return _documents(spark, sf_dir).select("doc_id", T.unify_signs(F.concat("text", F.lit("–x’"))).alias("plain"))
+    """Composed texts with dashes, hard spaces and curly quotes as plain ones."""
+    return _documents(spark, sf_dir).select("doc_id", T.unify_signs(F.concat("text", F.lit(f"–x’{COMPOSED}"))).alias("plain"))
 
 
-@query(rf"""SELECT doc_id, {TRIM(r"regexp_replace(regexp_replace(regexp_replace(translate('<b>' || text || '</b> [ORG] l’été', '’‘`´', ''''''''''), '<[^>]+>', ' ', 'g'), '\[[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g')")} AS plain FROM documents""")
+@query(rf"""SELECT doc_id, {TRIM(r"regexp_replace(regexp_replace(regexp_replace(translate('<b>' || text || '</b> [ORG] l’été fin 1 A 1' || chr(8260) || '2', '’‘`´', ''''''''''), '<[^>]+>', ' ', 'g'), '\[[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g')")} AS plain FROM documents""")
 def signs_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated text without tags and bracketed labels."""
-    return _documents(spark, sf_dir).select("doc_id", T.clean_signs(F.concat(F.lit("<b>"), "text", F.lit("</b> [ORG] l’été"))).alias("plain"))
+    """Annotated text in compatible forms, without tags and bracketed labels."""
+    return _documents(spark, sf_dir).select("doc_id", T.clean_signs(F.concat(F.lit("<b>"), "text", F.lit("</b> [ORG] l’été ﬁn ① Ａ ½"))).alias("plain"))
 
 
 LEAD = "|".join(T.LEADING_WORDS)

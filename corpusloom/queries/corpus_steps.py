@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import derived as D
 from ..functions import text as T
+from ..operators import metrics as M
 from ..operators import spans as S
 from ..plans.runner import tokens_chunker
 from ..registry import query, table
@@ -200,3 +201,23 @@ def float_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", unpack(pack("embedding")).alias("v"))
     return rows.select("vec_id", F.get("v", F.lit(0)).cast("double").alias("first"), F.size("v").cast("long").alias("size"))
+
+
+SEARCH = (0.2, 0.4, 0.6, 0.8)
+_MACRO = lambda name, truth, guess, where, n: f"""{name} AS (SELECT a, b, c, sum(2.0 * tp / al) / {n or "count(*)"} AS f1 FROM (SELECT a, b, c, label, sum(CASE WHEN own AND hit THEN 1 ELSE 0 END) AS tp, count(*) AS al FROM (SELECT a, b, c, unnest([{truth}, {guess}]) AS label, unnest([true, false]) AS own, coalesce({truth} = {guess}, false) AS hit FROM judged WHERE {where}) WHERE label IS NOT NULL GROUP BY a, b, c, label) GROUP BY a, b, c)"""
+
+
+@query(
+    f"""WITH {ONE}, r AS (SELECT ((tok * 13 + doc_id) % 100) / 100.0::DOUBLE AS p_ent, ((tok * 29 + n * 7 + doc_id) % 100) / 100.0::DOUBLE AS p_none, score AS p_top, CASE WHEN (doc_id + tok) % 3 = 0 THEN 1 ELSE 0 END AS b_true, CASE WHEN (doc_id + tok) % 3 = 0 THEN coarse ELSE 'NONE' END AS c_true, CASE WHEN (tok + n) % 4 = 0 THEN 'PER' ELSE coarse END AS c_top, fine AS f_true, CASE WHEN (tok * 3 + n) % 5 = 0 THEN 'PER_0' ELSE fine END AS f_top FROM ent),
+    g AS (SELECT unnest(range(0, 4)) AS i, unnest([0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS t), judged AS (SELECT x.i AS a, y.i AS b, z.i AS c, b_true, c_true, f_true, CASE WHEN p_ent >= x.t THEN 1 ELSE 0 END AS b_pred, CASE WHEN p_ent >= x.t AND p_none < y.t AND p_top >= z.t THEN c_top ELSE 'NONE' END AS c_pred, CASE WHEN p_ent >= x.t AND p_none < y.t AND p_top >= z.t THEN f_top END AS f_pred FROM r, g x, g y, g z),
+    {_MACRO("mb", "b_true", "b_pred", "true", None)}, {_MACRO("mc", "c_true", "c_pred", "true", 6)}, {_MACRO("mf", "f_true", "f_pred", "b_true = 1", 10)},
+    s AS (SELECT a, b, c, mb.f1 AS boundary_f1, mc.f1 AS coarse_f1, coalesce(mf.f1, 0) AS fine_f1, round((mb.f1 + mc.f1 + coalesce(mf.f1, 0)) / 3, 9) AS score FROM mb JOIN mc USING (a, b, c) LEFT JOIN mf USING (a, b, c) ORDER BY score DESC, a, b, c LIMIT 10)
+    SELECT x.t AS tau_boundary, y.t AS tau_none, z.t AS tau_coarse, round(boundary_f1, 9) AS boundary_f1, round(coarse_f1, 9) AS coarse_f1, round(fine_f1, 9) AS fine_f1, score FROM s JOIN g x ON x.i = a JOIN g y ON y.i = b JOIN g z ON z.i = c"""
+)
+def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of a grid of three thresholds, by the mean of three macro F1: a report."""
+    rows = _ent(spark, sf_dir).select(
+        F.expr("((tok * 13 + doc_id) % 100) / 100.0D").alias("p_ent"), F.expr("((tok * 29 + n * 7 + doc_id) % 100) / 100.0D").alias("p_none"), F.col("score").alias("p_top"), F.expr("int((doc_id + tok) % 3 = 0)").alias("b_true"),
+        F.expr("CASE WHEN (doc_id + tok) % 3 = 0 THEN coarse ELSE 'NONE' END").alias("c_true"), F.expr("CASE WHEN (tok + n) % 4 = 0 THEN 'PER' ELSE coarse END").alias("c_top"), F.col("fine").alias("f_true"), F.expr("CASE WHEN (tok * 3 + n) % 5 = 0 THEN 'PER_0' ELSE fine END").alias("f_top"),
+    )
+    return M.threshold_search(rows, SEARCH, 6, 10, 10)

@@ -339,3 +339,78 @@ def test_passes_add_up(spark, monkeypatch):
     whole = read()
     monkeypatch.setattr(W, "PASS_WORDS", 1)
     assert read() == whole and sum(whole.values()) == len(rows) and any(k[5] for k in whole)
+
+
+def plain_ngrams(text):
+    """Counts by slot of a text's 1- to 3-grams, in a dictionary."""
+    from corpusloom.llm.language import FEATURES
+
+    signs, kept = [c if c.isalpha() else " " for c in text.lower()], []
+    for i, c in enumerate(signs):
+        if c != " " or (i and signs[i - 1] != " "):
+            kept.append(c)
+    chars = [ord(c) for c in [" ", *kept, " "]]
+    out: Counter = Counter()
+    for a, b, c in zip(chars, chars[1:], chars[2:], strict=False):
+        uni = b * 0x9E3779B97F4A7C15
+        bi = uni + (c + 1) * 0xC2B2AE3D27D4EB4F
+        for x in (uni, bi, bi + (a + 1) * 0x165667B19E3779F9):
+            x %= 1 << 64
+            x ^= x >> 29
+            out[(x * 0xBF58476D1CE4E5B9) % (1 << 64) >> 50] += 1
+    assert all(k < FEATURES for k in out)
+    return out
+
+
+def test_languages_by_dictionaries(spark):
+    """Document frequencies and predictions of the fitted model, against dictionaries of n-grams and plain sums."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.language import fit, identify
+    from corpusloom.llm.shared import held_out
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(9001, "Ünïcode, 日本語 😀!", "xx"), (9002, "...", "xx"), (9003, None, "xx"), (9004, "a", None)], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").union(odd)
+    model = fit(rows, ~held_out(F.col("doc_id")))
+    every = rows.collect()
+    grams = {r.doc_id: plain_ngrams(r.text) if r.text and any(c.isalpha() for c in r.text) else None for r in every}
+    learned = [r for r in every if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.text is not None and r.lang is not None and grams[r.doc_id]]
+    df = Counter(k for r in learned for k in grams[r.doc_id])
+    assert model.classes == sorted({r.lang for r in every if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.text is not None and r.lang is not None})
+    for k in (*list(df)[:50], next(i for i in range(len(model.idf)) if i not in df)):
+        assert abs(model.idf[k] - (math.log((1 + len(learned)) / (1 + df[k])) + 1)) < 1e-12
+    for r in rows_of(identify(rows, model)):
+        counts = grams[r["doc_id"]]
+        if not counts:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        x = {k: (1 + math.log(n)) * model.idf[k] for k, n in counts.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        logits = [(sum(v / size * model.weights[k][c] for k, v in x.items()) + model.bias[c]) / model.temperature for c in range(len(model.classes))]
+        p = [math.exp(z - max(logits)) for z in logits]
+        best = max(range(len(p)), key=lambda c: p[c])
+        assert r["lang_pred"] == model.classes[best] and abs(r["score"] - p[best] / sum(p)) < 1e-9
+
+
+def test_both_decoders_agree():
+    """The reader of own files and the scan-by-scan decoder give the same pixels; the feature by plain sums over them."""
+    import random
+
+    from corpusloom.llm import jpeg
+    from corpusloom.llm.media import describe
+
+    rng = random.Random(4)
+    payloads = [bytes(64), bytes(range(256)) * 2, *(rng.randbytes(64 * rng.randrange(1, 80)) for _ in range(6)), ("prose " * 400).encode()[:2368]]
+    files = jpeg.write(payloads)
+    own, images = jpeg.read(files)
+    assert own == payloads
+    for data, image in zip(files, images, strict=True):
+        general = jpeg.pixels(jpeg.coefficients(data))
+        assert general.shape == image.shape and (general == image).all()
+        h, w, _ = image.shape
+        px = image.tolist()
+        means = [sum(px[y][x][c] for y in range(h) for x in range(w)) * 1000 // (h * w) for c in range(3)]
+        down = sum(abs(px[y + 1][x][1] - px[y][x][1]) for y in range(h - 1) for x in range(w)) * 1000 // (h * w)
+        across = sum(abs(px[y][x + 1][1] - px[y][x][1]) for y in range(h) for x in range(w - 1)) * 1000 // (h * w)
+        assert describe(image) == ";".join(map(str, (h, w, *means, down, across)))

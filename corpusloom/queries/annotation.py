@@ -96,15 +96,18 @@ _EXT = ", ".join(f"'{x}'" for x in EXTENSIBLE)
     rf"""WITH RECURSIVE {D.with_spans(("ent", 1, 40), most=1)}, l AS (SELECT {K}, list({{'start': "start", 'end': "end", 'label': {_HINT}}}::{_SPAN} ORDER BY "start") AS s FROM ent GROUP BY {K}),
     st(doc_id, sent_id, pass, s, line) AS (SELECT l.doc_id, l.sent_id, 0, s, regexp_replace(text, '\s+', ' ', 'g') FROM l JOIN sentences USING ({K}) UNION ALL
       SELECT {K}, pass + 1, CASE WHEN c IS NULL THEN s ELSE list_transform(s, lambda x, k: CASE WHEN k = c.i THEN {{'start': c.low, 'end': c.high, 'label': x.label}}::{_SPAN} ELSE x END) END, line FROM (
-        SELECT *, list_filter(flatten(list_transform(range(1, len(s) + 1), lambda i: list_transform(range(1, len(s) + 1), lambda j: CASE WHEN i <> j AND s[i].label IN ({_EXT}) AND s[j].label = '{NORP}' AND NOT (s[i]."start" <= s[j]."start" AND s[i]."end" >= s[j]."end")
+        SELECT *, list_filter(flatten(list_transform(range(1, len(s) + 1), lambda i: list_transform(range(greatest(1, i - 11), least(len(s), i + 11) + 1), lambda j: CASE WHEN i <> j AND s[i].label IN ({_EXT}) AND s[j].label = '{NORP}' AND NOT (s[i]."start" <= s[j]."start" AND s[i]."end" >= s[j]."end")
           AND (s[i]."end" <= s[j]."start" OR s[j]."end" <= s[i]."start") AND greatest(s[i]."start", s[j]."start") - least(s[i]."end", s[j]."end") <= 2 AND regexp_full_match(substr(line, least(s[i]."end", s[j]."end") + 1, greatest(s[i]."start", s[j]."start") - least(s[i]."end", s[j]."end")), '\s*')
-          AND len(list_filter(s, lambda x, k: k <> i AND k <> j AND x."start" < greatest(s[i]."end", s[j]."end") AND x."end" > least(s[i]."start", s[j]."start"))) = 0
+          AND len(list_filter(s[greatest(1, i - 24):i + 24], lambda x, k: k + greatest(1, i - 24) - 1 <> i AND k + greatest(1, i - 24) - 1 <> j AND x."start" < greatest(s[i]."end", s[j]."end") AND x."end" > least(s[i]."start", s[j]."start"))) = 0
           THEN {{'i': i, 'low': least(s[i]."start", s[j]."start"), 'high': greatest(s[i]."end", s[j]."end")}} END))), lambda x: x IS NOT NULL)[1] AS c FROM st WHERE pass < 10) WHERE c IS NOT NULL),
     last AS (SELECT {K}, arg_max(s, pass) AS s FROM st GROUP BY {K})
     SELECT {K}, x."start", x."end", x.label FROM (SELECT {K}, unnest(s) AS x FROM last)"""
 )
 def adjacent_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named spans that take in the group name beside them, until nothing changes."""
+    """Named spans that take in the group name beside them, until nothing changes.
+
+    Spans here are single words, so the SQL looks at no more neighbours than there are steps.
+    """
     hint = F.element_at(F.create_map(*[F.lit(x) for pair in HINTS.items() for x in pair]), F.col("coarse"))
     rows = D.spans(spark, sf_dir, 1, 40, 1).groupBy(*S.KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", hint.alias("label")))).alias("s"))
     lines = D.sentences(spark, sf_dir).select(*S.KEY, T.squeeze(F.col("text")).alias("line"))

@@ -102,6 +102,23 @@ def hydrate_elements(elements: DataFrame, keys: list[str]) -> DataFrame:
     return elements.groupBy(*keys, group.alias("unit_id")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.count("*").alias("n_elements"))
 
 
+def hydrate_units(elements: DataFrame, ids: DataFrame, unit: str, keys: tuple[str, str] = ("doc_id", "element_index")) -> DataFrame:
+    """(doc_id, unit_id, pos, text, n_elements) of the documents in an id list, by unit.
+
+    elements: doc_id, element_index, element_id, parent_id, text, is_sentence. SENTENCE: each sentence, in order;
+    DOCUMENT: all elements of a document as one text; any other: elements joined under their parent, or alone. Ids that
+    have no element give no row, and repeated ones give theirs once. Texts are joined by line breaks, in order.
+    """
+    doc, index = keys
+    wanted = elements.join(ids.select(doc).distinct(), doc, "left_semi")
+    if unit == "SENTENCE":
+        order = Window.partitionBy(doc).orderBy(index)
+        return wanted.where("is_sentence").select(doc, F.col("element_id").cast("string").alias("unit_id"), F.row_number().over(order).cast("long").alias("pos"), "text", F.lit(1).cast("long").alias("n_elements"))
+    group = F.lit("document") if unit == "DOCUMENT" else F.coalesce("parent_id", "element_id").cast("string")
+    parts = F.array_sort(F.collect_list(F.struct(index, "text")))
+    return wanted.groupBy(doc, group.alias("unit_id")).agg(F.min(index).cast("long").alias("pos"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.count("*").alias("n_elements")).select(doc, "unit_id", "pos", "text", "n_elements")
+
+
 def mean_vectors(df: DataFrame, group: str, vector_col: str) -> DataFrame:
     """Mean vector of each group, one row a dimension: (group, pos, mean)."""
     return df.select(group, F.posexplode(vector_col).alias("pos", "x")).groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))

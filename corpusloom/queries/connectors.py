@@ -225,3 +225,12 @@ def optional_fields_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values outside their valid set or range become null."""
     kind = F.when(F.col("coarse").isin("PER", "ORG"), F.col("coarse"))
     return D.spans(spark, sf_dir, 1, 10).select(*S.KEY, "tok", "n", kind.alias("kind"), F.when(F.col("score").between(0.2, 0.8), F.col("score")).alias("score"))
+
+
+@query("SELECT doc_id AS id, text, CASE WHEN doc_id % 3 <> 0 THEN [{'label': lang, 'start': 0::BIGINT}] END AS spans FROM documents")
+def records_whitelisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written with the fields of a dataset alone, whatever else rows have, and read again."""
+    span = F.when(F.col("doc_id") % 3 != 0, F.array(F.struct(F.col("lang").alias("label"), F.lit(0).cast("long").alias("start"))))
+    place = scratch(spark, "records")
+    X.write_records(_docs(spark, sf_dir).withColumn("id", F.col("doc_id")).withColumn("spans", span).withColumn("_score", F.lit(1)), place)
+    return spark.read.schema("id long, text string, spans array<struct<label:string,start:long>>").json(place)

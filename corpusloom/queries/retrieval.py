@@ -202,3 +202,20 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit(": "), F.substring(t["text"], 1, 80)))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(lines, " | "), F.lit("]")).alias("prompt"))
+
+
+_ELEMENTS = f"""{CHUNKS}, el AS (SELECT doc_id, pos AS i, CASE WHEN pos % 4 = 0 THEN NULL ELSE pos // 4 * 4 END AS parent, pos % 3 <> 2 AS s, text FROM chunks WHERE doc_id % 2 = 0)"""
+
+
+@query(
+    f"""WITH {_ELEMENTS} SELECT 'SENTENCE' AS unit, doc_id, i::VARCHAR AS unit_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, text, 1::BIGINT AS n_elements FROM el WHERE s
+    UNION ALL SELECT 'DOCUMENT', doc_id, 'document', min(i), string_agg(text, chr(10) ORDER BY i), count(*) FROM el GROUP BY doc_id UNION ALL SELECT 'PARAGRAPH', doc_id, coalesce(parent, i)::VARCHAR, min(i), string_agg(text, chr(10) ORDER BY i), count(*) FROM el GROUP BY doc_id, coalesce(parent, i)"""
+)
+def hydrated_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of an id list's documents as sentences, whole documents and paragraphs."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = R.chunk(docs)
+    elements = chunks.select("doc_id", F.col("pos").cast("long").alias("element_index"), F.col("pos").cast("long").alias("element_id"), F.when(F.expr("pos % 4 <> 0"), F.expr("pos div 4 * 4")).cast("long").alias("parent_id"), "text", F.expr("pos % 3 <> 2").alias("is_sentence"))
+    ids = docs.where("doc_id % 2 = 0").select("doc_id")
+    every = [R.hydrate_units(elements, ids, unit).select(F.lit(unit).alias("unit"), "doc_id", "unit_id", "pos", "text", "n_elements") for unit in ("SENTENCE", "DOCUMENT", "PARAGRAPH")]
+    return every[0].unionByName(every[1]).unionByName(every[2])

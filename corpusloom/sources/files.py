@@ -116,3 +116,12 @@ def save_settings(spark: SparkSession, settings: dict, path: str) -> None:
 
 def load_settings(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+#: Fields of a record that a dataset keeps.
+RECORD_FIELDS = ("id", "text", "spans")
+
+
+def write_records(rows: DataFrame, path: str, keep: tuple[str, ...] = RECORD_FIELDS) -> None:
+    """Writes rows as JSON lines with only the fields that a dataset keeps, in that order; a field that rows haven't stays out, as nulls do."""
+    rows.select(*[c for c in keep if c in rows.columns]).write.json(path)

@@ -80,3 +80,22 @@ def test_upsert_takes_the_new_row_of_equals(spark):
     new = spark.createDataFrame([(1, "c", 1), (2, "d", 4), (3, None, 1)], "id long, v string, at int")
     assert {(r.id, r.v) for r in upsert(old, new, ["id"], "at").collect()} == {(1, "c"), (2, "b"), (3, None)}
     assert [r.id for r in delete(old, new.where("id = 1").select("id")).collect()] == [2]
+
+
+def test_configuration_defaults_updates_and_plans(spark):
+    from corpusloom.plans.config import RagConfig, exported, imported, updated
+
+    config = RagConfig()
+    assert (config.chunk.max_tokens, config.retrieve.generic_top_k, config.retrieve.thematic_top_k, config.embed.normalize, config.retrieve.strategy, config.rerank.top_k, config.generate.max_tokens) == (256, 30, 10, True, "hybrid", 10, 512)
+    plan = config.to_plan("what?")
+    assert [s.param("k") for s in plan.steps if s.kind == "retrieve"] == [30, 10] and next(s for s in plan.steps if s.kind == "chunk").param("tokens") == 256
+    new = updated(config, {"retrieve": {"strategy": "single", "generic_top_k": 2, "filters": ["length>=3"]}, "rerank": {"top_k": 1}})
+    assert (new.retrieve.strategy, new.retrieve.filters, new.chunk.max_tokens) == ("single", ("length>=3",), 256) and config.retrieve.strategy == "hybrid"
+    assert imported(RagConfig, exported(new)) == new and imported(RagConfig, {}) == config
+    docs = spark.createDataFrame([(1, "One sentence. Another longer one here. A third.")], "doc_id long, text string")
+    assert run(new.to_plan("what?"), docs).first().answer.startswith("Q: what? A: ")
+    for changes, said in (({"nothing": 1}, "no setting named nothing"), ({"chunk": 3}, "holds several"), ({"chunk": {"max_tokens": "many"}}, "max_tokens is a int"), ({"embed": {"normalize": 1}}, "normalize is a bool")):
+        with pytest.raises(ValueError, match=said):
+            updated(config, changes)
+    with pytest.raises(PlanError, match="no strategy named best"):
+        updated(config, {"retrieve": {"strategy": "best"}}).to_plan("?")

@@ -259,7 +259,7 @@ def _across(pivots: DataFrame, found: DataFrame, candidates: DataFrame, points:
     # pivots alone in their region, and other points in no region
     loose = mine.where("close").join(region.select("point").union(heads.select("pivot")), "point", "left_anti")
     loose = loose.join(window.groupBy("point").agg(F.collect_set("pivot").alias("windows")), "point", "left").withColumn("windows", F.coalesce("windows", F.array().cast("array<long>")))
-    loose = settled(loose)
+    loose = settled(loose, "windows")
     lone = loose.join(pivots.select(F.col("pivot").alias("point")), "point", "left_semi")
     lone = lone.select("key", *[F.col(c).alias(f"p_{c}") for c in ("point", "n", "before", "own", "group", "windows")])
     apart = (F.col("point") != F.col("p_point")) & (F.col("group") != F.col("p_group")) & ~F.arrays_overlap("windows", "p_windows")

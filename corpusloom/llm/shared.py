@@ -42,18 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
-#: Rows up to which a table of a few numbers a row counts as small: some 5 MB.
+#: Rows, and items of an array column, up to which a table of a few numbers a row counts as small: some 5 MB.
 SMALL = 100_000
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, items: str | None = None) -> DataFrame:
     """cut_lineage, and a table that is counted to be small in one partition, to be broadcast where it is joined.
 
     For narrow tables of rounds that get small: what is then grouped or joined isn't shuffled. It changes how rows lie,
-    not which there are.
+    not which there are. items: an array column, whose items count as rows do.
     """
     done = cut_lineage(df)
-    return cut_lineage(done.coalesce(1)).hint("broadcast") if done.count() <= SMALL else done
+    held = done.count() if items is None else done.agg(F.coalesce(F.sum(1 + F.greatest(F.size(items), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    return cut_lineage(done.coalesce(1)).hint("broadcast") if held <= SMALL else done
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:

@@ -414,3 +414,16 @@ def test_both_decoders_agree():
         down = sum(abs(px[y + 1][x][1] - px[y][x][1]) for y in range(h - 1) for x in range(w)) * 1000 // (h * w)
         across = sum(abs(px[y][x + 1][1] - px[y][x][1]) for y in range(h) for x in range(w - 1)) * 1000 // (h * w)
         assert describe(image) == ";".join(map(str, (h, w, *means, down, across)))
+
+
+def test_only_what_is_counted_small_is_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import shared
+
+    monkeypatch.setattr(shared, "SMALL", 100)
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    few, many = spark.range(90), spark.range(101)
+    lists = spark.range(5).select("id", F.sequence(F.lit(1), F.lit(40)).alias("x"))
+    assert hinted(shared.settled(few)) and not hinted(shared.settled(many)) and hinted(shared.settled(lists)) and not hinted(shared.settled(lists, "x"))
+    assert hinted(shared.settled(lists.limit(0), "x")) and shared.settled(lists, "x").count() == 5

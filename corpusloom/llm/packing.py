@@ -298,7 +298,8 @@ def pack_documents(documents: DataFrame, size: int = 4096, end: int = 1, tokeniz
     Takes (doc_id, text), ignores other columns. A document is its ids, those of special tokens included, and then
     `end`; only longer ones are cut, into pieces of `size`. Returns doc_id, piece, start, length, ids_crc32,
     sequence_id and offset, and ids (bytes of little-endian 32-bit numbers) if asked for. Null texts are empty
-    and get the one closing id; null ids and repeated rows are pieces like any other. An empty table gives an empty
+    and get the one closing id; null ids and repeated rows are pieces like any other, and pieces of one length are put in
+    any order. An empty table gives an empty
     result. tokenizer: a file of the tokenizers library that drops white space.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -60,7 +60,7 @@ def repeated_spans(documents: DataFrame, size: int = 50) -> DataFrame:
 
     Takes (doc_id, text), ignores other columns. Words are all but ASCII white space, unchanged. Returns one row
     a span: doc_id, first_word and end_word (from 0, end not included), n_words, other_id (a document
-    that has one of its windows). Repeats inside one document only are not reported, so a repeated row with the same
+    that has one of its windows; of several, the least of those that its windows were met in). Repeats inside one document only are not reported, so a repeated row with the same
     doc_id is none; two texts with one doc_id have their spans each. Null ids, null, empty and shorter texts give no rows; an empty table gives an empty result.
     """
     docs = identified(documents).repartition("doc_id")

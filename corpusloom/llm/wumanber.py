@@ -225,7 +225,7 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, size: int = 10) -
     have a bound however large the benchmark is. With several passes the rows are written once, with a key of their own;
     each further pass reads their texts and keeps the key and finds of rows that have some, and these join the rows in the
     end. So every row, whatever its doc_id, has all passes' finds; repeated rows have them each. Ids of items are whole numbers.
-    An item too long for a pass is cut into stretches. Null texts have no words, wordless items and those with null ids
+    Items that share a window all count where it stands. An item too long for a pass is cut into stretches. Null texts have no words, wordless items and those with null ids
     match nothing, an empty benchmark leaves all documents clean, and an empty table of documents gives an empty result.
     """
     documents = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in FOUND])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import add_columns, components, cut_lineage, released, settled
+from .shared import add_columns, components, cut_lineage, released, settled, trimmed
 from .words import Prefix, U, Words, cut, lists, mix, signed, slices
 
 #: Share of a set that its first shingles hold besides the n * r ones, and that linked sets then share of them at least.
@@ -80,6 +80,7 @@ def _summary(size: int, threshold: float) -> Callable:
                 count = np.where(n > 0, np.minimum(n, n - _least(n, threshold) + np.maximum(1, (n * MORE).astype(np.int64))), 0)
                 first = np.arange(len(value)) - bounds[doc] < count[doc]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_fingerprints(value, doc, n), lists(signed(value[first]), count, pa.int64())], ["doc_id", *KEYS, "first"])
+            trimmed()
 
     return run
 

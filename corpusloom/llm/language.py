@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, held_out, sampled
+from .shared import add_columns, held_out, sampled, trimmed
 
 #: Hashed n-gram features.
 FEATURES = 1 << 14
@@ -120,6 +120,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if grams is not None:
                 total[grams[0]] += 1
                 texts += 1
+    trimmed()
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], texts))], ["feature", "df"])
 
@@ -129,6 +130,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [ngrams(t.as_py()) for t in batch.column("text")]
         packed = [None if g is None else np.stack([g[0], g[1]]).astype("<i4").tobytes() for g in found]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(packed, pa.binary())], ["lang", "doc_id", "grams"])
+    trimmed()
 
 
 def fit(documents: DataFrame, train: Column, sample: int = SAMPLE) -> LanguageModel:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -133,6 +135,14 @@ RELEASE: list[Callable[[], None]] = []
 def released() -> None:
     while RELEASE:
         RELEASE.pop()()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives memory that is free, but still held for later, back to the system: a worker may wait long, or serve another operator, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def add_columns(df: DataFrame, prepare: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: dict[str, str]) -> DataFrame:
@@ -150,5 +160,6 @@ def add_columns(df: DataFrame, prepare: Callable[[], Callable[[pa.RecordBatch],
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], [*part.schema.names, *added])
+            trimmed()
 
     return plain.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from .words import slices
 #: Pieces of a block, islands of a block, epochs, solutions of an island, and generations of an epoch.
 BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 4, 3, 6, 12
 #: Bytes each half of a worker's cache of words holds, about. When the new half is full it becomes the old one, whose words come back when they are met.
-CACHE = 200_000_000
+CACHE = 100_000_000
 #: Words that are encoded as one text.
 TOGETHER = 200
 #: Signs that the tokenizer parts from letters and numbers beside them, and letters and digits of one byte.

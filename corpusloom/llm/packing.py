@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import RELEASE, cut_lineage
+from .shared import RELEASE, cut_lineage, trimmed
 from .words import slices
 
 #: Pieces of a block, islands of a block, epochs, solutions of an island, and generations of an epoch.
@@ -164,6 +164,7 @@ def _pieces(path: str | None, size: int, end: int, with_ids: bool) -> Callable:
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            trimmed()
 
     return run
 

@@ -52,7 +52,7 @@ def distinct_by_lower_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpora_united(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A known corpus and a new one, each normalised text once; the known one wins."""
     docs = _docs(spark, sf_dir)
-    changed = F.concat(F.upper(F.substring("text", 1, 1)), F.expr("substring(text, 2)"), F.lit("  "))
+    changed = F.concat(T.capitalised(F.col("text")), F.lit("  "))
     both = docs.where("lang = 'en'").select(F.col("doc_id").alias("id"), "text", F.lit(0).alias("priority")).union(docs.select(F.col("doc_id") + 1000000, changed, F.lit(1)))
     return both.groupBy(T.normalize(F.col("text")).alias("key")).agg(F.min_by("id", F.struct("priority", "id")).alias("id"), F.min("priority").alias("priority"))
 

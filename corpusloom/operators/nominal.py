@@ -43,8 +43,8 @@ CRITICAL = (
     "verb_or_pron_endpoint", "parent_not_nominal", "child_not_nominal", "measure_as_nominal_parent", "measure_as_nominal_child", "invalid_appos_compatibility", "inside_source_block",
     "crosses_source_block", "crosses_suspicious_boundary", "child_contains_parent_fragment",
 )
-#: Signs of a stretch, and how far a rule looks behind a span.
-STRETCH, REACH = 128, 100
+#: Signs of a stretch, how far a rule looks behind a span, and how far one reads what stands there.
+STRETCH, REACH, READ = 128, 100, 35
 
 
 def coarse_of(label: Column, given: Column) -> Column:
@@ -94,7 +94,8 @@ def described(spans: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select(*KEY, *[F.col(c).alias(f"{name}_{c}") for c in ("rank", "start", "end", "text", "label", "coarse", "nominal", "gender", "number")])
+    told = [c for c in ("behind", "owned", "glued", "place") if c in rows.columns]
+    return rows.select(*KEY, *[F.col(c).alias(f"{name}_{c}") for c in ("rank", "start", "end", "text", "label", "coarse", "nominal", "gender", "number", *told)])
 
 
 def near_pairs(rows: DataFrame) -> DataFrame:
@@ -105,35 +106,41 @@ def near_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, [*KEY, "stretch"]).where((F.col("a_rank") < F.col("b_rank")) & (F.col("b_start") <= F.col("a_end") + REACH)).drop("stretch")
 
 
-def _place(p: str) -> Column:
-    """The number of the first block that a side's middle lies in, or null."""
-    middle = F.floor((F.col(f"{p}_start") + F.col(f"{p}_end")) / 2)
-    return F.array_min(F.transform("blocks", lambda b, i: F.when((b["start"] <= middle) & (middle < b["end"]), i)))
+def read(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """Spans with what rules read of their line: behind, the signs after a span; owned, whether a possessive stands before it; glued; place, the number of the first block that its middle lies in, or null.
+
+    So that no pair of spans has the line itself, which may be long.
+    """
+    start, end = F.col("start"), F.col("end")
+    before = F.lower(F.trim(F.substring("line", (F.greatest(F.lit(0), start - 8) + 1).cast("int"), F.least(F.lit(8), start).cast("int"))))
+    middle = F.floor((start + end) / 2)
+    place = F.array_min(F.transform("blocks", lambda b, i: F.when((b["start"] <= middle) & (middle < b["end"]), i)))
+    known = {"behind": F.substring("line", (end + 1).cast("int"), F.lit(READ)), "owned": before.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(POSSESSIVES)})$"), "place": place}
+    return rows.join(told, KEY).select(*rows.columns, "glued", *[c.alias(n) for n, c in known.items()])
 
 
 def refusal(relation: Column) -> Column:
-    """The first reason against an edge from child_ to parent_ (with line, glued and blocks), or null."""
+    """The first reason against an edge from child_ to parent_ (with zone, what stands between them if the parent is first, glued, and each one's place), or null."""
     c, p = (lambda n: F.col(f"child_{n}")), (lambda n: F.col(f"parent_{n}"))
     measure = lambda s: s("label").isin(*MEASURES) | F.coalesce(s("coarse") == "VALUE", F.lit(False))
     same = (c("start") == p("start")) & (c("end") == p("end"))
     holds = lambda x, y: (x("start") <= y("start")) & (x("end") >= y("end")) & ~same
     middle = lambda s: F.floor((s("start") + s("end")) / 2)
     crossed = F.col("glued").isNotNull() & (((middle(c) < F.col("glued")) & (F.col("glued") <= middle(p))) | ((middle(p) < F.col("glued")) & (F.col("glued") <= middle(c))))
-    c_block, p_block = _place("child"), _place("parent")
+    c_block, p_block = c("place"), p("place")
     overlap = F.least(c("end"), p("end")) > F.greatest(c("start"), p("start"))
     gap = F.when(overlap, 0).when(p("end") <= c("start"), c("start") - p("end")).otherwise(p("start") - c("end"))
     alike = p("coarse").isNotNull() & c("coarse").isNotNull() & (((p("coarse") == c("coarse")) & p("coarse").isin("PER", "ORG", "LOC", "WORK", "OBJECT")) | ((p("coarse") == "WORK") & c("coarse").isin("ORG", "WORK")))
     appos = F.coalesce(alike & ~measure(p) & ~measure(c), F.lit(False))
     amod = ~measure(p) & ~measure(c) & (holds(p, c) | (~holds(c, p) & (gap <= 3)))
     local = ("APPOS", "NMOD", "AMOD", "COMPOUND")
-    zone = F.when(p("end") <= c("start"), F.substring("line", (p("end") + 1).cast("int"), (c("start") - p("end")).cast("int"))).otherwise("")
     against = [
         (relation.isNull(), "missing_relation"), (~c("nominal"), "child_not_nominal"), (~p("nominal"), "parent_not_nominal"), (same, "same_span"), (c("label").isin(*NOT_NOMINAL) | p("label").isin(*NOT_NOMINAL), "verb_or_pron_endpoint"),
         (crossed, "crosses_suspicious_boundary"), (~c_block.eqNullSafe(p_block), "crosses_source_block"), (c_block.isNotNull() | p_block.isNotNull(), "inside_source_block"),
         (measure(p) & ~relation.isin("UNIT", "QUALIFIER", "TIME", "COMPARE_TO"), "measure_as_nominal_parent"), (measure(c) & relation.isin(*local, "POSS"), "measure_as_nominal_child"),
         ((c("label").isin(*TIMES) | F.coalesce(c("coarse") == "TIME", F.lit(False))) & relation.isin(*local), "time_as_nominal_child"), (holds(c, p) & relation.isin(*local), "child_contains_parent_fragment"),
         ((relation == "APPOS") & ~appos, "invalid_appos_compatibility"), ((relation == "AMOD") & ~amod, "invalid_amod_shape"), (relation.isin("NMOD", "SOURCE", "POSS", "LOC", "MEDIUM", "MISC") & (gap > 120), "edge_too_far"),
-        (relation.isin(*local) & zone.rlike(r"[.;:\n]"), "hard_punctuation_between"),
+        (relation.isin(*local) & F.col("zone").rlike(r"[.;:\n]"), "hard_punctuation_between"),
     ]
     return F.coalesce(*[F.when(when, reason) for when, reason in against])
 
@@ -147,10 +154,12 @@ def nominal_edges(spans: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     and spans is taken. Spans without bounds, and sentences without a line, propose nothing.
     """
     rows, told = described(spans.where("start IS NOT NULL AND end IS NOT NULL"), lines)
-    pairs = written(near_pairs(rows).join(told, KEY))
     a, b = (lambda n: F.col(f"a_{n}")), (lambda n: F.col(f"b_{n}"))
     apart = b("start") - a("end")
-    between = F.when(apart >= 0, F.substring("line", (a("end") + 1).cast("int"), apart.cast("int"))).otherwise("")
+    # no rule reads more than READ signs behind a span, and only the one of possessives looks farther
+    pairs = near_pairs(read(rows, told)).where((apart <= READ) | b("owned")).withColumn("zone", F.when(apart >= 0, F.substring(a("behind"), F.lit(1), apart.cast("int"))).otherwise(""))
+    pairs = written(pairs.drop("a_behind", "b_behind", "a_owned", "b_glued"))
+    between = F.col("zone")
     words = F.lower(F.regexp_replace(between, r"^\s+|\s+$", ""))
     beside = (apart >= 0) & (apart <= 5) & between.rlike(BESIDE)
     of = words.isin(*PREPOSITIONS) | reduce(lambda x, y: x | y, [words.startswith(f"{p} ") for p in PREPOSITIONS])
@@ -163,13 +172,12 @@ def nominal_edges(spans: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
 
     def proposed(df: DataFrame, rule: int, when: Column, relation: Column, confidence: float, child: str = "b", parent: str = "a", by_child: bool = False) -> DataFrame:
         first, second = (child, parent) if by_child else (parent, child)
-        sides = [F.col(f"{side}_{c}").alias(f"{name}_{c}") for side, name in ((child, "child"), (parent, "parent")) for c in ("rank", "start", "end", "text", "label", "coarse", "nominal")]
-        return df.where(when).select(*KEY, F.lit(rule).alias("rule"), F.col(f"{first}_rank").alias("one"), F.col(f"{second}_rank").alias("two"), *sides, relation.alias("relation"), F.lit(confidence).alias("confidence"), "line", "glued", "blocks")
+        sides = [F.col(f"{side}_{c}").alias(f"{name}_{c}") for side, name in ((child, "child"), (parent, "parent")) for c in ("rank", "start", "end", "text", "label", "coarse", "nominal", "place")]
+        return df.where(when).select(*KEY, F.lit(rule).alias("rule"), F.col(f"{first}_rank").alias("one"), F.col(f"{second}_rank").alias("two"), *sides, relation.alias("relation"), F.lit(confidence).alias("confidence"), F.col("a_glued").alias("glued"), "zone")
 
     role_first, name_first = a("label").isin(*ROLES) & b("label").isin(*PROPER), a("label").isin(*PROPER) & b("label").isin(*ROLES)
     owner = b("nominal") & a("nominal") & (apart >= 0) & (apart <= REACH) & a("coarse").isin("ORG", "PER") & (b("label").isin(*ROLES) | b("coarse").isin("PER", "ORG"))
-    before = F.lower(F.trim(F.substring("line", (F.greatest(F.lit(0), b("start") - 8) + 1).cast("int"), F.least(F.lit(8), b("start")).cast("int"))))
-    owned = owner & before.rlike(rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(POSSESSIVES)})$")
+    owned = owner & b("owned")
     last = Window.partitionBy(*KEY, "b_rank").orderBy(F.desc("a_end"), F.desc(F.greatest(F.lit(1), a("end") - a("start"))), "a_rank")
     owners = pairs.where(owned).withColumn("r", F.row_number().over(last)).where("r = 1")
     attempts = [
@@ -179,7 +187,7 @@ def nominal_edges(spans: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
         proposed(pairs, 6, speech & b("nominal") & (apart >= 0) & (apart <= 30) & of & said, F.lit("SOURCE"), 0.85),
     ]
     every = reduce(DataFrame.unionByName, attempts)
-    judged = every.withColumn("reason", refusal(F.col("relation"))).drop("line", "glued", "blocks")
+    judged = every.withColumn("reason", refusal(F.col("relation"))).drop("zone", "glued", "child_place", "parent_place")
     first = Window.partitionBy(*KEY, "child_start", "child_end", F.col("reason").isNull()).orderBy("rule", "one", "two")
     return judged.withColumn("taken", F.col("reason").isNull() & (F.row_number().over(first) == 1)), told
 

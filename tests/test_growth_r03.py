@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import __spark_entry__ as entry
 import pyarrow as pa
+import pytest
 from corpusloom import derived as D
 from corpusloom.functions import text as T
 from corpusloom.functions import words as W
@@ -46,3 +48,9 @@ def test_tokens_and_spans_need_no_lambda_a_word(spark):
 def test_trim_takes_white_space_only(spark):
     rows = spark.createDataFrame([(" \ta b\r\n\x0b\f ",), ("a  ",), (" a",), (" ",), (None,)], "text string")
     assert [r[0] for r in rows.select(T.trim(F.col("text"))).collect()] == ["a b", "a  ", " a", "", None]
+
+
+@pytest.mark.parametrize("name", ["events_annotated", "appositions_patched", "event_assembly", "null_subjects_filled", "triplets_by_place", "roles_reviewed", "review_outcomes", "relaxed_scores", "labels_matched", "span_extensions_applied"])
+def test_spans_that_are_read_several_times_are_made_once(spark, name):
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") <= 1

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 #: Least share of characters in matching blocks.
 CUTOFF = 0.6
 
@@ -52,7 +54,7 @@ def map_labels(said: DataFrame, known: DataFrame, cutoff: float = CUTOFF) -> Dat
 
     known: label, place. Of equally close ones the last by name is taken. A null label stays null.
     """
-    said = said.select("label").distinct()
+    said = written(said.select("label").distinct())
     same = known.select(F.col("label").alias("k")).distinct()
     cased = known.groupBy(F.lower("label").alias("low")).agg(F.min_by("label", "place").alias("c"))
     rows = said.join(same, F.col("label") == F.col("k"), "left").join(cased, F.lower("label") == F.col("low"), "left")

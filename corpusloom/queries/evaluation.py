@@ -10,6 +10,7 @@ from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import spans as S
 from ..registry import query, table
+from ..storage import written
 
 GUESS = "guess AS (SELECT vec_id, label AS truth, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 WHEN vec_id % 11 = 0 THEN (label * 3) % 10 ELSE label END AS guess, ((vec_id * 37) % 100) / 100.0::DOUBLE AS score FROM embeddings)"
 CONF = f"{GUESS}, l AS (SELECT DISTINCT truth AS label FROM guess UNION SELECT DISTINCT guess FROM guess), c AS (SELECT label, count(*) FILTER (truth = label AND guess = label) AS tp, count(*) FILTER (truth <> label AND guess = label) AS fp, count(*) FILTER (truth = label AND guess <> label) AS fn FROM l, guess GROUP BY label)"
@@ -136,9 +137,9 @@ def recall_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relaxed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches that share at least half of both spans."""
-    gold, pred = (D.spans(spark, sf_dir, *a).select(*S.KEY, "start", "end") for a in ((1, 10), (2, 12)))
+    gold, pred = (written(D.spans(spark, sf_dir, *a).select(*S.KEY, "start", "end")) for a in ((1, 10), (2, 12)))
     shared = S.overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    both = S.pairs(gold, pred).where((2 * shared >= F.col("a_end") - F.col("a_start")) & (2 * shared >= F.col("b_end") - F.col("b_start")))
+    both = written(S.pairs(gold, pred).where((2 * shared >= F.col("a_end") - F.col("a_start")) & (2 * shared >= F.col("b_end") - F.col("b_start"))))
     counts = [gold.agg(F.count("*").alias("gold")), pred.agg(F.count("*").alias("pred")), both.select(*S.KEY, "a_start", "a_end").distinct().agg(F.count("*").alias("found")), both.select(*S.KEY, "b_start", "b_end").distinct().agg(F.count("*").alias("hit"))]
     one = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])  # four single rows
     return one.select(F.round(F.col("hit") / F.col("pred"), 6).alias("precision"), F.round(F.col("found") / F.col("gold"), 6).alias("recall"))

@@ -337,9 +337,8 @@ def span_extensions_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted extensions: a short span goes if the long one is there, else it is widened."""
     rows = _ent(spark, sf_dir).select(*S.KEY, "tok", "n", "coarse")
     group = [*S.KEY, "tok", "coarse"]
-    accepted = rows.where("(doc_id + tok) % 2 = 0").groupBy(*group).agg(F.max("n").alias("longest"))
-    there = rows.groupBy(*group).agg(F.max("n").alias("there"))
-    joined = rows.join(accepted, group, "left").join(there, group)
+    of = Window.partitionBy(*group)
+    joined = rows.withColumns({"longest": F.max(F.when(F.expr("(doc_id + tok) % 2 = 0"), F.col("n"))).over(of), "there": F.max("n").over(of)})
     short = F.coalesce(F.col("n") < F.col("longest"), F.lit(False))
     return joined.where(~(short & (F.col("there") >= F.col("longest")))).select(*S.KEY, "tok", F.when(short, F.col("longest")).otherwise(F.col("n")).alias("n"), "coarse")
 

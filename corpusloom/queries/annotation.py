@@ -119,12 +119,19 @@ FEED = "feed long, entry long, source string, lang string, text string"
 LANGS = ("en", "fr")
 
 
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries of feeds, one for each tenth of the sources."""
+    feed = F.regexp_extract("source", r"(\d+)$", 1).cast("long") % 10
+    return table(spark, sf_dir, "documents").select(feed.alias("feed"), F.col("doc_id").alias("entry"), "source", "lang", "text").where("feed IS NOT NULL")
+
+
 def feed_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a file of entries for each tenth of the documents' sources, written one after another."""
-    folder = scratch(spark, "feeds")
-    docs = table(spark, sf_dir, "documents").select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("feed"), F.col("doc_id").alias("entry"), "source", "lang", "text")
-    for part in range(10):
-        docs.where(F.col("feed") % 10 == part).withColumn("feed", F.lit(part).cast("long")).coalesce(1).write.mode("append").json(folder)
+    """A folder with a file for each feed, written one after another, that names the folder of its entries; these are written at once."""
+    folder, whole = scratch(spark, "feeds"), scratch(spark, "entries")
+    entries = feed_entries(spark, sf_dir)
+    entries.withColumn("part", F.col("feed")).write.partitionBy("part").json(whole)
+    for part in sorted(r[0] for r in entries.select("feed").distinct().collect()):  # ten at most
+        spark.createDataFrame([(f"{whole}/part={part}",)], f"{feeds.PARTS} string").coalesce(1).write.mode("append").json(folder)
     return folder
 
 
@@ -138,5 +145,5 @@ _NEWS = r"""parts AS (SELECT feed, doc_id, source, lang, unnest(range(0, len(p))
 def feeds_until_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New sentences of feeds, read as a stream until a third of all there are."""
     folder = feed_files(spark, sf_dir)
-    wanted = feeds.sentences_of(spark.read.schema(FEED).json(folder), LANGS, 40, 300).select(*feeds.KEY).distinct()
+    wanted = feeds.sentences_of(feed_entries(spark, sf_dir), LANGS, 40, 300).select(*feeds.KEY).distinct()
     return feeds.collect_until(spark, folder, FEED, scratch(spark, "sentences"), scratch(spark, "stream"), max(10, wanted.count() // 3), LANGS, 40, 300)

@@ -10,6 +10,9 @@ import pytest
 from corpusloom import derived as D
 from corpusloom.functions import text as T
 from corpusloom.functions import words as W
+from corpusloom.queries import annotation as A
+from corpusloom.storage import scratch
+from corpusloom.streaming import feeds
 from pyspark.sql import functions as F
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -54,3 +57,23 @@ def test_trim_takes_white_space_only(spark):
 def test_spans_that_are_read_several_times_are_made_once(spark, name):
     plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("documents.parquet") <= 1
+
+
+def test_no_task_writes_a_whole_feed(spark, tmp_path):
+    rows = [(i, f"Entry {i} of a feed that has sentences long enough to count. And short ones.", "en", f"src{i % 2}", 70) for i in range(400)] + [(400, "x", "en", None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = A.feed_files(spark, str(tmp_path))
+    for place in [r[0] for r in spark.read.json(folder).select(feeds.PARTS).collect()]:
+        assert len(spark.read.json(place).inputFiles()) == 4
+    direct = scratch(spark, "direct")
+    for part in (0, 1):
+        A.feed_entries(spark, str(tmp_path)).where(F.col("feed") == part).coalesce(1).write.mode("append").json(direct)
+    got, plain = (sorted(map(tuple, feeds.collect_until(spark, f, A.FEED, scratch(spark, "o"), scratch(spark, "c"), 250, A.LANGS, 40, 300).collect())) for f in (folder, direct))
+    assert got == plain and len(got) == 250 and {r[0] for r in got} == {0, 1}
+
+
+def test_first_of_very_many_equal_sentences_is_found_before_they_meet(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("feed"), F.col("id").alias("entry"), F.lit(0).alias("pos"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, "en").alias("lang"), F.lit("same").alias("text"))
+    found = feeds.first_new(rows, None, [F.col("feed"), F.col("entry")])
+    assert found.columns == rows.columns and sorted((r.feed, r.entry, r.lang or "") for r in found.collect()) == [(0, 0, "en"), (0, 7, "")]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,11 +13,16 @@ from ..functions.text import squeeze, trim
 SPAN = "struct<label:string,start:bigint,end:bigint,text:string>"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once: lambdas are interpreted, and a column that stands in one twice is worked out twice."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _found(text: Column, own: Column, cursor: Column) -> Column:
     """Place of a string from a cursor on, in the text as it is or else but for case; null if it is in neither."""
     at = F.call_function("locate", own, text, (cursor + 1).cast("int"))
     low = F.call_function("locate", F.lower(own), F.lower(text), (cursor + 1).cast("int"))
-    return F.when(at > 0, at - 1).when(low > 0, low - 1).cast("long")
+    return _let(at, lambda at: F.when(at > 0, at - 1).otherwise(_let(low, lambda low: F.when(low > 0, low - 1)))).cast("long")
 
 
 def repaired_spans(text: Column, spans: Column) -> Column:
@@ -40,17 +45,25 @@ def repaired_spans(text: Column, spans: Column) -> Column:
         there = F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
         fits = s["text"].isNull() | (plain(s["text"]) == plain(there))
         has_text = F.coalesce(F.length(s["text"]) > 0, F.lit(False))
-        near = F.when(has_text, _found(text, s["text"], a["cursor"]))
         size = F.length(s["text"])
-        # what the span gets, and whether the cursor moves behind it
-        first = F.when(good & fits, start).when(good, F.coalesce(near, start)).when(~stated, near)
-        last = F.when(good & fits, end).when(good, F.when(near.isNotNull(), near + size).otherwise(end)).when(~stated, near + size)
-        moves = F.when(good, fits | near.isNotNull()).when(~stated, near.isNotNull()).otherwise(F.lit(False))
+
+        def stood(fits: Column, near: Column) -> Column:
+            """What the span gets, and whether the cursor moves behind it."""
+            first = F.when(good & fits, start).when(good, F.coalesce(near, start)).when(~stated, near)
+            last = F.when(good & fits, end).when(good, F.when(near.isNotNull(), near + size).otherwise(end)).when(~stated, near + size)
+            moves = F.when(good, fits | near.isNotNull()).when(~stated, near.isNotNull()).otherwise(F.lit(False))
+            return F.struct(first.alias("first"), last.alias("last"), moves.alias("moves"))
+
+        def put(p: Column, begin: Column) -> Column:
+            stop = F.coalesce(p["last"], begin + size)
+            fixed = F.struct(s["label"].alias("label"), begin.alias("start"), stop.alias("end"), F.substring(text, (begin + 1).cast("int"), (stop - begin).cast("int")).alias("text"))
+            out = F.when(begin.isNotNull(), F.concat(a["out"], F.array(fixed))).otherwise(a["out"])
+            return F.struct(F.when(p["moves"], p["last"]).otherwise(a["cursor"]).alias("cursor"), out.alias("out"))
+
+        near = lambda fits: F.when(has_text & ~F.coalesce(good & fits, F.lit(False)), _found(text, s["text"], a["cursor"]))
+        place = _let(fits, lambda fits: _let(near(fits), lambda near: stood(fits, near)))
         whole = F.when(has_text, _found(text, s["text"], F.lit(0)))
-        begin, stop = F.coalesce(first, whole), F.coalesce(last, whole + size)
-        fixed = F.struct(s["label"].alias("label"), begin.alias("start"), stop.alias("end"), F.substring(text, (begin + 1).cast("int"), (stop - begin).cast("int")).alias("text"))
-        out = F.when(begin.isNotNull(), F.concat(a["out"], F.array(fixed))).otherwise(a["out"])
-        return F.struct(F.when(moves, last).otherwise(a["cursor"]).alias("cursor"), out.alias("out"))
+        return _let(place, lambda p: _let(F.coalesce(p["first"], whole), lambda begin: put(p, begin)))
 
     start = F.struct(F.lit(0).cast("long").alias("cursor"), F.array().cast(f"array<{SPAN}>").alias("out"))
     return F.coalesce(F.aggregate(spans, start, step)["out"], F.array().cast(f"array<{SPAN}>"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import words as W
 from ..operators.ordering import placed_in
 from ..storage import written
 
@@ -61,9 +62,7 @@ def read_decoded(spark: SparkSession, path: str, pattern: str = "*.json") -> Dat
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """(words, labels) of sentences that blank lines part; a line's first column is the word, its last the label. A record is a sentence, so files are split between tasks."""
     blocks = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    cells = F.transform(lines, lambda x: F.split(x, r"\t| "))
-    return blocks.select(F.transform(cells, lambda c: c[0]).alias("words"), F.transform(cells, lambda c: F.element_at(c, -1)).alias("labels"))
+    return blocks.select(F.inline(F.arrow_udf(lambda value: W.cells(value), W.LABELLED)("value")))
 
 
 def write_conll(sentences: DataFrame, path: str) -> None:
@@ -80,18 +79,6 @@ def read_wiki_dump(spark: SparkSession, path: str, least: int = 100) -> DataFram
     return pages.where(~special & ~redirect & (F.length("text") > least)).select("title", F.col("text").alias("body"))
 
 
-def bilou_labels(words: Column, spans: Column) -> Column:
-    """Labels of tokens (structs of start and end) under spans (start, end, label): U alone, B first, L last, I between, O outside."""
-
-    def label(w: Column) -> Column:
-        over = F.get(F.filter(spans, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])), F.lit(0))
-        first, last = w["start"] <= over["start"], w["end"] >= over["end"]
-        sign = F.when(first & last, "U-").when(first, "B-").when(last, "L-").otherwise("I-")
-        return F.when(over.isNull(), "O").otherwise(F.concat(sign, over["label"]))
-
-    return F.transform(words, label)
-
-
 def write_views(rows: DataFrame, path: str, views: dict[str, list[str]]) -> None:
     """Writes some projections of one table as JSON lines, each to its own folder; the table is computed once."""
     rows = rows.persist()

@@ -237,8 +237,7 @@ def soft_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BOTH} SELECT {K}, "start", "end", 'a' AS side FROM ent UNION ALL SELECT {K}, "start", "end", 'b' FROM arg""")
 def candidates_united(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of both sources, by start within a sentence."""
-    side = lambda rows, s: rows.select(*S.KEY, "start", "end", F.lit(s).alias("side"))
-    return side(_ent(spark, sf_dir), "a").unionByName(side(D.spans(spark, sf_dir, 2, 6), "b")).sortWithinPartitions(*S.KEY, "start")
+    return D.sides(spark, sf_dir, {"a": (1, 10), "b": (2, 6)}).select(*S.KEY, "start", "end", "side").sortWithinPartitions(*S.KEY, "start")
 
 
 @query(f"""WITH {ONE} SELECT DISTINCT {K}, "start" - "start" % 3 AS source, "end" - "end" % 3 AS target, coarse AS syntactic, fine AS semantic FROM ent""")

@@ -107,3 +107,24 @@ def test_constrained_labels_in_slices(monkeypatch):
 def test_labels_are_constrained_without_lists_of_tokens(spark):
     plan = _optimized(entry.queries()["labels_constrained"](spark, SF_DIR))
     assert "Aggregate" not in plan and "lambdafunction" not in plan
+
+
+def test_candidates_of_both_sides_lie_together_by_start(spark):
+    """A sentence's rows are in one partition, in the order of their starts whatever their side, and its words are read once."""
+    rows = entry.queries()["candidates_united"](spark, SF_DIR)
+    assert _optimized(rows).count("Relation") == 1
+    got = rows.withColumn("part", F.spark_partition_id()).collect()
+    assert [tuple(r[:3]) for r in got] == [k[1:] for k in sorted((r.part, *r[:3]) for r in got)]
+    mixed = {}
+    for r in got:
+        mixed.setdefault((r.doc_id, r.sent_id), set()).add(r.part)
+    assert {len(x) for x in mixed.values()} == {1} and {r.side for r in got} == {"a", "b"}
+    for side, seed, share in (("a", 1, 10), ("b", 2, 6)):
+        single = D.spans(spark, SF_DIR, seed, share).select("doc_id", "sent_id", "start", "end").collect()
+        assert sorted(map(tuple, single)) == sorted(tuple(r[:4]) for r in got if r.side == side)
+
+
+def test_runs_without_text_are_the_same(spark):
+    texts = pa.array(ODD, pa.string())
+    runs = W.runs(texts, 3, lambda tok, n: (tok + n) % 2 == 0).to_pylist()
+    assert W.runs(texts, 3, lambda tok, n: (tok + n) % 2 == 0, None, False).to_pylist() == [[{k: v for k, v in r.items() if k != "text"} for r in x] for x in runs]

@@ -36,10 +36,9 @@ def chunks_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ONE}, u AS (SELECT {K}, coarse, \"start\", \"end\", lower(text) AS key, row_number() OVER (PARTITION BY {K}, coarse, \"start\", \"end\", lower(text) ORDER BY score DESC, fine) AS r, fine FROM ent) SELECT {K}, coarse, \"start\", \"end\", key, fine FROM u WHERE r = 1")
 def distinct_by_type_and_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans once by type, place and lower-case text, the surest of each."""
-    key = [*S.KEY, "coarse", "start", "end", "key"]
-    rows = _ent(spark, sf_dir).withColumn("key", F.lower("text"))
-    rows = rows.union(rows.withColumn("score", F.col("score") - 1))
-    return rows.groupBy(*key).agg(F.max_by("fine", F.struct("score", "fine")).alias("fine"))
+    rows = _ent(spark, sf_dir).withColumns({"key": F.lower("text"), "score": F.explode(F.array(F.col("score"), F.col("score") - 1))})
+    found = rows.groupBy(*S.KEY, "start", "end", "coarse", "key").agg(F.max_by("fine", F.struct("score", "fine")).alias("fine"))  # numbers first: strings are compared only where these are equal
+    return found.select(*S.KEY, "coarse", "start", "end", "key", "fine")
 
 
 @query(f"WITH {D.SENTENCES_SQL} SELECT lower(text) AS key, min(text) AS text, count(*) AS n FROM sentences GROUP BY lower(text)")

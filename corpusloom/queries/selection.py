@@ -244,7 +244,8 @@ def candidates_united(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges_united(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges, each combination of ends and relations once."""
     rows = _ent(spark, sf_dir).select(*S.KEY, F.expr("start - start % 3").alias("source"), F.expr("end - end % 3").alias("target"), F.col("coarse").alias("syntactic"), F.col("fine").alias("semantic"))
-    return rows.union(rows).dropDuplicates([*S.KEY, "source", "target", "syntactic", "semantic"])
+    twice = rows.select(*rows.columns, F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    return twice.select(*rows.columns).dropDuplicates()
 
 
 @query(f"""WITH {BOTH} SELECT {K}, "start", "end", max(s) AS verb_score FROM (SELECT e.doc_id, e.sent_id, e."start", e."end", coalesce(a.score, 0.0) AS s FROM ent e LEFT JOIN arg a ON a.doc_id = e.doc_id AND a.sent_id = e.sent_id AND a."start" <= e."start" AND a."end" >= e."end") GROUP BY {K}, "start", "end" """)

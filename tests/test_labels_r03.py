@@ -8,6 +8,7 @@ import re
 import __spark_entry__ as entry
 import numpy as np
 import pyarrow as pa
+import pytest
 from corpusloom import derived as D
 from corpusloom.functions import words as W
 from corpusloom.operators import sequences as Q
@@ -128,3 +129,10 @@ def test_runs_without_text_are_the_same(spark):
     texts = pa.array(ODD, pa.string())
     runs = W.runs(texts, 3, lambda tok, n: (tok + n) % 2 == 0).to_pylist()
     assert W.runs(texts, 3, lambda tok, n: (tok + n) % 2 == 0, None, False).to_pylist() == [[{k: v for k, v in r.items() if k != "text"} for r in x] for x in runs]
+
+
+@pytest.mark.parametrize("name", ["distinct_by_type_and_place", "edges_united"])
+def test_copies_are_made_in_place(spark, name):
+    """Spans are made once, and copies meet before they are shuffled."""
+    plan = _optimized(entry.queries()[name](spark, SF_DIR))
+    assert plan.count("Relation") == 1 and "Union" not in plan

@@ -65,10 +65,10 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select(F.inline(F.arrow_udf(lambda value: W.cells(value), W.LABELLED)("value")))
 
 
-def write_conll(sentences: DataFrame, path: str) -> None:
-    """Writes (words, labels) one token a line, with blank lines between sentences."""
+def write_conll(sentences: DataFrame, path: str, compression: str = "none") -> None:
+    """Writes (words, labels) one token a line, with blank lines between sentences. Compressed files (`gzip`) aren't split when they are read; there is one a task."""
     lines = F.zip_with("words", "labels", lambda w, t: F.concat_ws("\t", w, t))
-    sentences.select(F.array_join(lines, "\n").alias("value")).write.option("lineSep", "\n\n").text(path)
+    sentences.select(F.array_join(lines, "\n").alias("value")).write.option("lineSep", "\n\n").text(path, compression=compression)
 
 
 def read_wiki_dump(spark: SparkSession, path: str, least: int = 100) -> DataFrame:

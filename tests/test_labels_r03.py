@@ -53,11 +53,14 @@ def test_labels_of_free_runs(monkeypatch):
 def test_sentences_are_exported_and_read_without_joins_and_lambdas(spark):
     labelled = D.bilou(spark, SF_DIR, 1, 10)
     assert _optimized(labelled).count("Relation") == 1 and "Join" not in _optimized(labelled)
-    place = scratch(spark, "conll")
-    X.write_conll(labelled, place)
-    read = X.read_conll(spark, place)
-    assert "lambdafunction" not in _optimized(labelled) + _optimized(read)
-    assert sorted(map(repr, read.collect())) == sorted(map(repr, labelled.select("words", "labels").collect()))
+    expected = sorted(map(repr, labelled.select("words", "labels").collect()))
+    for compression in ("none", "gzip"):
+        place = scratch(spark, "conll")
+        X.write_conll(labelled, place, compression)
+        read = X.read_conll(spark, place)
+        assert "lambdafunction" not in _optimized(labelled) + _optimized(read)
+        assert sorted(map(repr, read.collect())) == expected
+    assert all(f.endswith(".gz") for f in entry.queries()["conll_round_trip"](spark, SF_DIR).inputFiles())
 
 
 def test_columns_of_odd_lines(spark, monkeypatch):

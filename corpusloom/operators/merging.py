@@ -1,21 +1,23 @@
 """Entities and parses merged: spans trimmed to words that can bound one, split into role and name, and grown along the tree.
 
 Tokens: (doc_id, sent_id, tok_id, head, upos, deprel, word, start, end). Entities: (doc_id, sent_id, start, end, type). A
-sentence's tokens are gathered once and answer for all its entities; an entity then carries its own few tokens as an
-array, in which its head, its role and its name are found by expressions.
+sentence's tokens, entities and spans lie beside each other, and are worked out together by whole columns of a batch of
+sentences; so nothing is shuffled but what comes from several tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
-from .walks import KEY, gathered, with_reach
+from .beside import codes, firsts, kinds, numbers, spread_out, together, worked
+from .walks import KEY, NONE, gathered, spread
 
 # Parts of speech that don't bound or head an entity, and relations of names, nominal phrases and codes.
 SKIP_LEFT, SKIP_RIGHT = ("PUNCT", "DET", "ADP"), ("PUNCT", "ADP")
@@ -28,7 +30,8 @@ DE_PARTS = ("flat", "name", "compound", "amod", "nummod", "appos")
 CODE = ("flat", "name", "nummod", "appos", "compound")
 #: What a candidate comes from, best first.
 SOURCES = ("unchanged", "trimmed", "role", "name", "reconstructed", "noun_propn", "noun_de_chain", "noun_code")
-EXPANSIONS = {"reconstructed": "rec", "noun_propn": "prop", "noun_de_chain": "de", "noun_code": "code"}
+#: Beyond any place.
+FAR = 1 << 60
 
 
 def base(deprel: Column) -> Column:
@@ -66,70 +69,213 @@ def aligned(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return listed.join(rows, KEY, "left").withColumn("t", F.coalesce("t", F.array().cast(rows.schema["t"].dataType))).mapInArrow(run, shape)
 
 
-def grown(tokens: DataFrame) -> DataFrame:
-    """tokens with the bounds of the phrases they head: rec_, prop_, de_ and code_ low and high, null where there is none.
+#: Marks of tokens: by their relation, by their part of speech, and by both.
+MARKS = ("case", "small", "part", "nominal", "chain", "proper", "code", "nmod", "noun", "propn", "not_left", "not_right", "no_head", "pron", "named", "adp_case", "code_kind")
 
-    rec: the token and what hangs below it as adjective, part of a name or number, proper apposition, or nominal with a
-    case word, of any depth; those below it come with their case words and determiners. prop: with its proper nouns, and
-    theirs. de: with nominals that have a case word or determiner, these, and the parts of their names. code: with proper
-    nouns, numbers and signs in capitals right below it.
-    """
-    rel = base(F.col("deprel"))
-    marked = tokens.withColumn("rel", rel)
-    small = F.col("rel").isin("case", "det")
-    own = lambda c, v: F.when(c, F.col(v))
-    parts = F.col("rel").isin(*DE_PARTS)
-    kids = marked.groupBy(*KEY, F.col("head").alias("tok_id")).agg(
-        F.bool_or(F.col("rel") == "case").alias("has_case"), F.bool_or(small).alias("has_small"), F.min(own(small, "start")).alias("small_low"), F.max(own(small, "end")).alias("small_high"),
-        F.min(own(parts | small, "start")).alias("parts_low"), F.max(own(parts | small, "end")).alias("parts_high"),
-    )
-    rows = marked.join(kids, [*KEY, "tok_id"], "left").withColumns({"low": F.least("start", "small_low"), "high": F.greatest("end", "small_high")})
-    nominal = F.col("rel").isin(*NOMINAL) | ((F.col("rel") == "appos") & (F.col("upos") == "PROPN")) | ((F.col("rel") == "nmod") & F.coalesce(F.col("has_case"), F.lit(False)) & F.col("upos").isin(*CHAIN_PARTS))
-    proper = (F.col("upos") == "PROPN") & F.col("rel").isin(*PROPER)
-    rows = rows.withColumns({"nominal": nominal, "proper": proper})
-    rows = with_reach(rows, {"n": F.col("nominal")}, "low", "high")
-    rows = written(with_reach(rows, {"p": F.col("proper")}, "start", "end"))
-    code = F.col("rel").isin(*CODE) & (F.col("upos").isin("PROPN", "NUM") | F.col("word").rlike("^[A-Z0-9-]+$"))
-    de = (F.col("rel") == "nmod") & F.coalesce(F.col("has_small"), F.lit(False))
-    below = rows.groupBy(*KEY, F.col("head").alias("tok_id")).agg(
-        F.min(own(F.col("nominal"), "n_low")).alias("rec_low"), F.max(own(F.col("nominal"), "n_high")).alias("rec_high"), F.min(own(F.col("proper"), "p_low")).alias("prop_low"), F.max(own(F.col("proper"), "p_high")).alias("prop_high"),
-        F.min(F.when(de, F.least("start", "parts_low"))).alias("de_low"), F.max(F.when(de, F.greatest("end", "parts_high"))).alias("de_high"), F.min(own(code, "start")).alias("code_low"), F.max(own(code, "end")).alias("code_high"),
+
+def _mark(upos: str | None, deprel: str | None) -> int:
+    """A token's marks as bits of one number, in the order of MARKS; those of a code are left to what is said of its word."""
+    kind = (deprel or "").lower()
+    rel, propn = kind.split(":")[0], upos == "PROPN"
+    said = (
+        rel == "case", rel in ("case", "det"), rel in DE_PARTS, rel in NOMINAL or (rel == "appos" and propn), rel == "nmod" and upos in CHAIN_PARTS, propn and rel in PROPER, rel in CODE, rel == "nmod", upos == "NOUN", propn,
+        upos is None or upos in SKIP_LEFT, upos is None or upos in SKIP_RIGHT, upos in (*FUNCTION, "VERB", "ADV"), upos == "PRON", propn and kind in NAME, upos == "ADP" and kind == "case", upos in ("PROPN", "NUM"),
     )
-    both = rows.select(*[c for c in tokens.columns]).join(below, [*KEY, "tok_id"], "left")
-    noun = F.col("upos") == "NOUN"
-    bounds = {"rec_low": F.least("start", "rec_low"), "rec_high": F.greatest("end", "rec_high")}
-    for name in ("prop", "de", "code"):
-        there = noun & F.col(f"{name}_low").isNotNull()
-        bounds |= {f"{name}_low": F.when(there, F.least("start", f"{name}_low")), f"{name}_high": F.when(there, F.greatest("end", f"{name}_high"))}
-    return both.withColumns(bounds)
+    return sum(1 << i for i, x in enumerate(said) if x)
+
+
+def _marks(upos: pa.Array, deprel: pa.Array) -> np.ndarray:
+    """Marks of all tokens: worked out once for each pair that there is."""
+    u, d = upos.dictionary_encode(), deprel.dictionary_encode()
+    pairs, at = np.unique((numbers(u.indices, -1) + 1) * (len(d.dictionary) + 1) + numbers(d.indices, -1) + 1, return_inverse=True)
+    uposes, deprels = [None, *u.dictionary.to_pylist()], [None, *d.dictionary.to_pylist()]
+    return np.array([_mark(uposes[p // len(deprels)], deprels[p % len(deprels)]) for p in pairs.tolist()], np.int64)[at]
+
+
+class _Tokens:
+    """The tokens of some sentences, in the order of their ids; up is the place of a token's head, or NONE."""
+
+    def __init__(self, sentence: np.ndarray, ids: np.ndarray, head: np.ndarray, low: np.ndarray, high: np.ndarray, marks: np.ndarray, sign: np.ndarray) -> None:
+        order = np.lexsort((ids, sentence))
+        self.sentence, self.id, self.head, self.low, self.high, self.marks, self.sign = (x[order] for x in (sentence, ids, head, low, high, marks, sign))
+        least = min([0, *self.id[:1], int(self.id.min(initial=0)), int(self.head.min(initial=0))])
+        width = int(max(self.id.max(initial=0), self.head.max(initial=0))) - least + 1
+        own, wanted = self.sentence * width + self.id - least, self.sentence * width + self.head - least
+        at = np.minimum(np.searchsorted(own, wanted), max(0, len(own) - 1))
+        self.up = np.where(own[at] == wanted, at, NONE) if len(own) else at
+
+    def has(self, name: str) -> np.ndarray:
+        return (self.marks >> MARKS.index(name)) & 1 == 1
+
+    def below(self, values: np.ndarray, when: np.ndarray, least: bool) -> np.ndarray:
+        """The least (FAR if there is none) or greatest (-FAR) value of those right below each token for which `when` holds."""
+        out = np.full(len(self.id), FAR if least else -FAR)
+        at = np.flatnonzero(when & (self.up != NONE))
+        (np.minimum if least else np.maximum).at(out, self.up[at], values[at])
+        return out
+
+    def over(self, sentence: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and last token that each span of a sentence overlaps, the last before the first where there is none; tokens don't overlap one another."""
+        width = int(max(self.high.max(initial=0), end.max(initial=0))) + 1
+        first = np.searchsorted(self.sentence * width + self.high, sentence * width + np.maximum(start, 0), "right")
+        last = np.searchsorted(self.sentence * width + self.low, sentence * width + np.maximum(end, 0), "left") - 1
+        return first, np.where(start < end, last, first - 1)
+
+    def grown(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """The bounds of the phrases that tokens head, the low one FAR where there is none.
+
+        reconstructed: the token and what hangs below it as adjective, part of a name or number, proper apposition, or
+        nominal with a case word, of any depth; those below it come with their case words and determiners. noun_propn: with
+        its proper nouns, and theirs. noun_de_chain: with nominals that have a case word or determiner, these, and the
+        parts of their names. noun_code: with proper nouns, numbers and signs in capitals right below it.
+        """
+        small, parts = self.has("small"), self.has("part") | self.has("small")
+        has_case = self.below(self.low, self.has("case"), True) < FAR
+        small_low, parts_low = self.below(self.low, small, True), self.below(self.low, parts, True)
+        low, high = np.minimum(self.low, small_low), np.maximum(self.high, self.below(self.high, small, False))
+        nominal, proper, code = self.has("nominal") | (self.has("chain") & has_case), self.has("proper"), self.has("code") & (self.has("code_kind") | self.sign)
+        walk = np.where((self.head == self.id) | (self.head == 0), NONE, self.up)
+        n_low, n_high = spread(walk, nominal, low, high)
+        p_low, p_high = spread(walk, proper, self.low, self.high)
+        de = self.has("nmod") & (small_low < FAR)
+        kept = {
+            "reconstructed": (self.below(n_low, nominal, True), self.below(n_high, nominal, False)), "noun_propn": (self.below(p_low, proper, True), self.below(p_high, proper, False)),
+            "noun_de_chain": (self.below(np.minimum(self.low, parts_low), de, True), self.below(np.maximum(self.high, self.below(self.high, parts, False)), de, False)), "noun_code": (self.below(self.low, code, True), self.below(self.high, code, False)),
+        }
+        out = {}
+        for name, (a, b) in kept.items():
+            there = np.ones(len(a), bool) if name == "reconstructed" else self.has("noun") & (a < FAR)
+            out[name] = np.where(there, np.minimum(self.low, a), FAR), np.maximum(self.high, b)
+        return out
+
+
+def _first(of: np.ndarray, at: np.ndarray, when: np.ndarray, n: int) -> np.ndarray:
+    """For each of n ranges the first of its places for which `when` holds, or FAR."""
+    out = np.full(n, FAR)
+    np.minimum.at(out, of[when], at[when])
+    return out
+
+
+def _last(of: np.ndarray, at: np.ndarray, when: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, NONE)
+    np.maximum.at(out, of[when], at[when])
+    return out
+
+
+def _merged(t: _Tokens, sentence: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, person: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Candidates as (entity, source, start, end, head), as merge_entities says; source is a place in SOURCES, and a head of NONE none."""
+    own = firsts(sentence, start, end, kind, by=4)
+    s, b, e = sentence[own], start[own], end[own]
+    first, last = t.over(s, b, e)
+    alone = last < first
+    n = len(own)
+    of, at = spread_out(first, last)
+    a, z = _first(of, at, ~t.has("not_left")[at], n), _last(of, at, ~t.has("not_right")[at], n)
+    on = np.flatnonzero(~alone & (a < FAR))
+    a, z, who = a[on], z[on], person[own][on]
+    of, at = spread_out(a, z)
+    up = t.up[at]
+    inside = (up >= a[of]) & (up <= z[of])
+    h = _first(of, at, (t.head[at] == 0) | ~inside, len(on))
+    h = np.where(h < FAR, h, a)
+    good = ~t.has("no_head")[h] & (~t.has("pron")[h] | who)
+    named = t.has("named")[at] & inside
+    begin = np.cumsum(z - a + 1) - (z - a + 1)
+    of_named = np.zeros(len(at), bool)
+    of_named[inside] = named[(begin[of] + up - a[of])[inside]]
+    part = named | (t.has("adp_case")[at] & of_named)
+    f = len(on)
+    role_first, role_last = _first(of, at, ~part, f), _last(of, at, ~part & ~t.has("not_right")[at], f)
+    name_first, name_last, name_head = _first(of, at, part, f), _last(of, at, part, f), _first(of, at, part & t.has("propn")[at], f)
+    split = good & who & t.has("noun")[h] & (name_first < FAR) & (role_last != NONE)
+    found = [(np.flatnonzero(alone), "unchanged", b[alone], e[alone], np.full(alone.sum(), NONE))]
+
+    def add(source: str, there: np.ndarray, low: np.ndarray, high: np.ndarray, head: np.ndarray) -> None:
+        found.append((on[there], source, low[there], high[there], head[there]))
+
+    at_most = lambda x: np.minimum(x, max(0, len(t.id) - 1))  # noqa: E731  what isn't there isn't taken
+    if len(t.id):
+        add("trimmed", good, t.low[a], t.high[z], t.id[h])
+        add("role", split, t.low[at_most(role_first)], t.high[role_last], t.id[h])
+        add("name", split, t.low[at_most(name_first)], t.high[name_last], t.id[at_most(np.where(name_head < FAR, name_head, name_first))])
+        for source, (low, high) in t.grown().items():
+            add(source, good & (low[h] < FAR), low[h], high[h], t.id[h])
+    who, low, high, head = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3, 4))
+    source = np.concatenate([np.full(len(x[0]), SOURCES.index(x[1])) for x in found])
+    best = firsts(s[who], kind[own][who], low, high, source, head, by=4)
+    return own[who[best]], source[best], low[best], high[best], head[best]
+
+
+def _headed(t: _Tokens, sentence: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(span, head): the first proper noun of each span, else noun, else word; equal spans once, and none without a word."""
+    own = firsts(sentence, start, end, kind, by=4)
+    first, last = t.over(sentence[own], start[own], end[own])
+    of, at = spread_out(first, last)
+    rank = np.where(t.has("propn")[at], 0, np.where(t.has("noun")[at], 1, 2))
+    n = len(t.id) + 1
+    best = _first(of, rank * n + at, np.ones(len(at), bool), len(own))
+    there = best < FAR
+    return own[there], t.id[best[there] % n]
+
+
+def _uncovered(s: np.ndarray, start: np.ndarray, end: np.ndarray, by_s: np.ndarray, by_start: np.ndarray, by_end: np.ndarray) -> np.ndarray:
+    """Which spans none of the others of their sentence overlaps: by what started before and reaches furthest, and what starts next."""
+    low = min(0, int(start.min(initial=0)), int(by_start.min(initial=0)), int(by_end.min(initial=0)))
+    width = int(max(end.max(initial=0), by_end.max(initial=0), by_start.max(initial=0), start.max(initial=0))) - low + 1
+    order = np.lexsort((by_start, by_s))
+    starts = np.append((by_s * width + by_start - low)[order], FAR)
+    reach = np.concatenate([[-FAR], np.maximum.accumulate((by_s * width + by_end - low)[order])])
+    at = s * width + start - low
+    return (reach[np.searchsorted(starts, at, "right")] <= at) & (starts[np.searchsorted(starts, at, "left")] >= s * width + end - low)
+
+
+def laid_candidates(rows: DataFrame) -> DataFrame:
+    """(key, start, end, name, source, head): candidates of tokens, entities and the parse's own spans of a sentence that lie beside each other.
+
+    rows: side (word, entity or simple), start and end; words have tok_id, head, upos, deprel and sign (whether they are
+    signs in capitals), the others name, which is an entity's type or a simple span's label, and which the candidates get
+    from theirs. All of a sentence's answers come
+    from one pass over its rows, so that nothing is shuffled.
+    """
 
+    def work(batch: pa.RecordBatch, sentence: np.ndarray) -> pa.RecordBatch:
+        side, name = batch.column("side"), batch.column("name")
+        start, end, head, ids = (numbers(batch.column(c)) for c in ("start", "end", "head", "tok_id"))
+        words, entities, simple = (np.flatnonzero(np.asarray(pc.equal(side, x))) for x in ("word", "entity", "simple"))
+        mark, sign = _marks(batch.column("upos"), batch.column("deprel")), np.asarray(pc.fill_null(batch.column("sign"), False))
+        t = _Tokens(*(x[words] for x in (sentence, ids, head, start, end, mark, sign)))
+        kind, person = codes(name), np.asarray(pc.fill_null(pc.equal(pc.utf8_lower(name), "per"), False))
+        of, source, low, high, top = _merged(t, *(x[entities] for x in (sentence, start, end, kind, person)))
+        at = entities[of]
+        own, own_head = _headed(t, *(x[simple] for x in (sentence, start, end, kind)))
+        rest = simple[own]
+        free = _uncovered(sentence[rest], start[rest], end[rest], sentence[at], low, high)
+        rest, own_head = rest[free], own_head[free]
+        every = pa.array(np.concatenate([at, rest]))
+        heads = np.concatenate([top, own_head])
+        sources = pa.array([*SOURCES, "parse"]).take(pa.array(np.concatenate([source, np.full(len(rest), len(SOURCES))])))
+        columns = [np.concatenate([low, start[rest]]), np.concatenate([high, end[rest]])]
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(every) for k in KEY), *map(pa.array, columns), name.take(every), sources, pa.array(heads, mask=heads == NONE)], [*KEY, "start", "end", "name", "source", "head"])
 
-def _outer(tokens: Column) -> tuple[Column, Column]:
-    return F.element_at(tokens, 1)["start"], F.element_at(tokens, -1)["end"]
+    return worked(rows, work, f"{kinds(rows, *KEY)}, start bigint, end bigint, name string, source string, head bigint")
 
 
-def _trimmed(tokens: Column, left: tuple[str, ...], right: tuple[str, ...]) -> Column:
-    first = F.array_min(F.transform(F.filter(tokens, lambda t: ~t["upos"].isin(*left)), lambda t: t["tok_id"]))
-    last = F.array_max(F.transform(F.filter(tokens, lambda t: ~t["upos"].isin(*right)), lambda t: t["tok_id"]))
-    return F.filter(tokens, lambda t: (t["tok_id"] >= first) & (t["tok_id"] <= last))
+def in_signs(word: Column) -> Column:
+    """Whether a word is a sign in capitals and digits."""
+    return word.rlike("^[A-Z0-9-]+$")
 
 
-def role_and_name(tokens: Column) -> tuple[Column, Column]:
-    """Tokens of a role and of a name, both empty unless both are there.
+def _words(tokens: DataFrame) -> DataFrame:
+    return tokens.select(*KEY, F.col("tok_id").cast("long").alias("tok_id"), F.col("head").cast("long").alias("head"), "upos", "deprel", in_signs(F.col("word")).alias("sign"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
-    The name is every proper noun that hangs, as part of a name, nominal or apposition, from a token of the span, with
-    the case words of these; a proper noun below one of them is one itself, so the cluster is whole at once. The role is
-    the rest, without case words and signs at its end.
-    """
-    inside = F.transform(tokens, lambda t: t["tok_id"])
-    named = F.filter(tokens, lambda t: (t["upos"] == "PROPN") & F.lower(t["deprel"]).isin(*NAME) & F.array_contains(inside, t["head"]))
-    cluster = F.transform(named, lambda t: t["tok_id"])
-    part = lambda t: F.array_contains(cluster, t["tok_id"]) | ((t["upos"] == "ADP") & (F.lower(t["deprel"]) == "case") & F.array_contains(cluster, t["head"]))
-    name = F.filter(tokens, part)
-    role = _trimmed(F.filter(tokens, lambda t: ~part(t)), (), SKIP_RIGHT)
-    none = F.slice(tokens, 1, 0)
-    both = (F.size(name) > 0) & (F.size(role) > 0)
-    return F.when(both, role).otherwise(none), F.when(both, name).otherwise(none)
+
+def _named(spans: DataFrame, name: str) -> DataFrame:
+    return spans.select(*KEY, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(name).alias("name"))
+
+
+def _typed(found: DataFrame) -> DataFrame:
+    kind = F.when(F.col("source") == "parse", coarse_of(F.col("name"))).otherwise(F.col("name"))
+    return found.select(*KEY, "start", "end", kind.alias("type"), "source", "head")
 
 
 def merge_entities(tokens: DataFrame, entities: DataFrame) -> DataFrame:
@@ -138,38 +284,17 @@ def merge_entities(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     A span is trimmed of determiners, adpositions and signs at its left end, signs and adpositions at its right; without
     any word left it goes. Its head is the first word whose governor isn't among them (the first word, if there is none);
     spans headed by a function word, verb or adverb go, and pronouns unless a person. Candidates: the trimmed span; role
-    and name of a person headed by a noun; the phrases that grown() finds around the head. A span that overlaps no token
-    stays as it is, without a head. Types are compared in lower case; of equal places of a type the first source stands.
+    and name of a person headed by a noun; the phrases that grown() finds around the head. A name is every proper noun
+    that hangs, as part of a name, nominal or apposition, from a token of the span, with the case words of these; the role
+    is the rest, without case words and signs at its end. A span that overlaps no token stays as it is, without a head.
+    Types are compared in lower case; of equal places of a type the first source stands.
     """
-    spans = entities.select(*KEY, "start", "end", "type").distinct().withColumn("ent", F.monotonically_increasing_id())
-    spans = written(aligned(tokens, written(spans)))
-    rich = written(grown(tokens))
-    fields = [c for c in rich.columns if c not in KEY]
-    inside = spans.where("first IS NOT NULL").withColumn("tok_id", F.explode(F.sequence("first", "last"))).select(*KEY, "ent", F.col("type"), "tok_id")
-    listed = inside.join(rich, [*KEY, "tok_id"]).groupBy(*KEY, "ent", "type").agg(F.array_sort(F.collect_list(F.struct("tok_id", *[c for c in fields if c != "tok_id"]))).alias("own"))
-    kept = listed.withColumn("own", _trimmed(F.col("own"), SKIP_LEFT, SKIP_RIGHT)).where(F.size("own") > 0)
-    ids = F.transform("own", lambda t: t["tok_id"])
-    top = F.filter("own", lambda t: (t["head"] == 0) | ~F.array_contains(ids, t["head"]))
-    kind = F.lower("type")
-    headed = kept.withColumn("h", F.coalesce(F.get(top, F.lit(0)), F.get("own", F.lit(0))))
-    upos = F.coalesce(F.col("h.upos"), F.lit("X"))
-    headed = headed.where(~upos.isin(*FUNCTION, "VERB", "ADV") & ((upos != "PRON") | (kind == "per")))
-    role, name = role_and_name(F.col("own"))
-    headed = headed.withColumns({"role": role, "name": name})
-    split = (kind == "per") & (upos == "NOUN") & (F.size("role") > 0)
-    name_head = F.coalesce(F.get(F.filter("name", lambda t: t["upos"] == "PROPN"), F.lit(0)), F.get("name", F.lit(0)))["tok_id"]
-
-    def candidate(source: str, low: Column, high: Column, head: Column, there: Column) -> Column:
-        return F.when(there, F.struct(F.lit(source).alias("source"), low.alias("start"), high.alias("end"), head.alias("head")))
-
-    own_head = F.col("h.tok_id")
-    every = [candidate("trimmed", *_outer(F.col("own")), own_head, F.lit(True)), candidate("role", *_outer(F.col("role")), own_head, split), candidate("name", *_outer(F.col("name")), name_head, split)]
-    every += [candidate(s, F.col(f"h.{x}_low"), F.col(f"h.{x}_high"), own_head, F.col(f"h.{x}_low").isNotNull()) for s, x in EXPANSIONS.items()]
-    found = headed.select(*KEY, "type", F.explode(F.array_compact(F.array(*every))).alias("c")).select(*KEY, "type", "c.*")
-    alone = spans.where("first IS NULL").select(*KEY, "type", F.lit("unchanged").alias("source"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(None).cast("bigint").alias("head"))
-    rank = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
-    best = Window.partitionBy(*KEY, "type", "start", "end").orderBy(rank, "head")
-    return found.unionByName(alone).withColumn("r", F.row_number().over(best)).where("r = 1").select(*KEY, "start", "end", "type", "source", "head")
+    return _typed(laid_candidates(together(word=_words(tokens), entity=_named(entities, "type"))))
+
+
+def merged_laid(rows: DataFrame) -> DataFrame:
+    """merge_entities of rows beside each other (see laid_candidates)."""
+    return _typed(laid_candidates(rows))
 
 
 def coarse_of(label: Column) -> Column:
@@ -180,10 +305,7 @@ def coarse_of(label: Column) -> Column:
 
 def from_parse(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """(key, start, end, type, head): spans (start, end, label) of a parse alone, headed by their first proper noun, else noun, else word; those without a word go."""
-    held = aligned(tokens, spans.select(*KEY, "start", "end", "label")).where("first IS NOT NULL").withColumn("tok_id", F.explode(F.sequence("first", "last")))
-    place = F.when(F.col("upos") == "PROPN", 0).when(F.col("upos") == "NOUN", 1).otherwise(2)
-    heads = held.join(tokens.select(*KEY, "tok_id", "upos"), [*KEY, "tok_id"]).groupBy(*KEY, "start", "end", "label").agg(F.min(F.struct(place.alias("p"), "tok_id"))["tok_id"].alias("head"))
-    return heads.select(*KEY, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), coarse_of(F.col("label")).alias("type"), "head")
+    return merged_laid(together(word=_words(tokens.withColumns({c: F.lit(None).cast(k) for c, k in (("head", "long"), ("deprel", "string"), ("word", "string")) if c not in tokens.columns})), simple=_named(spans, "label"))).drop("source")
 
 
 def not_covered(rows: DataFrame, cover: DataFrame) -> DataFrame:
@@ -204,9 +326,6 @@ def not_covered(rows: DataFrame, cover: DataFrame) -> DataFrame:
 def candidates(tokens: DataFrame, entities: DataFrame, simple: DataFrame) -> DataFrame:
     """(key, start, end, type, source, head): the merged entities, and of the parse's own spans those that overlap none of them (source parse).
 
-    tokens are gathered from one written table by both branches, so the sentences are read and parsed once.
+    Both branches work on the same rows, so the sentences are read and parsed once.
     """
-    tokens = written(tokens)
-    merged = written(merge_entities(tokens, entities))
-    rest = not_covered(from_parse(tokens, simple), merged)
-    return merged.unionByName(rest.withColumn("source", F.lit("parse")))
+    return merged_laid(together(word=_words(tokens), entity=_named(entities, "type"), simple=_named(simple, "label")))

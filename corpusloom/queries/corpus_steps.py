@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import derived as D
 from ..functions import text as T
 from ..operators import metrics as M
+from ..operators import sequences as Q
 from ..operators import spans as S
 from ..plans.runner import tokens_chunker
 from ..registry import query, table
@@ -123,13 +124,8 @@ def pieces_to_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = F.sequence(F.lit(0), F.length("word") - 1, F.lit(3))
     pieces = toks.select(*S.KEY, "tok", "word", F.posexplode(starts).alias("p", "at"))
     piece = F.concat(F.when(F.col("p") == 0, "▁").otherwise(""), F.expr("substring(word, at + 1, 3)"))
-    rows = pieces.select(*S.KEY, F.struct("tok", "p", piece.alias("piece"), F.when(F.col("p") == 0, F.col("tok") % 3).alias("label")).alias("x"))
-    listed = rows.groupBy(*S.KEY).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    # a marked piece opens a word, others carry on; a sentence's pieces are walked once
-    opens = F.aggregate("x", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.when(x["piece"].startswith("▁"), 1).otherwise(0))))
-    flat = listed.select(*S.KEY, F.explode(F.arrays_zip("x", opens.alias("w"))).alias("z")).select(*S.KEY, F.col("z.x").alias("x"), F.col("z.w").alias("w"))
-    words = flat.groupBy(*S.KEY, "w").agg(F.array_sort(F.collect_list(F.struct("x.tok", "x.p", "x.piece", "x.label"))).alias("all"))
-    return words.select(*S.KEY, F.replace(F.array_join(F.transform("all", lambda x: x["piece"]), ""), F.lit("▁")).alias("word"), F.get("all", F.lit(0))["label"].alias("label"))
+    rows = pieces.select(*S.KEY, piece.alias("piece"), F.when(F.col("p") == 0, F.col("tok") % 3).alias("label"))
+    return Q.words_of_pieces(rows)
 
 
 WORDS = ("tion", "que", "ment")

@@ -54,7 +54,7 @@ def word_labels_to_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of words' pieces as spans of the words joined by spaces: a word has its first piece's label, and a stray inside label ends a span."""
     label = F.element_at(F.array(*[F.lit(x) for x in BIO]), F.expr(f"int({_PIECE.replace('//', 'div')}) + 1"))
     pieces = D.tokens(spark, sf_dir).withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr("int(tok % 3)")))).withColumn("label", label)
-    return Q.first_piece_spans(pieces)
+    return Q.laid_piece_spans(pieces)
 
 
 @query(

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from corpusloom import catalog, storage
 from corpusloom.operators import beside as B
 from corpusloom.operators import nominal as N
+from corpusloom.operators.corpus import downsample, hash_key
+from corpusloom.queries import learned
 from corpusloom.queries.nominal import LABELS
 
 SPAN = "doc_id long, sent_id long, pos long, start long, end long, text string, label string, coarse string, gender string, number string, role string"
@@ -65,3 +67,17 @@ def test_edges_in_place_are_those_of_joins(spark):
     assert same(N.review(spans, attempts, told), N.laid_review(edges))
     parents = N.laid_parents(edges)
     assert same(N.with_parents(spans, attempts).withColumn("label", F.coalesce("label", F.lit(""))).select(parents.columns), parents)
+
+
+def test_rows_beside_positives(spark):
+    """Those kept beside positives are the first in hash order, though only one bucket of hashes is put in order."""
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 10 == 0).alias("named"))
+    kept = downsample(rows, F.col("named"), 3, 42, "key")
+    others = sorted((r.h, r.key) for r in rows.where("NOT named").select(hash_key(42, "key").alias("h"), "key").collect())
+    assert {r.key for r in kept.collect()} == {k for _, k in others[:900]} | {str(i) for i in range(0, 3000, 10)}
+    assert downsample(rows.where("NOT named"), F.col("named"), 3, 42, "key").count() == 0
+
+
+def test_examples_are_made_where_a_sentence_lies(spark):
+    plan = learned.token_examples(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("FileScan ") == 1

@@ -92,7 +92,7 @@ def _marks(upos: pa.Array, deprel: pa.Array) -> np.ndarray:
     return np.array([_mark(uposes[p // len(deprels)], deprels[p % len(deprels)]) for p in pairs.tolist()], np.int64)[at]
 
 
-class _Tokens:
+class Tokens:
     """The tokens of some sentences, in the order of their ids; up is the place of a token's head, or NONE."""
 
     def __init__(self, sentence: np.ndarray, ids: np.ndarray, head: np.ndarray, low: np.ndarray, high: np.ndarray, marks: np.ndarray, sign: np.ndarray) -> None:
@@ -162,7 +162,7 @@ def _last(of: np.ndarray, at: np.ndarray, when: np.ndarray, n: int) -> np.ndarra
     return out
 
 
-def _merged(t: _Tokens, sentence: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, person: np.ndarray) -> tuple[np.ndarray, ...]:
+def _merged(t: Tokens, sentence: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, person: np.ndarray) -> tuple[np.ndarray, ...]:
     """Candidates as (entity, source, start, end, head), as merge_entities says; source is a place in SOURCES, and a head of NONE none."""
     own = firsts(sentence, start, end, kind, by=4)
     s, b, e = sentence[own], start[own], end[own]
@@ -206,7 +206,7 @@ def _merged(t: _Tokens, sentence: np.ndarray, start: np.ndarray, end: np.ndarray
     return own[who[best]], source[best], low[best], high[best], head[best]
 
 
-def _headed(t: _Tokens, sentence: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _headed(t: Tokens, sentence: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(span, head): the first proper noun of each span, else noun, else word; equal spans once, and none without a word."""
     own = firsts(sentence, start, end, kind, by=4)
     first, last = t.over(sentence[own], start[own], end[own])
@@ -243,7 +243,7 @@ def laid_candidates(rows: DataFrame) -> DataFrame:
         start, end, head, ids = (numbers(batch.column(c)) for c in ("start", "end", "head", "tok_id"))
         words, entities, simple = (np.flatnonzero(np.asarray(pc.equal(side, x))) for x in ("word", "entity", "simple"))
         mark, sign = _marks(batch.column("upos"), batch.column("deprel")), np.asarray(pc.fill_null(batch.column("sign"), False))
-        t = _Tokens(*(x[words] for x in (sentence, ids, head, start, end, mark, sign)))
+        t = Tokens(*(x[words] for x in (sentence, ids, head, start, end, mark, sign)))
         kind, person = codes(name), np.asarray(pc.fill_null(pc.equal(pc.utf8_lower(name), "per"), False))
         of, source, low, high, top = _merged(t, *(x[entities] for x in (sentence, start, end, kind, person)))
         at = entities[of]

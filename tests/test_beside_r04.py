@@ -37,7 +37,7 @@ def test_first_of_equals():
     assert kept.tolist() == [4, 2, 3]
 
 
-@pytest.mark.parametrize("name", ["candidates_assembled", "entities_merged", "candidates_from_parse", "nominal_edges_judged", "nominal_parents", "sentences_for_review", "token_contexts", "word_labels_to_spans", "pieces_to_words"])
+@pytest.mark.parametrize("name", ["candidates_assembled", "entities_merged", "candidates_from_parse", "nominal_edges_judged", "nominal_parents", "sentences_for_review", "token_contexts", "word_labels_to_spans", "pieces_to_words", "nominal_groups"])
 def test_sentences_are_dealt_once(spark, monkeypatch, name):
     """Before, each step shuffled all tokens again and some were written in between."""
     monkeypatch.setattr(storage, "scratch", lambda *_: pytest.fail("a table is written"))
